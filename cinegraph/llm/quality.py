@@ -79,8 +79,8 @@ def measure(data: np.ndarray, off: np.ndarray, lengths: list[int]) -> dict[str,
     breaks = np.flatnonzero(data == 0x0A)
     begin = np.unique(np.concatenate([off[:-1], breaks + 1]))
     begin = begin[begin < len(data)]
-    stop = np.minimum(np.append(begin[1:], len(data)), len(data))
-    stop = stop - (data[stop - 1] == 0x0A) if len(stop) else stop
+    stop = np.append(begin[1:], len(data))[: len(begin)]
+    stop = stop - (data[stop - 1] == 0x0A)
     lines_row = np.searchsorted(off, begin, "right") - 1
     k = np.searchsorted(starts, begin)
     has = (k < len(starts)) & (np.append(starts, len(data) + 1)[k] < stop)
