@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinegraph.llm import bpe, quality, warc
+from cinegraph.llm import bpe, decontaminate, quality, urlrules, warc
 from cinegraph.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
