@@ -7,8 +7,6 @@ so they can be told apart on bytes.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
+from cinegraph.plans.shared import drop_scratch, scratch, shared_dir
+
+__all__ = ["drop_scratch", "scratch", "shared_dir"]
+
 #: Bytes of text that one numpy pass handles at a time; a longer document is a pass of its own.
 PASS_BYTES = 4 << 20
 #: Rows of an Arrow batch: some documents are a hundred times the usual length.
@@ -35,33 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="cinegraph-"))
-    return _OWN_DIR[0]
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(*frames: DataFrame) -> None:
-    """Deletes scratch tables that no later step reads."""
-    for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; a null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
