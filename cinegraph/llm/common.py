@@ -114,7 +114,7 @@ def piece_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def gram_hash(s: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-byte strings."""
-    n = len(s) - k
+    n = len(s) - k  # s has one element more than the data
     return mix((s[k:] - s[:n]) * _powers(_INV, n)) if n > 0 else np.zeros(0, U)
 
 
@@ -164,11 +164,14 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
 ID_BITS = 24
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit map of 2^ID_BITS hashed ids (2 MB whatever the input): what it lacks is surely not in ids."""
-    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << ID_BITS))
-    rows = ids.select(slot.alias("s")).groupBy(F.expr("s div 62").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 62 as int)))").alias("m")).collect()
-    out = np.zeros((1 << ID_BITS) // 62 + 1, np.int64)
-    for r in rows:
-        out[r.w] = r.m
-    return out
+def flagged(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Adds flag: false if the row's id is surely not in ids, so that few other rows need a shuffle.
+
+    The ids are hashed to a bit map of 2^ID_BITS bits, some 270,000 rows of 62 bits whatever the input, which is
+    broadcast; with many more ids than bits all rows are flagged, which only costs the shuffle.
+    """
+    slot = lambda: F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << ID_BITS))
+    bits = ids.select(slot().alias("_s")).groupBy(F.expr("_s div 62").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_s % 62 as int)))").alias("_m"))
+    out = df.withColumn("_s", slot()).withColumn("_w", F.expr("_s div 62")).join(F.broadcast(bits), "_w", "left")
+    flag = F.expr("coalesce(shiftright(_m, cast(_s % 62 as int)) & 1, 0) = 1")
+    return out.withColumn("flag", flag).select(*df.columns, "flag")

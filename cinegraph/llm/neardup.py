@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.llm.common import LOWER, drop_scratch, id_filter, mix, passes, piece_hash, prefix_hash, scratch, tune, window_hash, words
+from cinegraph.llm.common import LOWER, drop_scratch, flagged, mix, passes, piece_hash, prefix_hash, scratch, tune, window_hash, words
 from cinegraph.operators.components import components
 
 SHINGLE = 4
@@ -182,18 +182,11 @@ def verify(ids: list[int], sets: list[np.ndarray], first: list[bool], within: bo
 
 def _links(docs: DataFrame, clusters: DataFrame, shingle: int) -> DataFrame:
     """a, b: verified links that connect what is linked in each cluster."""
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(clusters, "rep"))
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-        for b in batches:
-            slot = b.column(2).to_numpy()
-            b = b.filter(pa.array((bits[slot // 62] >> (slot % 62)) & 1 == 1))
-            for part, data, off in passes(iter([b]), "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(data, off, shingle)], pa.binary())], names=["rep", "set"])
+        for part, data, off in passes(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(data, off, shingle)], pa.binary())], names=["rep", "set"])
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)).alias("slot")
-    own = docs.where("doc_id is not null").select("doc_id", "text", slot).mapInArrow(sets, "rep long, set binary")
+    own = flagged(docs.where("doc_id is not null").select("doc_id", "text"), clusters.select(F.col("rep").alias("doc_id")), "doc_id").where("flag").select("doc_id", "text").mapInArrow(sets, "rep long, set binary")
     total = scratch(clusters.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("int").alias("nb")), "nd-blocks")
     placed = clusters.join(total, "cluster").select("rep", "cluster", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("block"))
     rows = own.join(placed, "rep")

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinegraph.llm import bpe, decontaminate, neardup, quality, urlrules, warc
+from cinegraph.llm import bpe, decontaminate, neardup, quality, suffixdup, urlrules, warc
 from cinegraph.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdup.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
