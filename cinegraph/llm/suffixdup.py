@@ -277,7 +277,7 @@ def spans(docs: DataFrame, length: int = L, gram: int = GRAM) -> DataFrame:
 def remove(docs: DataFrame, length: int = L, gram: int = GRAM) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary: the bytes that stay) added."""
     tune(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("key")
+    key = F.coalesce(F.col("doc_id"), F.xxhash64("text", F.lit("no id"))).alias("key")
     keyed = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "key", "ranges", "flag").select("*", key)
     found = spans(keyed.select("key", F.coalesce("text", F.lit("")).alias("text")), length, gram)
     marked = flagged(keyed, found, "key")
