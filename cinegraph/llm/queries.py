@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinegraph.llm import bpe, decontaminate, neardup, quality, suffixdup, urlrules, warc
+from cinegraph.llm import bpe, decontaminate, htmltext, neardup, quality, suffixdup, urlrules, warc
 from cinegraph.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
