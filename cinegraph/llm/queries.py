@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinegraph.llm import bpe, decontaminate, htmltext, neardup, quality, suffixdup, urlrules, warc, weaklabel
+from cinegraph.llm import bpe, decontaminate, htmltext, lmscore, neardup, quality, suffixdup, urlrules, warc, weaklabel
 from cinegraph.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 

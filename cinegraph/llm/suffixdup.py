@@ -27,8 +27,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinegraph.llm.common import drop_scratch, flagged, gram_hash, passes, piece_hash, prefix_hash, scratch, tune
@@ -309,5 +310,15 @@ def remove(docs: DataFrame, length: int = L, gram: int = GRAM) -> DataFrame:
     return done.unionByName(same)
 
 
+def decoded(kept: Column) -> Column:
+    """The text of the bytes that stay, without the parts of characters that lost some bytes."""
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return text(kept)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     return remove(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
