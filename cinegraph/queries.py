@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cinegraph.plans import catalog
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Entities rolled up from raw mentions."""
+    return queries()["entity_group_rollup"](spark, sf_dir)
+
+
+def _load() -> None:
+    from cinegraph.plans import q_graph, q_relational, q_retrieval, q_scalar, q_stream  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(catalog.SQL)
