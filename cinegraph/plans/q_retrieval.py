@@ -1 +1,317 @@
-"""Queries."""
+"""Vectors, ranking, segmentation and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cinegraph.functions import vector as V
+from cinegraph.operators import retrieval as T
+from cinegraph.operators import segments as G
+from cinegraph.operators import store as S
+from cinegraph.plans.catalog import media, query, segment, t
+
+c = F.col
+TERMS = ["the", "and", "thing"]
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+
+
+def _zero(spark: SparkSession, d: str) -> F.Column:
+    v = t(spark, d, "embeddings").where("vec_id = 0").first().embedding
+    return F.array(*[F.lit(float(x)) for x in v])
+
+
+_BM = """w AS (SELECT segment_id, regexp_extract_all(lower(transcript), '([a-z0-9]+)', 1) AS w FROM segment), n AS (SELECT count(*) AS n, avg(len(w)) AS av FROM w),
+h AS (SELECT segment_id, len, term, count(*) AS tf FROM (SELECT segment_id, len(w) AS len, unnest(w) AS term FROM w) WHERE term IN ('the', 'and', 'thing') GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+bm AS (SELECT segment_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len / av))) AS score FROM h JOIN f USING (term), n GROUP BY segment_id)"""
+
+
+@query(f"SELECT b.vec_id, round({_COS}, 6) AS score FROM (SELECT {_Q0} AS embedding) a, embeddings b")
+def cosine_raw(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "embeddings").select("vec_id", F.round(V.cosine_raw(c("embedding"), _zero(spark, d)), 6).alias("score"))
+
+
+@query(f"SELECT b.vec_id, round((1 + {_COS}) / 2, 6) AS score FROM (SELECT {_Q0} AS embedding) a, embeddings b")
+def cosine_unit(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "embeddings").select("vec_id", F.round(V.cosine_unit(c("embedding"), _zero(spark, d)), 6).alias("score"))
+
+
+_TOP = f"SELECT b.vec_id, round((1 + {_COS}) / 2, 6) AS score FROM (SELECT {_Q0} AS embedding) a, embeddings b WHERE (1 + {_COS}) / 2 >= 0.5 ORDER BY (1 + {_COS}) / 2 DESC, b.vec_id LIMIT 10"
+
+
+@query(_TOP)
+def topk_vector(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "embeddings").select("vec_id", V.cosine_unit(c("embedding"), _zero(spark, d)).alias("s")).where("s >= 0.5")
+    return T.top(e, 10, "s", "vec_id").select("vec_id", F.round("s", 6).alias("score"))
+
+
+@query(f"SELECT b.vec_id, round((1 + {_COS}) / 2, 6) AS score FROM (SELECT {_Q0} AS embedding) a, embeddings b WHERE b.label = 3 AND (1 + {_COS}) / 2 >= 0.4")
+def vector_search(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "embeddings").where("label = 3").select("vec_id", V.cosine_unit(c("embedding"), _zero(spark, d)).alias("s"))
+    return e.where("s >= 0.4").select("vec_id", F.round("s", 6).alias("score"))
+
+
+@query(f"SELECT b.vec_id, round((1 + {_COS}) / 2, 6) AS score FROM (SELECT {_Q0} AS embedding) a, embeddings b WHERE (1 + {_COS}) / 2 >= 0.5 ORDER BY (1 + {_COS}) / 2 DESC, b.vec_id LIMIT 10")
+def entity_search_debug(spark: SparkSession, d: str) -> DataFrame:
+    return topk_vector(spark, d)
+
+
+@query(f"SELECT a.vec_id AS q, b.vec_id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 5")
+def vector_knn_join(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "embeddings")
+    return T.knn(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).select("q", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("[segment] WITH " + _BM + " SELECT segment_id, round(score, 6) AS score FROM bm")
+def bm25_search(spark: SparkSession, d: str) -> DataFrame:
+    return T.bm25(segment(spark, d), "segment_id", "transcript", TERMS).select("segment_id", F.round("score", 6).alias("score"))
+
+
+@query("[segment] WITH " + _BM + ", k AS (SELECT * FROM bm ORDER BY score DESC, segment_id LIMIT 40) SELECT segment_id, round(score, 6) AS score FROM k JOIN segment USING (segment_id) WHERE group_id = 'user_1'")
+def topk_fulltext(spark: SparkSession, d: str) -> DataFrame:
+    """The group filter comes after the index has given its best."""
+    s = segment(spark, d)
+    best = T.top(T.bm25(s, "segment_id", "transcript", TERMS), 40, "score", "segment_id")
+    return s.where("group_id = 'user_1'").select("segment_id").join(best, "segment_id").select("segment_id", F.round("score", 6).alias("score"))
+
+
+_LISTS = f"""v AS (SELECT vec_id, row_number() OVER (ORDER BY {_COS} DESC, b.vec_id) - 1 AS rank FROM (SELECT {_Q0} AS embedding) a, embeddings b QUALIFY rank < 50), w2 AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS rank FROM embeddings QUALIFY rank < 50),
+u AS (SELECT 0 AS l, * FROM v UNION ALL SELECT 1, * FROM w2), r AS (SELECT vec_id, sum(1 / (rank + 60)) AS score, min(l * 1000 + rank) AS f FROM u GROUP BY vec_id)"""
+
+
+def _two_lists(spark: SparkSession, d: str) -> list[DataFrame]:
+    e = t(spark, d, "embeddings")
+    v = T.top(e.select("vec_id", V.cosine_raw(c("embedding"), _zero(spark, d)).alias("s")), 50, "s", "vec_id")
+    return [T.ranked(v, [F.desc("s"), "vec_id"]), T.ranked(T.top(e.select("vec_id", "label"), 50, "label", "vec_id"), [F.desc("label"), "vec_id"])]
+
+
+@query(f"WITH {_LISTS} SELECT vec_id, round(score, 9) AS score FROM r")
+def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
+    return T.rrf(_two_lists(spark, d), "vec_id").select("vec_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_LISTS} SELECT vec_id, round(score, 9) AS score FROM r ORDER BY r.score DESC, f LIMIT 10")
+def rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Without a cross-encoder the order of the fusion stays."""
+    out = T.rrf(_two_lists(spark, d), "vec_id")
+    return out.orderBy(F.desc("score"), "first").limit(10).select("vec_id", F.round("score", 9).alias("score"))
+
+
+@query("[segment] WITH " + _BM + ", a AS (SELECT segment_id, row_number() OVER (ORDER BY score DESC, segment_id) - 1 AS rank FROM bm QUALIFY rank < 20), b AS (SELECT segment_id, row_number() OVER (ORDER BY length(transcript) DESC, segment_id) - 1 AS rank FROM segment QUALIFY rank < 20), u AS (SELECT 0 AS l, * FROM a UNION ALL SELECT 1, * FROM b), r AS (SELECT segment_id, sum(1 / (rank + 60)) AS score, min(l * 1000 + rank) AS f FROM u GROUP BY segment_id), k AS (SELECT * FROM r ORDER BY score DESC, f LIMIT 5) SELECT segment_id, media_id, start_ms, left(transcript, 100) AS excerpt FROM k JOIN segment USING (segment_id)")
+def segment_search(spark: SparkSession, d: str) -> DataFrame:
+    """Full text and a second list, fused, with citations."""
+    s = segment(spark, d)
+    a = T.ranked(T.top(T.bm25(s, "segment_id", "transcript", TERMS), 20, "score", "segment_id"), [F.desc("score"), "segment_id"])
+    b = T.ranked(T.top(s.select("segment_id", F.length("transcript").alias("n")), 20, "n", "segment_id"), [F.desc("n"), "segment_id"])
+    best = T.rrf([a, b], "segment_id").orderBy(F.desc("score"), "first").limit(5).select("segment_id")
+    return s.join(best, "segment_id").select("segment_id", "media_id", "start_ms", F.left("transcript", F.lit(100)).alias("excerpt"))
+
+
+@query("[media] SELECT media_id, title, round(duration_ms / 60000.0, 1) AS minutes FROM media WHERE contains(summary, 'thing') ORDER BY length(summary) DESC, media_id LIMIT 7")
+def media_search(spark: SparkSession, d: str) -> DataFrame:
+    m = media(spark, d).where(F.contains("summary", F.lit("thing")))
+    return m.orderBy(F.desc(F.length("summary")), "media_id").limit(7).select("media_id", "title", F.round(c("duration_ms") / 60000, 1).alias("minutes"))
+
+
+@query(f"SELECT b.vec_id, b.label, coalesce(round(CASE WHEN b.vec_id % 3 = 0 THEN NULL ELSE {_COS} END, 6), 0) AS score FROM (SELECT {_Q0} AS embedding) a, embeddings b WHERE b.label = 1")
+def vector_store_search(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the store by id, 0 where it has none."""
+    e = t(spark, d, "embeddings").where("label = 1")
+    scores = e.where("vec_id % 3 <> 0").select("vec_id", V.cosine_raw(c("embedding"), _zero(spark, d)).alias("s"))
+    return e.select("vec_id", "label").join(scores, "vec_id", "left").select("vec_id", "label", F.coalesce(F.round("s", 6), F.lit(0.0)).alias("score"))
+
+
+@query("SELECT event_id, value FROM events WHERE value >= 50 ORDER BY value DESC, event_id LIMIT 15")
+def map_reduce_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "events").select("event_id", "value", F.to_json(F.struct("value")).alias("answer"))
+    scored = rows.withColumn("value", F.from_json("answer", "value double")["value"]).where("value is not null and value >= 50")
+    return T.top(scored, 15, "value", "event_id").select("event_id", "value")
+
+
+_EV = "SELECT conv_id, turn, length(text) AS score, row_number() OVER (PARTITION BY conv_id // 5 ORDER BY length(text) DESC, conv_id, turn) AS r FROM conversations"
+
+
+@query(f"SELECT conv_id // 5 AS chunk, conv_id, turn, score FROM ({_EV}) WHERE r <= 3")
+def evidence_top_chunks(spark: SparkSession, d: str) -> DataFrame:
+    s = t(spark, d, "conversations").select(F.expr("conv_id div 5").alias("chunk"), "conv_id", "turn", F.length("text").alias("score"))
+    return S.latest(s, ["chunk"], [F.desc("score"), "conv_id", "turn"], 3)
+
+
+@query(f"SELECT conv_id, turn, score FROM ({_EV}) WHERE r <= 3 ORDER BY score DESC, conv_id, turn LIMIT 8")
+def evidence_rank(spark: SparkSession, d: str) -> DataFrame:
+    return evidence_top_chunks(spark, d).orderBy(F.desc("score"), "conv_id", "turn").limit(8).select("conv_id", "turn", "score")
+
+
+@query("WITH n AS (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY conv_id), r AS (SELECT c.*, m, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS r FROM conversations c JOIN n USING (conv_id)) SELECT conv_id, turn FROM r WHERE m < 5 OR r <= 3")
+def select_relevant(spark: SparkSession, d: str) -> DataFrame:
+    """All segments of short media, the best of longer ones."""
+    s = t(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    short = s.groupBy("conv_id").agg(F.max("turn").alias("m")).where("m < 5").select("conv_id")
+    best = S.latest(s, ["conv_id"], [F.desc("n"), "turn"], 3)
+    return s.join(short, "conv_id", "left_semi").select("conv_id", "turn").union(best.join(short, "conv_id", "left_anti").select("conv_id", "turn"))
+
+
+@query("[segment] SELECT DISTINCT segment_id FROM (SELECT segment_id FROM segment WHERE segment_index = 0 UNION ALL SELECT segment_id FROM segment WHERE role = 'system' UNION ALL SELECT b.segment_id FROM segment a JOIN segment b ON b.media_id = a.media_id AND b.segment_index BETWEEN a.segment_index - 1 AND a.segment_index + 1 WHERE a.role = 'system')")
+def refine_for_critique(spark: SparkSession, d: str) -> DataFrame:
+    s = segment(spark, d)
+    marked = s.where("role = 'system'")
+    near = marked.select("media_id", F.explode(F.expr("sequence(segment_index - 1, segment_index + 1)")).alias("segment_index"))
+    pick = s.where("segment_index = 0").select("segment_id").union(marked.select("segment_id")).union(s.join(near, ["media_id", "segment_index"]).select("segment_id"))
+    return pick.distinct()
+
+
+@query("SELECT conv_id, string_agg(turn || ': ' || role, '; ' ORDER BY turn) AS note FROM conversations WHERE turn < 10 GROUP BY conv_id")
+def sources_note(spark: SparkSession, d: str) -> DataFrame:
+    s = t(spark, d, "conversations").where("turn < 10").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("turn", F.lit(": "), "role").alias("x")))).alias("l"))
+    return s.select("conv_id", F.array_join(F.transform("l", lambda x: x["x"]), "; ").alias("note"))
+
+
+@query(f"WITH {_LISTS}, k AS (SELECT vec_id, score FROM r ORDER BY r.score DESC, f LIMIT 10) SELECT vec_id, label, round(score, 9) AS score FROM k JOIN embeddings USING (vec_id)")
+def local_search(spark: SparkSession, d: str) -> DataFrame:
+    best = T.rrf(_two_lists(spark, d), "vec_id").orderBy(F.desc("score"), "first").limit(10).select("vec_id", F.round("score", 9).alias("score"))
+    return t(spark, d, "embeddings").select("vec_id", "label").join(best, "vec_id")
+
+
+@query(f"WITH {_LISTS}, k AS (SELECT label, sum(score) AS s, count(*) AS n FROM r JOIN embeddings USING (vec_id) GROUP BY label) SELECT label, round(s, 9) AS score, n FROM k ORDER BY s DESC, label LIMIT 5")
+def global_search(spark: SparkSession, d: str) -> DataFrame:
+    """Communities by the fused scores of their members."""
+    r = T.rrf(_two_lists(spark, d), "vec_id").join(t(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    return r.groupBy("label").agg(F.sum("score").alias("s"), F.count("*").alias("n")).orderBy(F.desc("s"), "label").limit(5).select("label", F.round("s", 9).alias("score"), "n")
+
+
+_KNN = f"res AS (SELECT a.vec_id AS q, b.vec_id AS item, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) - 1 AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY rank < 5), tr AS (SELECT a.vec_id AS q, b.vec_id AS item FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), e AS (SELECT q, count(*) AS expected FROM tr GROUP BY q), x AS (SELECT r.q, count(*) AS n, count(t.item) AS good, min(CASE WHEN t.item IS NOT NULL THEN rank + 1 END) AS rank FROM res r LEFT JOIN tr t ON t.q = r.q AND t.item = r.item GROUP BY r.q), ev AS (SELECT q, rank IS NOT NULL AS hit, rank, coalesce(good / n, 0) AS p, coalesce(good / expected, 0) AS r FROM e LEFT JOIN x USING (q))"
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "embeddings")
+    q = e.where("vec_id % 20 = 0")
+    res = T.ranked(T.knn(q, e, "vec_id", "embedding", 5), [F.desc("score"), "vec_id"], ["q"]).select("q", c("vec_id").alias("item"), "rank")
+    truth = q.select(c("vec_id").alias("q"), "label").join(e.select(c("vec_id").alias("item"), "label"), "label").where("q <> item").select("q", "item")
+    return T.evaluate(res, truth, 5)
+
+
+@query(f"WITH {_KNN} SELECT q, hit, rank, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round(1 - p, 6) AS pollution FROM ev")
+def eval_question(spark: SparkSession, d: str) -> DataFrame:
+    six = lambda *names: [F.round(n, 6).alias(n) for n in names]
+    return _evaluated(spark, d).select("q", "hit", c("rank").cast("long").alias("rank"), *six("precision", "recall", "f1", "pollution"))
+
+
+@query(f"WITH {_KNN}, s AS (SELECT q % 3 AS kind, * FROM ev) SELECT coalesce(kind, -1) AS kind, count(*) AS n, round(avg(hit::INT), 6) AS hit_rate, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM s GROUP BY GROUPING SETS ((), (kind))")
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).withColumn("kind", c("q") % 3).rollup("kind").agg(F.count("*").alias("n"), F.round(F.avg(c("hit").cast("int")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / c("rank"), F.lit(0.0))), 6).alias("mrr")).withColumn("kind", F.coalesce("kind", F.lit(-1)))
+
+
+@query("SELECT lang, round(avg(quality) - 0.5, 6) AS delta FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def baseline_diff(spark: SparkSession, d: str) -> DataFrame:
+    base = t(spark, d, "documents").select("lang").distinct().withColumn("base", F.lit(0.5))
+    now = t(spark, d, "documents").select("doc_id", "lang").join(t(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("v"))
+    return now.join(base, "lang").select("lang", F.round(c("v") - c("base"), 6).alias("delta"))
+
+
+@query("SELECT round(avg(m), 6) AS mean FROM (SELECT lang, avg(toxic) AS m FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang)")
+def claim_means(spark: SparkSession, d: str) -> DataFrame:
+    m = t(spark, d, "documents").select("doc_id", "lang").join(t(spark, d, "labels"), "doc_id", "left").groupBy("lang").agg(F.avg("toxic").alias("m"))
+    return m.agg(F.round(F.avg("m"), 6).alias("mean"))
+
+
+@query("SELECT conv_id, (max(contains(lower(text), 'the')::INT) + max(contains(lower(text), 'zzz')::INT)) / 2 AS coverage FROM conversations GROUP BY conv_id")
+def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
+    hit = lambda w: F.max(F.contains(F.lower("text"), F.lit(w)).cast("int"))
+    return t(spark, d, "conversations").groupBy("conv_id").agg(((hit("the") + hit("zzz")) / 2).alias("coverage"))
+
+
+@query("SELECT conv_id, count(*) BETWEEN 1 AND 6 AND bool_and(length(trim(text)) > 0 AND length(text) <= 500) AS valid FROM conversations GROUP BY conv_id")
+def plan_valid(spark: SparkSession, d: str) -> DataFrame:
+    tasks = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("x"))
+    return tasks.select("conv_id", (F.size("x").between(1, 6) & F.forall("x", lambda s: (F.length(F.trim(s)) > 0) & (F.length(s) <= 500))).alias("valid"))
+
+
+@query("SELECT conv_id, array_to_string(list_sort(list_filter(['assistant', 'system', 'user'], lambda r: NOT list_contains(l, r))), ',') AS missing FROM (SELECT conv_id, list(DISTINCT role) AS l FROM conversations GROUP BY conv_id)")
+def structure_bounds(spark: SparkSession, d: str) -> DataFrame:
+    need = F.array(*[F.lit(x) for x in ("assistant", "system", "user")])
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("l")).select("conv_id", F.array_join(F.array_except(need, "l"), ",").alias("missing"))
+
+
+@query("[segment] SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM segment s WHERE s.media_id = e.user_id AND e.event_id * 37 % 600000 >= s.start_ms AND e.event_id * 37 % 600000 < s.end_ms)")
+def evidence_bounds(spark: SparkSession, d: str) -> DataFrame:
+    from cinegraph.operators.intervals import points_in_intervals
+
+    p = t(spark, d, "events").select("event_id", c("user_id").alias("media_id"), (c("event_id") * 37 % 600000).alias("ts"))
+    return p.select("event_id").join(points_in_intervals(p, segment(spark, d), "media_id").select("event_id"), "event_id", "left_anti")
+
+
+@query()
+def sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
+    from cinegraph.functions.sequence import sequence_ratio as f
+
+    b = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_name").alias("a"), F.max("p_name").alias("b"))
+    return b.select("p_brand", "p_type", F.round(f(c("a"), c("b")), 6).alias("ratio"))
+
+
+@query("[media] SELECT media_id, g::INT AS segment_index, g * 60000 AS start_ms, least(g * 60000 + 60000, duration_ms) AS end_ms, greatest(0, g * 60000 - 8000) AS audio_start_ms, least(duration_ms, least(g * 60000 + 60000, duration_ms) + 8000) AS audio_end_ms FROM (SELECT media_id, duration_ms, unnest(range(0, (duration_ms - 1) // 60000 + 1)) AS g FROM media WHERE duration_ms > 0)")
+def fixed_grid_plan(spark: SparkSession, d: str) -> DataFrame:
+    return G.fixed_grid(media(spark, d))
+
+
+@query()
+def plan_segments(spark: SparkSession, d: str) -> DataFrame:
+    m = media(spark, d).select("media_id", "duration_ms", F.expr("transform(sequence(1, 12), i -> pmod(xxhash64(media_id, i), duration_ms + 1))").alias("silences"))
+    return G.plan_segments(m)
+
+
+@query("SELECT conv_id, turn * 60000 // 300000 * 300000 AS start_ms, turn * 60000 // 300000 * 300000 + 300000 AS end_ms, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY ALL")
+def chunk_5min(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "conversations").select("conv_id", (c("turn") * 60000).alias("ts"), "text")
+    return G.tumbling(rows, "conv_id", "ts", "text", 300_000)
+
+
+@query("SELECT conv_id, turn * 45000 // 60000 * 60000 AS start_ms, turn * 45000 // 60000 * 60000 + 60000 AS end_ms, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY ALL")
+def tumbling_60s_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "conversations").select("conv_id", (c("turn") * 45000).alias("ts"), "text")
+    return G.tumbling(rows, "conv_id", "ts", "text", 60_000)
+
+
+@query("SELECT conv_id, left(string_agg(text, ' ' ORDER BY turn), 500) AS summary FROM conversations GROUP BY conv_id")
+def chunk_summary_fallback(spark: SparkSession, d: str) -> DataFrame:
+    x = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ")
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.left(x, F.lit(500)).alias("summary"))
+
+
+@query("SELECT conv_id, sum(length(text) + 9)::BIGINT - 1 AS n, sum(length(text) + 9) - 1 <= 2000 AS single FROM conversations GROUP BY conv_id")
+def summary_text_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Length of the timed lines, and whether one summary call takes them."""
+    n = F.sum(F.length("text") + 9).cast("long") - 1
+    return t(spark, d, "conversations").groupBy("conv_id").agg(n.alias("n"), (n <= 2000).alias("single"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND length(trim(text)) > 0")
+def asr_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "conversations").where((c("role") != "system") & (F.length(F.trim("text")) > 0)).orderBy("conv_id", "turn").select("conv_id", "turn")
+
+
+@query("[segment] SELECT segment_id, 'src' || media_id || '#timestampMs=' || start_ms AS frame FROM segment")
+def reuse_context(spark: SparkSession, d: str) -> DataFrame:
+    frames = F.transform(F.array(F.lit("x")), lambda _: F.concat(F.lit("src"), "media_id", F.lit("#timestampMs="), "start_ms"))
+    return segment(spark, d).select("segment_id", F.element_at(frames, 1).alias("frame"))
+
+
+@query("[segment] SELECT s.segment_id, count(e.event_id) AS frames FROM segment s LEFT JOIN events e ON e.user_id = s.media_id AND e.event_id * 37 % 600000 >= s.start_ms AND e.event_id * 37 % 600000 < s.end_ms GROUP BY s.segment_id")
+def merge_asr_ocr(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of each planned segment, none lost for want of a frame."""
+    from cinegraph.operators.intervals import points_in_intervals
+
+    p = t(spark, d, "events").select("event_id", c("user_id").alias("media_id"), (c("event_id") * 37 % 600000).alias("ts"))
+    s = segment(spark, d)
+    n = points_in_intervals(p, s, "media_id").groupBy("segment_id").agg(F.count("*").alias("frames"))
+    return s.select("segment_id").join(n, "segment_id", "left").select("segment_id", F.coalesce("frames", F.lit(0)).alias("frames"))
+
+
+@query()
+def dhash(spark: SparkSession, d: str) -> DataFrame:
+    """Difference hash of a 9 by 8 grey image (here: the first 72 components of a vector, repeated)."""
+    px = F.expr("transform(sequence(0, 71), i -> embedding[i % 64])")
+    bits = F.expr("transform(sequence(0, 63), i -> if(px[i + i div 8] > px[i + i div 8 + 1], 1L, 0L))")
+    e = t(spark, d, "embeddings").select("vec_id", px.alias("px")).select("vec_id", bits.alias("b"))
+    return e.select("vec_id", F.aggregate("b", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x)).alias("dhash"))

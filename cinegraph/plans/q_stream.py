@@ -1 +1,173 @@
-"""Queries."""
+"""Task states, watchdogs, quotas and event windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cinegraph.operators import store as S
+from cinegraph.operators import tasks as K
+from cinegraph.plans.catalog import event, query, t
+from cinegraph.streaming import sessions as W
+
+c = F.col
+NOW = "TIMESTAMP '2024-01-31 00:00:00'"
+_LAST = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS at FROM events GROUP BY user_id"
+
+
+def _last(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("at"))
+
+
+@query()
+def task_state_machine(spark: SparkSession, d: str) -> DataFrame:
+    return K.run_states(t(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query()
+def task_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same machine as a stream with state; a source of one file is one batch."""
+    schema = t(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return W.drain(W.task_states(source), "update")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'view') AS attempts, least(count(*) FILTER (event_type = 'error'), 2) AS retries FROM events GROUP BY user_id")
+def fencing_and_budget(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").groupBy("user_id").agg(F.count_if(c("event_type") == "view").alias("attempts"), F.least(F.count_if(c("event_type") == "error"), F.lit(2)).alias("retries"))
+
+
+@query(f"SELECT user_id, CASE WHEN state = 'error' THEN 'QUEUED' ELSE upper(state) END AS state, 0 AS budget FROM ({_LAST})")
+def manual_retry(spark: SparkSession, d: str) -> DataFrame:
+    return _last(spark, d).select("user_id", F.when(c("state") == "error", "QUEUED").otherwise(F.upper("state")).alias("state"), F.lit(0).alias("budget"))
+
+
+@query(f"SELECT user_id, state, at < {NOW} - INTERVAL 5 MINUTE AND state IN ('signup', 'click') OR at < {NOW} - INTERVAL 30 MINUTE AND state = 'view' AS stale FROM ({_LAST})")
+def watchdog(spark: SparkSession, d: str) -> DataFrame:
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    age = F.unix_timestamp(now) - F.unix_timestamp("at")
+    return _last(spark, d).select("user_id", "state", (((age > 300) & c("state").isin("signup", "click")) | ((age > 1800) & (c("state") == "view"))).alias("stale"))
+
+
+@query(f"SELECT count(*) FILTER (state = 'view') AS running, count(*) FILTER (state = 'view') >= 3 AND count(*) FILTER (state = 'view' AND at >= TIMESTAMP '2024-01-30 12:00:00') = 0 AS skip FROM ({_LAST})")
+def mass_heartbeat_guard(spark: SparkSession, d: str) -> DataFrame:
+    run, live = F.count_if(c("state") == "view"), F.count_if((c("state") == "view") & (c("at") >= F.lit("2024-01-30 12:00:00").cast("timestamp")))
+    return _last(spark, d).agg(run.alias("running"), ((run >= 3) & (live == 0)).alias("skip"))
+
+
+@query("SELECT event_id, value = max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS accepted FROM events")
+def heartbeat_owner_write(spark: SparkSession, d: str) -> DataFrame:
+    """A heartbeat counts while no later attempt (here: a larger value) has written."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t(spark, d, "events").select("event_id", (c("value") == F.max("value").over(w)).alias("accepted"))
+
+
+@query(f"SELECT user_id, state = 'view' AND at > {NOW} - INTERVAL 12 HOUR AS fresh FROM ({_LAST})")
+def fresh_running_precheck(spark: SparkSession, d: str) -> DataFrame:
+    return _last(spark, d).select("user_id", ((c("state") == "view") & (c("at") > F.lit("2024-01-30 12:00:00").cast("timestamp"))).alias("fresh"))
+
+
+@query("SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) > 1 THEN 'DUPLICATE' WHEN dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) > 3 THEN 'BUSY' ELSE 'ACCEPT' END AS admission FROM events")
+def slot_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Three users of each kind are admitted, each once."""
+    w = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
+    e = t(spark, d, "events")
+    # users are far fewer than events: their ranks come from the distinct pairs
+    users = e.select("event_type", "user_id").distinct().withColumn("r", F.dense_rank().over(Window.partitionBy("event_type").orderBy("user_id")))
+    admission = F.when(F.row_number().over(w) > 1, "DUPLICATE").when(c("r") > 3, "BUSY").otherwise("ACCEPT")
+    return e.join(users, ["event_type", "user_id"]).select("event_id", admission.alias("admission"))
+
+
+@query()
+def token_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return K.token_bucket(t(spark, d, "events"), "user_id", 2, 1 / 43_200)
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10")
+def inflight_semaphore(spark: SparkSession, d: str) -> DataFrame:
+    return S.latest(t(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id")
+
+
+@query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 1")
+def rate_quota_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return K.quota(t(spark, d, "events"), "user_id", 1).select("event_id")
+
+
+@query("[event] SELECT event_id, least(2 ** (k % 7) * 2, 30)::BIGINT AS wait_s, NOT (400 + k BETWEEN 400 AND 499 AND 400 + k <> 429) AS retried FROM event")
+def backoff_retry(spark: SparkSession, d: str) -> DataFrame:
+    s = 400 + c("k")
+    return event(spark, d).select("event_id", F.least(F.pow(F.lit(2), c("k") % 7) * 2, F.lit(30)).cast("long").alias("wait_s"), (~(s.between(400, 499) & (s != 429))).alias("retried"))
+
+
+@query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) = 1")
+def dedupe_ttl(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").withColumn("day", F.date_trunc("day", "ts"))
+    return S.latest(e, ["user_id", "event_type", "day"], ["ts", "event_id"]).select("event_id")
+
+
+@query("SELECT source, md5(text) AS hash, min(doc_id) AS doc_id FROM documents GROUP BY ALL HAVING count(*) > 1")
+def content_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").groupBy("source", F.md5("text").alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+@query("[event] SELECT event_id, CASE WHEN k IS NULL OR value < 5 THEN 'dead' ELSE 'live' END AS queue FROM event")
+def poison_message(spark: SparkSession, d: str) -> DataFrame:
+    return event(spark, d).select("event_id", F.when(c("k").isNull() | (c("value") < 5), "dead").otherwise("live").alias("queue"))
+
+
+@query("SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3 THEN 'retry' ELSE 'dead' END AS decision FROM events WHERE event_type = 'error'")
+def delivery_retry(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t(spark, d, "events").where("event_type = 'error'").select("event_id", F.when(F.row_number().over(w) <= 3, "retry").otherwise("dead").alias("decision"))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS last_id, bool_or(event_type IN ('purchase', 'error')) AS closed FROM events GROUP BY ALL")
+def event_fanout(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("last_id"), F.bool_or(c("event_type").isin("purchase", "error")).alias("closed"))
+
+
+@query("SELECT a.p_brand AS a, b.p_brand AS b, count(*) AS shared FROM (SELECT DISTINCT p_brand, p_name FROM part) a JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON a.p_name = b.p_name AND a.p_brand < b.p_brand GROUP BY ALL")
+def multi_lock_order(spark: SparkSession, d: str) -> DataFrame:
+    """Write sets that meet, with the size of what they share."""
+    p = t(spark, d, "part").select("p_brand", "p_name").distinct()
+    a, b = p.alias("a"), p.alias("b")
+    return a.join(b, (c("a.p_name") == c("b.p_name")) & (c("a.p_brand") < c("b.p_brand"))).groupBy(c("a.p_brand").alias("a"), c("b.p_brand").alias("b")).agg(F.count("*").alias("shared"))
+
+
+@query("[entity] SELECT group_id, avg((source_count <= 1)::INT) >= 0.5 AS due FROM entity GROUP BY group_id")
+def nightly_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    from cinegraph.plans.q_graph import rebuild
+
+    return rebuild(spark, d).select("group_id", c("rebuild").alias("due"))
+
+
+@query(f"SELECT event_id FROM events WHERE event_type = 'signup' AND ts < {NOW} - INTERVAL 3 DAY")
+def orphan_upload_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").where((c("event_type") == "signup") & (c("ts") < F.lit("2024-01-28 00:00:00").cast("timestamp"))).select("event_id")
+
+
+@query(f"SELECT user_id, CASE WHEN state IN ('purchase') THEN 'DONE' WHEN state = 'error' THEN 'FAILED' WHEN at < {NOW} - INTERVAL 12 HOUR THEN 'FAILED' ELSE 'RUNNING' END AS status FROM ({_LAST})")
+def status_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    old = c("at") < F.lit("2024-01-30 12:00:00").cast("timestamp")
+    return _last(spark, d).select("user_id", F.when(c("state") == "purchase", "DONE").when((c("state") == "error") | old, "FAILED").otherwise("RUNNING").alias("status"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def resume_cache(spark: SparkSession, d: str) -> DataFrame:
+    done = t(spark, d, "labels").where("quality = 1").select("doc_id")
+    return t(spark, d, "documents").select("doc_id").join(done, "doc_id", "left_anti")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def window_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return W.tumbling(t(spark, d, "events"), "1 hour").withColumn("total", F.round("total", 4))
+
+
+@query("SELECT h + INTERVAL (i * 30) MINUTE AS start, event_type, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE AS h, unnest([0, 1]) AS i FROM events) GROUP BY ALL")
+def window_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return W.sliding(t(spark, d, "events"), "1 hour", "30 minutes")
+
+
+@query("WITH g AS (SELECT *, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR)::INT AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k")
+def window_session(spark: SparkSession, d: str) -> DataFrame:
+    return W.session(t(spark, d, "events"), "6 hours")
