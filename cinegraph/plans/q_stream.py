@@ -29,7 +29,7 @@ def task_state_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same machine as a stream with state; a source of one file is one batch."""
     schema = t(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return W.drain(W.task_states(source), "update")
+    return W.drain(W.task_states(source, None), "update")
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'view') AS attempts, least(count(*) FILTER (event_type = 'error'), 2) AS retries FROM events GROUP BY user_id")

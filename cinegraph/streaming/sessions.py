@@ -35,8 +35,11 @@ def dedupe(events: DataFrame, keys: list[str], lifetime: str) -> DataFrame:
     return events.withWatermark("ts", lifetime).dropDuplicatesWithinWatermark(keys)
 
 
-def task_states(events: DataFrame, idle_ms: int = 1_800_000) -> DataFrame:
-    """Each task's state after every batch, kept across batches; a task that idles past the watchdog fails."""
+def task_states(events: DataFrame, idle_ms: int | None = 1_800_000) -> DataFrame:
+    """Each task's state after every batch, kept across batches; a task that idles past the watchdog fails.
+
+    Without idle_ms there is no watchdog: a stream that is drained and stopped has no time to idle.
+    """
     out = "user_id long, state string, attempts long, rejected long"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,10 +54,11 @@ def task_states(events: DataFrame, idle_ms: int = 1_800_000) -> DataFrame:
                 rejected += not ok
                 attempts += ok and kind == "view"
             state.update((now, attempts, rejected))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "state": [now], "attempts": [attempts], "rejected": [rejected]})
 
-    return events.groupBy("user_id").applyInPandasWithState(run, out, "state string, attempts long, rejected long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(run, out, "state string, attempts long, rejected long", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
