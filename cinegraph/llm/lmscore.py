@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cinegraph.llm.common import LOWER, lists, mix, passes, piece_hash, prefix_hash, scratch, tune, words
 
 CLASSES, DIM, NOISE, STEP_TOKENS, RATE = 1000, 16, 24, 16_384, 0.05
-LOOKUP = 400_000
+LOOKUP = 150_000
 #: Distinct tokens that a task holds before it hands on their counts.
 HELD = 1_000_000
 CHUNK = 2048
@@ -74,6 +74,24 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _frequent(vocab: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and counts, most frequent first, of those above the least count that at most n tokens reach.
+
+    The bound comes from a histogram of count classes (some thousand rows at most), so nothing is sorted.
+    """
+    steps = {r.k: r.n for r in vocab.groupBy(F.floor(F.log2("c") * 16).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}
+    least, held = max(steps, default=0) + 1, 0
+    for k in sorted(steps, reverse=True):
+        held += steps[k]
+        if held > n:
+            break
+        least = k
+    rows = vocab.where(F.floor(F.log2("c") * 16).cast("int") >= least).toArrow()
+    h, c = rows["h"].to_numpy().astype(np.int64), rows["c"].to_numpy().astype(np.int64)
+    order = np.lexsort((h, -c))
+    return h[order].view(np.uint64), c[order]
+
+
 class Model:
     """r: vectors of context classes, t: of targets, s: scales of the two places, b: biases."""
 
@@ -167,8 +185,7 @@ def score(docs: DataFrame) -> DataFrame:
     learn = base.where("not held_out")
     vocab = scratch(count_tokens(learn), "lm-counts")
     v, n = vocab.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = vocab.orderBy(F.desc("c"), "h").limit(LOOKUP).toPandas()
-    h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    h, c = _frequent(vocab, LOOKUP)
     k = min(CLASSES, len(h))
     rest_n, rest_v = n - int(c[:k].sum()), v - k
     counts = np.append(c[:k], rest_n).astype(np.float64)

@@ -13,7 +13,7 @@ def toks(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)})), None]
 
 
-@pytest.mark.parametrize("lookup,classes", [(400_000, 1000), (20, 5)])
+@pytest.mark.parametrize("lookup,classes", [(150_000, 1000), (20, 5)])
 def test_base_scores_equal_brute_force(spark, monkeypatch, lookup, classes):
     monkeypatch.setattr(m, "LOOKUP", lookup)
     monkeypatch.setattr(m, "CLASSES", classes)
