@@ -6,8 +6,8 @@ Jaccard similarity of 0.8 share three of their sixteen keys at least but for a c
 found by two shared short lists, or by a shared pair of long ones:
 
 * lists of up to SHORT classes give pairs; two shared lists make a candidate;
-* of the keys with longer lists (a common passage, or a large group of near copies), each class emits the pairs;
-  the lists of such pairs are short again for common passages, and give candidates;
+* of the keys with longer lists (a common passage, or a large group of near copies), each class emits pairs of
+  neighbours in hash order; the lists of such pairs are short again for common passages, and give candidates;
 * where even those are long, the classes are near copies or share a common passage: they join one cluster by a
   star, without any pair.
 
@@ -18,7 +18,7 @@ from above, pairs that pass are intersected, and pairs that are connected alread
 task is a star for each component, never the pairs. The components of those links are the result.
 
 Edge cases: a null or empty text, or one without words, has an empty set and stays alone; fewer words than a
-shingle make one shingle; a text without id is dropped; repeated rows with one id are one document.
+shingle make one shingle; a text without id is in no result, but keep_one keeps it; repeated rows with one id are one document.
 """
 
 from __future__ import annotations
@@ -37,10 +37,12 @@ from cinegraph.operators.components import components
 SHINGLE = 4
 THRESHOLD = 80  # per cent
 KEYS, SKETCH = 16, 64
+#: Of a set's keys with long lists, each makes pairs with so many next ones: similar sets share one but for a chance of 1e-7.
+NEXT_KEYS = 3
 SHORT = 32
 #: Shared values among the SKETCH smallest of the union: 0.8 lies five standard deviations above.
 LEAST_SHARE = 0.55
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 DIMS = 2048
 
 
@@ -102,8 +104,8 @@ def _candidates(sets: DataFrame) -> DataFrame:
     lists = scratch(_long_lists(postings, "key"), "nd-lists")
     short = _pairs(lists.where(F.col("len") <= SHORT), "key").groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
 
-    hot = lists.where(F.col("len") > SHORT).groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("key")).alias("k"))
-    two = F.expr("flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> xxhash64(x, y))))")
+    hot = lists.where(F.col("len") > SHORT).groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("key")).alias("k"))
+    two = F.expr(f"flatten(transform(k, (x, i) -> transform(slice(k, i + 2, {NEXT_KEYS}), y -> xxhash64(x, y))))")
     second = scratch(_long_lists(hot.select("rep", "n", F.explode(two).alias("key")), "key"), "nd-lists")
     pairs = short.unionByName(_pairs(second.where(F.col("len") <= SHORT), "key")).distinct()
 
@@ -245,4 +247,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents that stay: one of each component."""
     kept = near_duplicates(docs, shingle).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
