@@ -27,7 +27,7 @@ from cinegraph.llm.common import gram_hash, passes, prefix_hash, tune
 
 ROLL = 16
 CHUNK_MASK = 1023
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 12 << 20
 #: Fixed value: the splitting pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -136,12 +136,15 @@ def find_cuts(data: np.ndarray, off: np.ndarray, roll: int = ROLL, mask: int = C
     return out
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """Adds a binary column: the ids of the text as little-endian unsigned 32-bit integers."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None, decoded: str | None = None) -> DataFrame:
+    """Adds a binary column: the ids of the text as little-endian unsigned 32-bit integers.
+
+    With `decoded` a column of that name holds the ids decoded again, by the same worker.
+    """
     tune(df.sparkSession)
     path = vocabulary or default_vocabulary()
-    kept = df.drop(ids)
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType())])
+    kept = df.drop(ids, *([decoded] if decoded else []))
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     place = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +152,9 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str
         for b, data, off in passes(batches, text):
             assert b.schema.get_field_index(text) == place
             raw = data.tobytes()
-            found = [c.encode(raw[off[i] : off[i + 1]], cuts).astype("<u4").tobytes() for i, cuts in enumerate(find_cuts(data, off))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, ids])
+            found = [c.encode(raw[off[i] : off[i + 1]], cuts).astype("<u4") for i, cuts in enumerate(find_cuts(data, off))]
+            more = [pa.array([c.decode(x).decode("utf-8", "replace") for x in found], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in found], pa.binary()), *more], names=[*b.schema.names, ids, *([decoded] if decoded else [])])
 
     return kept.mapInArrow(run, schema)
 
@@ -173,8 +177,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: s
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of a round trip over whole texts."""
-    ids = encode(docs.select("doc_id", "text"), vocabulary=vocabulary).drop("text")
-    return decode(ids, vocabulary=vocabulary).select(
+    return encode(docs.select("doc_id", "text"), vocabulary=vocabulary, decoded="decoded").select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -19,9 +19,9 @@ from cinegraph.plans.shared import drop_scratch, scratch, shared_dir
 __all__ = ["drop_scratch", "scratch", "shared_dir"]
 
 #: Bytes of text that one numpy pass handles at a time; a longer document is a pass of its own.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 3 << 19
 #: Rows of an Arrow batch: some documents are a hundred times the usual length.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 U = np.uint64
 

@@ -38,7 +38,7 @@ L = 200
 GRAM = 64
 MOST_PIECES = 2000
 #: Bytes of one task's expansion.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 _POS = 28
 
 

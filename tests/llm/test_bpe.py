@@ -33,6 +33,11 @@ def test_round_trip_is_exact(spark):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_decode_alone(spark):
+    df = spark.createDataFrame([(1, "Zwei Straßen"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(df)).collect()} == {1: "Zwei Straßen", 2: ""}
+
+
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
