@@ -39,7 +39,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with the token ids and their number; the decoded ids equal the text."""
-    out = bpe.decode(bpe.encode(docs))
+    out = bpe.encode(docs, decoded="decoded")
     return out.select(*docs.columns, "ids", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
