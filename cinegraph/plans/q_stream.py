@@ -12,7 +12,7 @@ from cinegraph.streaming import sessions as W
 
 c = F.col
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
-_LAST = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS at FROM events GROUP BY user_id"
+_LAST = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS seen FROM events GROUP BY user_id"
 
 
 def _last(spark: SparkSession, d: str) -> DataFrame:
@@ -42,14 +42,14 @@ def manual_retry(spark: SparkSession, d: str) -> DataFrame:
     return _last(spark, d).select("user_id", F.when(c("state") == "error", "QUEUED").otherwise(F.upper("state")).alias("state"), F.lit(0).alias("budget"))
 
 
-@query(f"SELECT user_id, state, at < {NOW} - INTERVAL 5 MINUTE AND state IN ('signup', 'click') OR at < {NOW} - INTERVAL 30 MINUTE AND state = 'view' AS stale FROM ({_LAST})")
+@query(f"SELECT user_id, state, seen < {NOW} - INTERVAL 5 MINUTE AND state IN ('signup', 'click') OR seen < {NOW} - INTERVAL 30 MINUTE AND state = 'view' AS stale FROM ({_LAST})")
 def watchdog(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     age = F.unix_timestamp(now) - F.unix_timestamp("at")
     return _last(spark, d).select("user_id", "state", (((age > 300) & c("state").isin("signup", "click")) | ((age > 1800) & (c("state") == "view"))).alias("stale"))
 
 
-@query(f"SELECT count(*) FILTER (state = 'view') AS running, count(*) FILTER (state = 'view') >= 3 AND count(*) FILTER (state = 'view' AND at >= TIMESTAMP '2024-01-30 12:00:00') = 0 AS skip FROM ({_LAST})")
+@query(f"SELECT count(*) FILTER (state = 'view') AS running, count(*) FILTER (state = 'view') >= 3 AND count(*) FILTER (state = 'view' AND seen >= TIMESTAMP '2024-01-30 12:00:00') = 0 AS skip FROM ({_LAST})")
 def mass_heartbeat_guard(spark: SparkSession, d: str) -> DataFrame:
     run, live = F.count_if(c("state") == "view"), F.count_if((c("state") == "view") & (c("at") >= F.lit("2024-01-30 12:00:00").cast("timestamp")))
     return _last(spark, d).agg(run.alias("running"), ((run >= 3) & (live == 0)).alias("skip"))
@@ -62,7 +62,7 @@ def heartbeat_owner_write(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", (c("value") == F.max("value").over(w)).alias("accepted"))
 
 
-@query(f"SELECT user_id, state = 'view' AND at > {NOW} - INTERVAL 12 HOUR AS fresh FROM ({_LAST})")
+@query(f"SELECT user_id, state = 'view' AND seen > {NOW} - INTERVAL 12 HOUR AS fresh FROM ({_LAST})")
 def fresh_running_precheck(spark: SparkSession, d: str) -> DataFrame:
     return _last(spark, d).select("user_id", ((c("state") == "view") & (c("at") > F.lit("2024-01-30 12:00:00").cast("timestamp"))).alias("fresh"))
 
@@ -146,7 +146,7 @@ def orphan_upload_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").where((c("event_type") == "signup") & (c("ts") < F.lit("2024-01-28 00:00:00").cast("timestamp"))).select("event_id")
 
 
-@query(f"SELECT user_id, CASE WHEN state IN ('purchase') THEN 'DONE' WHEN state = 'error' THEN 'FAILED' WHEN at < {NOW} - INTERVAL 12 HOUR THEN 'FAILED' ELSE 'RUNNING' END AS status FROM ({_LAST})")
+@query(f"SELECT user_id, CASE WHEN state IN ('purchase') THEN 'DONE' WHEN state = 'error' THEN 'FAILED' WHEN seen < {NOW} - INTERVAL 12 HOUR THEN 'FAILED' ELSE 'RUNNING' END AS status FROM ({_LAST})")
 def status_reconcile(spark: SparkSession, d: str) -> DataFrame:
     old = c("at") < F.lit("2024-01-30 12:00:00").cast("timestamp")
     return _last(spark, d).select("user_id", F.when(c("state") == "purchase", "DONE").when((c("state") == "error") | old, "FAILED").otherwise("RUNNING").alias("status"))
