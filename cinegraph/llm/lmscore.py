@@ -1,13 +1,16 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation (operator 9).
 
-Counts of all tokens of all training documents are the unigram base. The neural model knows the CLASSES most
-frequent tokens and one class for the rest: the vectors of the two classes before, each scaled by its place,
-add up to a prediction, whose products with the target vectors plus biases are the scores. Training is
-noise-contrastive: every partition of the training documents runs over all of its tokens, with noise drawn from
-the unigram classes and shared by a batch, so a step is a few matrix products; the partitions' parameters are
-averaged by their tokens, in two levels. Scores are normalised exactly: for each pair of classes that occurs, a
-batched matrix product gives the sum over all classes, once in each worker. A token of the rest class is spelled
-out by its smoothed frequency in the rest, so the probabilities of all tokens sum to one.
+Counts of all tokens of all training documents are the unigram base. In the neural model the CLASSES most frequent
+tokens have a class each; all others are hashed into as many classes as the square root of their number, so the
+model grows with the counted vocabulary and every token says something as context and as target. The vectors of
+the two classes before, each scaled by its place, add up to a prediction, whose products with the target vectors
+plus biases are the scores. Training is noise-contrastive: in each of ROUNDS rounds every partition of the training
+documents runs over all of its tokens, with noise drawn from the unigram classes and shared by a batch, so a step is
+a few matrix products; the partitions' parameters and step sizes are averaged by their tokens, in two levels, and
+the next round goes on from them. Scores are normalised exactly: for each pair of classes that occurs, a batched
+matrix product gives the sum over all classes, once in each task, or once in each pass where a table of all pairs
+would exceed PAIRS. A token of a hashed class is spelled out by its smoothed frequency in that class, so the
+probabilities of all tokens sum to one.
 
 The LOOKUP most frequent counts go to all workers (a bounded table); counts of rarer tokens are joined by a
 64-bit hash, one row for each document and rare token.
@@ -30,9 +33,14 @@ from cinegraph.llm.common import LOWER, lists, mix, passes, piece_hash, prefix_h
 
 CLASSES, DIM, NOISE, STEP_TOKENS, RATE = 1000, 16, 24, 16_384, 0.05
 LOOKUP = 150_000
+ROUNDS = 3
+#: Pairs of classes whose normalisers a task keeps (64 MB).
+PAIRS = 1 << 24
 #: Distinct tokens that a task holds before it hands on their counts.
 HELD = 1_000_000
 CHUNK = 2048
+#: Pairs of classes in one product, whose block of scores should stay in a core's cache.
+BLOCK = 128
 END = mix(np.array([0xE0D], np.uint64))[0]
 
 
@@ -102,7 +110,7 @@ class Model:
         self.t = p[k : k + (n + 1) * DIM].reshape(n + 1, DIM)
         self.s = p[k + (n + 1) * DIM : k + (n + 1) * DIM + 2 * DIM].reshape(2, DIM)
         self.b = p[k + (n + 1) * DIM + 2 * DIM :]
-        self.z = np.full((n + 2) * (n + 2), np.nan, np.float32)
+        self.z = np.full((n + 2) * (n + 2) if (n + 2) * (n + 2) <= PAIRS else 0, np.nan, np.float32)
 
     @staticmethod
     def start(counts: np.ndarray) -> np.ndarray:
@@ -118,13 +126,23 @@ class Model:
     def log_prob(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities; the normaliser of a pair of classes is computed once."""
         code = one * (self.n + 2) + two
-        new = np.unique(code[np.isnan(self.z[code])])
-        for at in range(0, len(new), CHUNK):
-            c = new[at : at + CHUNK]
+        if len(self.z):
+            new = np.unique(code[np.isnan(self.z[code])])
+            self.z[new] = self.normalisers(new)
+            z = self.z[code]
+        else:
+            new, at = np.unique(code, return_inverse=True)
+            z = self.normalisers(new)[at]
+        return (self.predict(one, two) * self.t[target]).sum(axis=1) + self.b[target] - z
+
+    def normalisers(self, code: np.ndarray) -> np.ndarray:
+        z = np.empty(len(code), np.float32)
+        for at in range(0, len(code), BLOCK):
+            c = code[at : at + BLOCK]
             x = self.predict(c // (self.n + 2), c % (self.n + 2)) @ self.t.T + self.b
             top = x.max(axis=1)
-            self.z[c] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-        return (self.predict(one, two) * self.t[target]).sum(axis=1) + self.b[target] - self.z[code]
+            z[at : at + BLOCK] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+        return z
 
 
 def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -132,12 +150,12 @@ def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 class Trainer:
-    def __init__(self, start: np.ndarray, counts: np.ndarray):
+    def __init__(self, start: np.ndarray, counts: np.ndarray, squares: np.ndarray | None = None):
         self.m = Model(start.copy(), len(counts) - 1)
         self.noise = (counts + 0.5) / (counts + 0.5).sum()
         self.cum = np.cumsum(self.noise)
         self.shift = np.log(NOISE * self.noise).astype(np.float32)
-        self.g = np.full(len(start), 1e-2, np.float32)
+        self.g = np.full(len(start), 1e-2, np.float32) if squares is None else squares.copy()
         self.rng = np.random.default_rng(3)
         self.seen = 0
 
@@ -166,6 +184,12 @@ def _lookup(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, known[at] == values if len(known) else np.zeros(len(values), bool)
 
 
+def _classes(w: np.ndarray, at: np.ndarray, there: np.ndarray, known_k: np.ndarray, k: int, hashed: int) -> np.ndarray:
+    """The own class of the k most frequent tokens, and a hashed one from k on for all others."""
+    rest = k + np.mod(w.view(np.int64), hashed)
+    return np.where(there & (known_k[at] < k), known_k[at], rest) if len(known_k) else rest
+
+
 def _contexts(classes: np.ndarray, n: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The class before each token and the one before that; `start` before a row's first."""
     first = np.cumsum(n) - n
@@ -187,26 +211,28 @@ def score(docs: DataFrame) -> DataFrame:
     v, n = vocab.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     h, c = _frequent(vocab, LOOKUP)
     k = min(CLASSES, len(h))
-    rest_n, rest_v = n - int(c[:k].sum()), v - k
+    hashed = max(int(np.ceil(np.sqrt(v - k))), 1)
+    rest_n, rest_v = _hashed_counts(vocab, h[:k], c[:k], hashed)
+    spelled = np.log10(rest_n + 0.5 * (rest_v + 1))
     counts = np.append(c[:k], rest_n).astype(np.float64)
     order = np.argsort(h)
     table = spark.sparkContext.broadcast((h[order], c[order], np.where(order < k, order, k).astype(np.int64)))
     start = Model.start(counts)
-    params = spark.sparkContext.broadcast(_train(learn, table, counts, start))
+    params = spark.sparkContext.broadcast(_train(learn, table, counts, start, k))
 
     lnten = np.log(10)
     logc = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, lm double, rest long, rare array<long>, times array<int>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, lm double, rare array<long>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_c, known_k = table.value
-        m = Model(params.value, k)
+        m = Model(params.value, k + hashed - 1)
         for b, data, off in passes(batches, "text"):
             w, size = tokens(data, off)
             row = np.repeat(np.arange(len(size)), size)
             at, there = _lookup(w, known)
-            cls = np.where(there, known_k[at], k) if len(known) else np.full(len(w), k)
-            one, two = _contexts(cls, size, k + 1)
+            cls = _classes(w, at, there, known_k, k, hashed)
+            one, two = _contexts(cls, size, k + hashed)
             lp = m.log_prob(one, two, cls) / lnten
             lc = np.where(there, np.log10(known_c[at] + 0.5), 0.0) if len(known) else np.zeros(len(w))
             sums = lambda x: np.bincount(row, weights=x, minlength=len(size))
@@ -224,8 +250,7 @@ def score(docs: DataFrame) -> DataFrame:
                     pa.array(size),
                     pa.array(sums(there).astype(np.int64)),
                     pa.array(sums(lc)),
-                    pa.array(sums(lp) + sums(lc * (cls == k))),
-                    pa.array(sums(cls == k).astype(np.int64)),
+                    pa.array(sums(lp) + sums(np.where(cls >= k, lc - spelled[np.maximum(cls - k, 0)], 0.0))),
                     lists(x[cut].view(np.int64), per, pa.int64()),
                     lists(times.astype(np.int32), per, pa.int32()),
                 ],
@@ -244,33 +269,49 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"),
-        (F.col("lm") + more - F.col("rest") * float(np.log10(rest_n + 0.5 * (rest_v + 1)))).alias("score"),
+        (F.col("lm") + more).alias("score"),
     )
 
 
-def _train(learn: DataFrame, table, counts: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Every partition trains on all of its tokens from the same start; the mean by tokens, in two levels."""
-    k = len(counts) - 1
+def _hashed_counts(vocab: DataFrame, h: np.ndarray, c: np.ndarray, hashed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and different tokens of each hashed class, without those that have a class of their own."""
+    rows = vocab.groupBy(F.pmod("h", F.lit(hashed)).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()
+    at, own = rows["k"].to_numpy().astype(np.int64), np.mod(h.view(np.int64), hashed)
+    total = lambda i, x: np.bincount(i, weights=x, minlength=hashed)
+    return total(at, rows["n"].to_numpy()) - total(own, c), total(at, rows["v"].to_numpy()) - total(own, np.ones(len(h)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _, known_k = table.value
-        trainer = Trainer(start, counts)
-        for _, data, off in passes(batches, "text"):
-            w, size = tokens(data, off)
-            at, there = _lookup(w, known)
-            cls = np.where(there, known_k[at], k)
-            one, two = _contexts(cls, size, k + 1)
-            for a in range(0, len(w), STEP_TOKENS):
-                trainer.step(one[a : a + STEP_TOKENS], two[a : a + STEP_TOKENS], cls[a : a + STEP_TOKENS])
-        if trainer.seen:
-            pieces = [trainer.m.p[i : i + CHUNK].astype(np.float64) * trainer.seen for i in range(0, len(start), CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([float(trainer.seen)] * len(pieces)), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["part", "n", "p"])
+
+def _train(learn: DataFrame, table, counts: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """In each round every partition trains on all of its tokens from the same start; the mean by tokens, in two levels."""
+    spark, hashed = learn.sparkSession, len(counts) - k
+    state = np.concatenate([start, np.full(len(start), 1e-2, np.float32)])
 
     def add(own: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x) for x in own["p"])
         return pd.DataFrame({"part": [own["part"].iloc[0]], "n": [own["n"].sum()], "p": [total.tobytes()]})
 
-    rows = learn.select("text").mapInArrow(run, "part int, n double, p binary").withColumn("some", F.spark_partition_id() % 64)
-    rows = rows.groupBy("part", "some").applyInPandas(add, "part int, n double, p binary")
-    found = rows.groupBy("part").applyInPandas(add, "part int, n double, p binary").orderBy("part").collect()  # one model's size
-    return np.concatenate([np.frombuffer(r.p) / r.n for r in found]).astype(np.float32) if found else start
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(state)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known, _, known_k = table.value
+            trainer = Trainer(sent.value[: len(start)], counts, sent.value[len(start) :])
+            for _, data, off in passes(batches, "text"):
+                w, size = tokens(data, off)
+                at, there = _lookup(w, known)
+                cls = _classes(w, at, there, known_k, k, hashed)
+                one, two = _contexts(cls, size, k + hashed)
+                for a in range(0, len(w), STEP_TOKENS):
+                    trainer.step(one[a : a + STEP_TOKENS], two[a : a + STEP_TOKENS], cls[a : a + STEP_TOKENS])
+            if trainer.seen:
+                own = np.concatenate([trainer.m.p, trainer.g])
+                pieces = [own[i : i + CHUNK].astype(np.float64) * trainer.seen for i in range(0, len(own), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([float(trainer.seen)] * len(pieces)), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["part", "n", "p"])
+
+        rows = learn.select("text").mapInArrow(run, "part int, n double, p binary").withColumn("some", F.spark_partition_id() % 64)
+        rows = rows.groupBy("part", "some").applyInPandas(add, "part int, n double, p binary")
+        found = rows.groupBy("part").applyInPandas(add, "part int, n double, p binary").orderBy("part").collect()  # one model's size, twice
+        if not found:
+            break
+        state = np.concatenate([np.frombuffer(r.p) / r.n for r in found]).astype(np.float32)
+    return state[: len(start)]

@@ -55,3 +55,34 @@ def test_probabilities_sum_to_one_and_gradient_learns():
 def test_empty_table(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert m.score(df.limit(0)).count() == 0
+
+
+def test_rare_tokens_are_context_and_target(spark, monkeypatch):
+    """Every token is outside the CLASSES and set by the one before; a single class for them all can't tell."""
+    monkeypatch.setattr(m, "CLASSES", 1)
+    monkeypatch.setattr(m, "STEP_TOKENS", 512)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{(s + i) % 40}" for i in range(200)) for s in rng.integers(0, 40, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = [r for r in m.score(df).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
+    assert gain > 0.2
+
+
+def test_hashed_classes_follow_the_vocabulary_and_sum_to_one(spark, monkeypatch):
+    """The counts of the hashed classes are those of the rest, and in each class all tokens and an unknown one add up to one."""
+    monkeypatch.setattr(m, "CLASSES", 3)
+    vocab = spark.createDataFrame([(h, h % 7 + 1) for h in range(-50, 50)], "h long, c long")
+    h, c = m._frequent(vocab, 150)
+    n, v = m._hashed_counts(vocab, h[:3], c[:3], 10)
+    assert len(n) == 10 and v.sum() == 97 and n.sum() == c.sum() - c[:3].sum()
+    rest = sum((x + 0.5) / (n[k] + 0.5 * (v[k] + 1)) for k, x in zip(np.mod(h[3:].view(np.int64), 10), c[3:], strict=True))
+    assert math.isclose(rest + sum(0.5 / (n + 0.5 * (v + 1))), 10)
+
+
+def test_normalisers_without_a_table_of_pairs(monkeypatch):
+    counts = np.array([50.0, 30, 20, 10])
+    one, two = np.array([0, 1, 4, 0]), np.array([4, 0, 4, 4])
+    want = m.Model(m.Model.start(counts), 3).log_prob(one, two, np.array([1, 2, 3, 0]))
+    monkeypatch.setattr(m, "PAIRS", 4)
+    assert np.allclose(m.Model(m.Model.start(counts), 3).log_prob(one, two, np.array([1, 2, 3, 0])), want)
