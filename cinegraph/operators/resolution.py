@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinegraph.functions.sequence import sequence_ratio
 from cinegraph.functions.text import jaccard, normalize_exact, shingles3
 from cinegraph.operators.components import components
-from cinegraph.operators.similarity import fuzzy_pairs
+from cinegraph.operators.similarity import fuzzy_pairs, sequence_pairs
 from cinegraph.plans.shared import drop_scratch, scratch
 
 Judge = Callable[[pd.DataFrame], pd.Series]
@@ -94,3 +95,14 @@ def description_gate(rows: DataFrame, key: str, order: str, text: str, limit: in
 
 def similarity(a: str, b: str) -> F.Column:
     return jaccard(shingles3(F.col(a)), shingles3(F.col(b)))
+
+
+def variants(names: DataFrame, column: str) -> DataFrame:
+    """a < b, ratio of all pairs with a sequence ratio of 0.8 or more and two or more differing characters.
+
+    Names of one length differ in the places that are unequal, others by their lengths.
+    """
+    p = sequence_pairs(names, column)
+    unequal = F.size(F.expr("filter(zip_with(split(a, ''), split(b, ''), (x, y) -> x <> y), x -> x)"))
+    apart = F.when(F.length("a") == F.length("b"), unequal).otherwise(F.abs(F.length("a") - F.length("b")))
+    return p.where(apart >= 2).select("a", "b", F.round(sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio")).where("ratio >= 0.8")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinegraph.functions.text import shingles3
@@ -23,3 +23,22 @@ def fuzzy_pairs(names: DataFrame, column: str, threshold: float) -> DataFrame:
     found = shingle_pairs(names, column, 0.0)
     inside = F.contains("a", F.col("b")) | F.contains("b", F.col("a"))
     return found.where((F.col("jaccard") >= threshold) | inside).select("a", "b")
+
+
+def sequence_pairs(names: DataFrame, column: str) -> DataFrame:
+    """a < b of all pairs of distinct names whose sequence ratio can be 0.8 or more, and some others.
+
+    A ratio of 0.8 needs 0.4 of both lengths in common characters, counted with repetition, so at least two thirds of
+    either name; the rarest third of each name's numbered characters, and one more, then share one.
+    """
+    name = F.col(column)
+    chars = F.array_sort(F.split("name", F.lit("")))
+    s = names.where(name.isNotNull() & (name != "")).select(name.alias("name")).distinct()
+    s = s.withColumn("s", F.transform(chars, lambda x, i: F.concat(x, F.lit(" "), (i - F.array_position(chars, x)).cast("string"))))
+    e = s.select("name", "s", F.explode("s").alias("g"))
+    e = e.join(e.groupBy("g").agg(F.count("*").alias("n")), "g")
+    e = e.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("n", "g"))).where(F.col("r") <= F.floor(F.size("s") / 3) + 1)
+    a, b = e.alias("a"), e.alias("b")
+    k, m = F.size("a.s"), F.size("b.s")
+    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.name") < F.col("b.name")) & (3 * k >= 2 * m) & (3 * m >= 2 * k))
+    return pairs.where(5 * F.size(F.array_intersect("a.s", "b.s")) >= 2 * (k + m)).select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()

@@ -203,12 +203,8 @@ def relation_anchor(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hop1_variant(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with a sequence ratio of 0.8 or more; only pairs that share a shingle are compared."""
-    from cinegraph.functions.sequence import sequence_ratio
-    from cinegraph.operators.similarity import shingle_pairs
-
-    p = shingle_pairs(t(spark, d, "part").select(c("p_name").alias("name")).distinct(), "name", 0.2)
-    return p.select("a", "b", F.round(sequence_ratio(c("a"), c("b")), 6).alias("ratio")).where("ratio >= 0.8")
+    """Pairs with a sequence ratio of 0.8 or more and two or more differing characters."""
+    return R.variants(t(spark, d, "part"), "p_name")
 
 
 @query("[mention] SELECT DISTINCT 'entity_' || group_id || '_' || name AS entity_id, media_id FROM mention WHERE segment_index = 1")
