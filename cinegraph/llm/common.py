@@ -7,11 +7,11 @@ so they can be told apart on bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegraph.plans.shared import drop_scratch, scratch, shared_dir
@@ -20,15 +20,21 @@ __all__ = ["drop_scratch", "scratch", "shared_dir"]
 
 #: Bytes of text that one numpy pass handles at a time; a longer document is a pass of its own.
 PASS_BYTES = 3 << 19
-#: Rows of an Arrow batch: some documents are a hundred times the usual length.
-BATCH_ROWS = "500"
+#: Session settings that bound what a task holds at once: some documents are a hundred times the usual length.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "parquet.block.size": str(16 << 20),
+}
 
 U = np.uint64
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches that are handed to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bounds Arrow batches, read batches and the row groups that a Parquet writer keeps until they are full."""
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     return spark
 
 
@@ -51,19 +57,39 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def passes(batches: Iterator[pa.RecordBatch], column: str, limit: int = PASS_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of whole rows with at most `limit` bytes of text each (one row at least)."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        data, off = utf8(b.column(b.schema.get_field_index(column)))
+def slices(col: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and offsets of stretches of rows with at most `limit` bytes each (one row at least)."""
+    if len(col):
+        data, off = utf8(col)
         at = 0
-        while at < b.num_rows:
+        while at < len(col):
             end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
-            yield b.slice(at, end - at), data[off[at] : off[end]], off[at : end + 1] - off[at]
+            yield at, data[off[at] : off[end]], off[at : end + 1] - off[at]
             at = end
 
 
+def from_text(run: Callable[[np.ndarray, np.ndarray], pa.Array], kind: str) -> Callable[[Column], Column]:
+    """A column function: `run` gets bytes and offsets of a stretch of rows and returns a value for each row.
+
+    Only these values come back from the worker; the other columns stay in the JVM.
+    """
+
+    @F.arrow_udf(kind)
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            found = [run(data, off) for _, data, off in slices(col)]
+            yield pa.concat_arrays(found) if found else run(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+
+    return column.asNondeterministic()
+
+
+def passes(batches: Iterator[pa.RecordBatch], column: str, limit: int = PASS_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of whole rows with at most `limit` bytes of text each (one row at least)."""
+    for b in batches:
+        for at, data, off in slices(b.column(b.schema.get_field_index(column)), limit):
+            yield b.slice(at, len(off) - 1), data, off
+
+
 SEP = np.zeros(256, bool)
 SEP[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

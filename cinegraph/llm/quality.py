@@ -11,16 +11,14 @@ repeated rows give repeated rows; clashing columns of the input are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cinegraph.llm.common import mix, passes, piece_hash, prefix_hash, tune, window_hash, words
+from cinegraph.llm.common import from_text, mix, piece_hash, prefix_hash, tune, window_hash, words
 
 BASE_N = 3
 
@@ -121,15 +119,15 @@ def repetition(df: DataFrame, rules: Rules = RULES, text: str = "text") -> DataF
     """Adds the counts of COLUMNS, chars_n for each n-gram length, base_failed and kept."""
     tune(df.sparkSession)
     names = [*COLUMNS, *(f"chars_{n}" for n in rules.grams)]
-    kept = df.drop(*names, "base_failed", "kept")
+    kept = df.drop(*names, "base_failed", "kept", "_m")
     lengths = list(rules.grams)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, off in passes(batches, text):
-            found = measure(data, off, lengths)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[n], pa.int64()) for n in names)], names=[*b.schema.names, *names])
+    def run(data: np.ndarray, off: np.ndarray) -> pa.Array:
+        found = measure(data, off, lengths)
+        return pa.StructArray.from_arrays([pa.array(found[n], pa.int64()) for n in names], names)
 
-    out = kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+    counts = from_text(run, "struct<" + ",".join(f"{n}:long" for n in names) + ">")
+    out = kept.withColumn("_m", counts(F.col(text))).select(*kept.columns, *(F.col(f"_m.{n}").alias(n) for n in names))
     c = F.col
     failed = (c("n_words") < rules.min_words) | (100 * c("n_repeat_words") > rules.max_repeat_words * c("n_words"))
     good = (

@@ -56,3 +56,12 @@ def test_blocks_and_empty_tables(spark):
     assert {(r.doc_id, tuple(sorted(r.item_id))) for r in one} == {(r.doc_id, tuple(sorted(h.item_id for h in r.hits))) for r in many}
     assert [r.doc_id for r in d.clean(docs, items).collect()] == [2]
     assert d.leaks(docs.limit(0), items).count() == 0 and d.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_short_items_and_items_without_id(spark):
+    items = spark.createDataFrame([(1, "2 + 2 = 4"), (2, "短い問題です"), (None, "the name of this river in the far north is Ob"), (3, "   "), (4, "cat")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "so 2 + 2 = 4."), (2, "so 2 + 2 = 41"), (3, "これは短い問題ですか"), (4, "well, the name of this river in the far nort is Ob!"), (5, "concatenate"), (6, "a Cat"), (7, None)], "doc_id long, text string"
+    )
+    assert {(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()} == {(1, 1), (3, 2), (4, None), (6, 4)}
+    assert sorted(r.doc_id for r in d.clean(docs.withColumn("_doc_id", docs.doc_id), items).collect()) == [2, 5, 7]
