@@ -18,7 +18,9 @@ from above, pairs that pass are intersected, and pairs that are connected alread
 task is a star for each component, never the pairs. The components of those links are the result.
 
 Edge cases: a null or empty text, or one without words, has an empty set and stays alone; fewer words than a
-shingle make one shingle; a text without id is in no result, but keep_one keeps it; repeated rows with one id are one document.
+shingle make one shingle. Every row is a document: rows without an id, or with an id that occurs again, are judged
+by their texts like all others. component_id is the least id in the component, null if none of its rows has one;
+there one of the rows counts as kept. keep_one keeps exactly one row of each component.
 """
 
 from __future__ import annotations
@@ -31,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.llm.common import LOWER, drop_scratch, flagged, mix, passes, piece_hash, prefix_hash, scratch, tune, window_hash, words
+from cinegraph.llm.common import LOWER, drop_scratch, flagged, from_text, mix, passes, piece_hash, prefix_hash, scratch, tune, window_hash, words
 from cinegraph.operators.components import components
 
 SHINGLE = 4
 THRESHOLD = 80  # per cent
 KEYS, SKETCH = 16, 64
 #: Of a set's keys with long lists, each makes pairs with so many next ones: similar sets share one but for a chance of 1e-7.
-NEXT_KEYS = 3
+NEXT_KEYS = 6
 SHORT = 32
 #: Shared values among the SKETCH smallest of the union: 0.8 lies five standard deviations above.
 LEAST_SHARE = 0.55
@@ -64,24 +66,29 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np
     return out
 
 
-def _features(docs: DataFrame, shingle: int) -> DataFrame:
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
     import xxhash
 
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)
+
+
+def _features(docs: DataFrame, shingle: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketch array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, off in passes(batches, "text"):
-            ids, n, f1, f2, keys, sketch = b.column(0), [], [], [], [], []
-            for s in shingle_sets(data, off, shingle):
-                h = xxhash.xxh3_128_intdigest(s.tobytes())
-                n.append(len(s))
-                f1.append((h & (1 << 64) - 1) - (1 << 63))
-                f2.append((h >> 64) - (1 << 63))
-                keys.append(s[:KEYS].view(np.int64))
-                sketch.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "f1", "f2", "keys", "sketch"])
+            sets = shingle_sets(data, off, shingle)
+            f = [fingerprint(s) for s in sets]
+            keys = [s[:KEYS].view(np.int64) for s in sets]
+            sketch = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in f], pa.int64()) for i in (0, 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int32()))],
+                names=["doc_id", "n_shingles", "f1", "f2", "keys", "sketch"],
+            )
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def _long_lists(postings: DataFrame, key: str) -> DataFrame:
@@ -182,16 +189,30 @@ def verify(ids: list[int], sets: list[np.ndarray], first: list[bool], within: bo
     return links.star()
 
 
-def _links(docs: DataFrame, clusters: DataFrame, shingle: int) -> DataFrame:
+def _odd(feats: DataFrame) -> DataFrame | None:
+    """The ids that do not tell rows apart (null, if there is one, among them), or None."""
+    odd = scratch(feats.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "nd-odd")
+    return None if odd.isEmpty() else odd
+
+
+def _links(docs: DataFrame, clusters: DataFrame, shingle: int, odd: DataFrame | None) -> DataFrame:
     """a, b: verified links that connect what is linked in each cluster."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in passes(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(data, off, shingle)], pa.binary())], names=["rep", "set"])
-
-    own = flagged(docs.where("doc_id is not null").select("doc_id", "text"), clusters.select(F.col("rep").alias("doc_id")), "doc_id").where("flag").select("doc_id", "text").mapInArrow(sets, "rep long, set binary")
+            own = shingle_sets(data, off, shingle)
+            f = [fingerprint(s) for s in own]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[i] for x in f], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in own], pa.binary())], names=["doc_id", "f1", "f2", "set"])
+
+    own = flagged(docs.select("doc_id", "text"), clusters.select("doc_id"), "doc_id").where("flag").select("doc_id", "text").mapInArrow(sets, "doc_id long, f1 long, f2 long, set binary")
+    key = ["doc_id", "f1", "f2"]
+    if odd is not None:
+        marked = scratch(flagged(own, odd, "doc_id"), "nd-sets")
+        own = marked.where("not flag").drop("flag").unionByName(marked.where("flag").groupBy(*key).agg(F.first("set").alias("set")))
     total = scratch(clusters.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("int").alias("nb")), "nd-blocks")
-    placed = clusters.join(total, "cluster").select("rep", "cluster", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("block"))
-    rows = own.join(placed, "rep")
+    placed = clusters.join(total, "cluster").select("rep", *[F.col(c).alias(f"c_{c}") for c in key], "cluster", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("block"))
+    same = (own.f1 == placed.c_f1) & (own.f2 == placed.c_f2) & own.doc_id.eqNullSafe(placed.c_doc_id)
+    rows = own.join(placed, same)
     task = F.explode(F.expr("transform(sequence(0, nb - 1), o -> struct(least(o, block) as i, greatest(o, block) as j))"))
     rows = rows.select("rep", "set", "cluster", "block", task.alias("t")).select("rep", "set", "cluster", "block", "t.i", "t.j")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -227,24 +248,55 @@ def _links(docs: DataFrame, clusters: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def _judged(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame | None]:
+    """row, doc_id, n_shingles, f1, f2, component_id and one (the component's single row that stays) of every row; odd ids."""
     tune(docs.sparkSession)
     feats = scratch(_features(docs, shingle), "nd-features")
+    odd = _odd(feats)
     some = feats.where("n_shingles > 0")
-    classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    sets = scratch(classes, "nd-classes")
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = some.groupBy("f1", "f2").agg(F.min(best).alias("best"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    sets = scratch(classes.select(F.col("best.row").alias("rep"), F.col("best.doc_id").alias("doc_id"), "*"), "nd-classes")
     groups = components(_candidates(sets))
-    clusters = scratch(groups.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sets.select("rep", "n"), "rep"), "nd-clusters")
-    found = components(_links(docs, clusters, shingle))
-    label = scratch(sets.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component")), "nd-labels")
+    clusters = scratch(groups.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sets.select("rep", "doc_id", "f1", "f2", "n"), "rep"), "nd-clusters")
+    found = components(_links(docs, clusters, shingle, odd)).withColumnRenamed("node", "rep")
+    label = scratch(sets.select("f1", "f2", "rep", "best").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "nd-components")
+    least = label.groupBy("component").agg(F.min("best").alias("of"))
+    label = scratch(label.join(least, "component").select("f1", "f2", F.col("of.doc_id").alias("component_id"), F.col("of.row").alias("stays")), "nd-labels")
     drop_scratch(sets)
-    out = some.select("doc_id", "n_shingles", "f1", "f2").join(label, ["f1", "f2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    alone = feats.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = some.select("row", "doc_id", "n_shingles", "f1", "f2").join(label, ["f1", "f2"])
+    out = out.select("row", "doc_id", "n_shingles", "f1", "f2", "component_id", (F.col("row") == F.col("stays")).alias("one"))
+    alone = feats.where("n_shingles = 0").select("row", "doc_id", "n_shingles", "f1", "f2", F.col("doc_id").alias("component_id"), F.lit(True).alias("one"))
+    return out.unionByName(alone), odd
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    found, _ = _judged(docs, shingle)
+    kept = F.when(F.col("component_id").isNull(), F.col("one")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents that stay: one of each component."""
-    kept = near_duplicates(docs, shingle).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows that stay: one of each component, and all without words."""
+    found, odd = _judged(docs, shingle)
+    kept = found.where("one").select("doc_id", "n_shingles", "f1", "f2")
+    if odd is None:
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    kept = scratch(kept, "nd-kept")
+    names = docs.columns
+    marked = flagged(docs.select(F.struct(*names).alias("r"), "doc_id", "text"), odd, "doc_id")
+    plain = marked.where("not flag").join(kept.select("doc_id"), "doc_id", "left_semi").select("r.*")
+
+    def of_text(data: np.ndarray, off: np.ndarray) -> pa.Array:
+        sets = shingle_sets(data, off, shingle)
+        f = [fingerprint(s) for s in sets]
+        return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in f], pa.int64()) for i in (0, 1))], ["n", "f1", "f2"])
+
+    # rows whose ids tell nothing: by their sets, one of those that are alike in both
+    rows = marked.where("flag").select("r", "doc_id", from_text(of_text, "struct<n:long,f1:long,f2:long>")(F.col("text")).alias("_f"))
+    rows = scratch(rows.select("r", "doc_id", "_f.n", "_f.f1", "_f.f2"), "nd-rows")
+    wins = kept.where("n_shingles > 0").select(F.col("doc_id").alias("k_id"), F.col("f1").alias("k1"), F.col("f2").alias("k2")).distinct()
+    of = rows.where("n > 0").join(wins, rows.doc_id.eqNullSafe(wins.k_id) & (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2")), "left_semi")
+    single = of.groupBy("doc_id", "f1", "f2").agg(F.first("r").alias("r")).select("r.*")
+    return plain.unionByName(single).unionByName(rows.where("n = 0").select("r.*"))

@@ -29,6 +29,18 @@ def brute(docs):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_rows_without_an_own_id(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    rows = [(None, a), (5, a), (None, b), (None, b), (7, b + " twelve thirteen"), (7, "other text here now"), (None, ""), (None, None), (9, "x y z"), (9, "x y z")]
+    df = spark.createDataFrame([(i, t, "flag", "r") for i, t in rows], "doc_id long, text string, flag string, row string")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in neardup.near_duplicates(df).collect()))
+    assert got == sorted([(0, 3, 5, False), (5, 3, 5, True), (0, 2, 0, True), (0, 2, 0, False), (7, 4, 7, True), (7, 1, 7, True), (0, 0, 0, True), (0, 0, 0, True), (9, 1, 9, True), (9, 1, 9, True)])
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    left = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert left == sorted([(5, a), (0, b), (7, b + " twelve thirteen"), (7, "other text here now"), (0, ""), (0, ""), (9, "x y z")])
+
+
 def corpus(rng):
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6)))
     text = lambda n: [word() for _ in range(n)]
@@ -58,6 +70,8 @@ def test_components_equal_brute_force(spark, monkeypatch, block):
     rows = [(i, t, "c", 1) for i, t in [*docs, docs[7]]]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, cluster string, rep int")).collect()
     want = brute(docs)
+    assert len(got) == len(rows)
+    got = [r for r in got if r.doc_id is not None]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
