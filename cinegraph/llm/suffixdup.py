@@ -3,10 +3,11 @@
 A byte is removed if a string of L bytes that covers it also starts anywhere else in the corpus.
 
 Dealing. Every L-byte window has an anchor: the least hash among its GRAM-byte grams. Equal windows have equal
-anchors, so what repeats meets under its anchor's hash. A piece is the stretch of text whose windows share one
-anchor. Anchors that occur once are dropped; where all pieces of an anchor are equal, all their windows repeat;
-only anchors with different pieces, one copy of each piece, go on. So the repeated stretches of copies are
-shipped once, whatever the number of copies.
+anchors, so what repeats meets under its anchor's hash. A piece is a stretch of text whose windows share one anchor
+hash; a run of a short period is one piece, cut after MOST_WINDOWS windows. An anchor of a single piece is dropped
+unless it stands in the piece more than once. Where all pieces of an anchor are equal (by the anchor's rolling hash
+and another hash over all bytes), all their windows repeat; only anchors with different pieces, one copy of each
+piece, go on. So the repeated stretches of copies are shipped once, whatever the number of copies.
 
 Expansion. A task joins whole anchor groups to a text of some MB, sorts its suffixes by their first L bytes at
 least, and derives the common prefixes of neighbours from the Burrows-Wheeler transform by increasing value:
@@ -15,11 +16,12 @@ boundary without a value gives it the value |w|. After L levels the boundaries w
 common bytes or more, and the suffixes beside them are the windows that repeat. Each boundary is given its value
 once, so the work is in proportion to the text, and nothing past L is expanded.
 
-An anchor with more than MOST_PIECES different pieces (the edge of a passage in very many documents) would make a
-group without bound: there each window is counted by a 128-bit hash, with partial aggregation, which is exact too.
+An anchor with more than MOST_PIECES different pieces or MOST_BYTES of them (the edge of a passage in very many
+documents) would make a group without bound: there each window is counted by its hash and its anchor's hash, with
+partial aggregation.
 
-Edge cases: a null text is empty; a text under L bytes keeps all; rows with equal id and text are separate
-documents, so all of their L-byte strings repeat; a null id is allowed; ids with different texts must differ.
+Edge cases: a null text is empty; a text under L bytes keeps all; every row is a document of its own, so rows with
+equal id and text lose all of their L-byte strings; ids may be null, and may stand on rows with different texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +37,19 @@ from cinegraph.llm.common import drop_scratch, flagged, gram_hash, passes, piece
 
 L = 200
 GRAM = 64
-MOST_PIECES = 2000
+MOST_PIECES, MOST_BYTES = 2000, 4 << 20
+MOST_WINDOWS = 1 << 17
 #: Bytes of one task's expansion.
 TEXT_BYTES = 1 << 20
 _POS = 28
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start, end and anchor hash of each piece of a pass."""
+def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, end and anchor hash of each piece of a pass, and whether its anchor stands in it at several places."""
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none > 0
     w = length - gram + 1
     g = gram_hash(prefix_hash(data), gram)
     key = (g >> np.uint64(_POS) << np.uint64(_POS)) | np.arange(len(g), dtype=np.uint64)
@@ -68,13 +70,19 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     np.subtract.at(ok, np.minimum(last, k), 1)
     valid = np.cumsum(ok[:-1]) > 0
     begin = valid.copy()
-    begin[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
+    hash_of = least >> np.uint64(_POS)
+    begin[1:] &= ~valid[:-1] | (hash_of[1:] != hash_of[:-1])
     begin[first] = True
     p1 = np.flatnonzero(begin)
     stop = valid.copy()
     stop[:-1] &= begin[1:] | ~valid[1:]
     p2 = np.flatnonzero(stop)
-    return np.searchsorted(off, p1, "right") - 1, p1, p2 + length, g[at[p1]]
+    if len(p1) and (p2 - p1).max() >= MOST_WINDOWS:
+        parts = (p2 - p1) // MOST_WINDOWS + 1
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        p1, last_of = np.repeat(p1, parts) + nth * MOST_WINDOWS, np.repeat(p2, parts)
+        p2 = np.minimum(p1 + MOST_WINDOWS - 1, last_of)
+    return np.searchsorted(off, p1, "right") - 1, p1, p2 + length, hash_of[p1], at[p1] != at[p2]
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -235,32 +243,43 @@ def _windows(pieces: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(merge, "ah long, ph long, ranges array<struct<s:long,e:long>>")
 
 
+def _keyed(text: Column, doc_id: Column) -> list[Column]:
+    """k, h: what tells documents apart. Rows that agree in both are equal in id and text."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")).alias("k"), F.xxhash64(text, doc_id.isNull()).alias("h")]
+
+
 def spans(docs: DataFrame, length: int = L, gram: int = GRAM) -> DataFrame:
-    """key, ranges: for each document with repeated strings, the stretches that they cover (unmerged)."""
+    """k, h, ranges: for each document (k, h, text) with repeated strings, the stretches that they cover (unmerged)."""
+    import xxhash
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, off in passes(batches, "text"):
-            row, p1, p2, h = anchors(data, off, length, gram)
-            ph = piece_hash(prefix_hash(data), p1, p2)
+            row, p1, p2, h, multi = anchors(data, off, length, gram)
+            raw = memoryview(data)
+            ph = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(p1.tolist(), p2.tolist(), strict=True)), np.uint64, len(p1))
+            back = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row)), pa.array(p1 - off[row], pa.int32()), pa.array(p2 - p1, pa.int32()), pa.array(h.view(np.int64)), pa.array(ph.view(np.int64))],
-                names=["key", "start", "size", "ah", "ph"],
+                [b.column(0).take(back), b.column(1).take(back), pa.array(p1 - off[row], pa.int32()), pa.array(p2 - p1, pa.int32()), pa.array(h.view(np.int64)), pa.array(ph.view(np.int64)), pa.array(multi)],
+                names=["k", "h", "start", "size", "ah", "ph", "multi"],
             )
 
-    found = scratch(docs.select("key", "text").where(F.octet_length("text") >= length).mapInArrow(find, "key long, start int, size int, ah long, ph long"), "sa-anchors")
-    groups = scratch(found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ph").alias("p"), F.max("ph").alias("q")).where("n > 1").select("ah", (F.col("p") != F.col("q")).alias("mixed")), "sa-groups")
-    hits = scratch(found.join(groups, "ah"), "sa-hits")
+    rows = docs.select("k", "h", "text").where(F.octet_length("text") >= length)
+    found = scratch(rows.mapInArrow(find, "k long, h long, start int, size int, ah long, ph long, multi boolean"), "sa-anchors")
+    groups = found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ph").alias("p"), F.max("ph").alias("q"), F.max("multi").alias("multi"))
+    groups = scratch(groups.where("n > 1 or multi").select("ah", F.expr("n = 1 or p <> q").alias("mixed")), "sa-groups")
+    hits = scratch(found.drop("multi").join(groups, "ah"), "sa-hits")
     drop_scratch(found, groups)
-    whole = hits.where("not mixed").select("key", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("size")).cast("long").alias("e"))
+    whole = hits.where("not mixed").select("k", "h", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("size")).cast("long").alias("e"))
 
     mixed = hits.where("mixed")
-    kinds = mixed.groupBy("ah", "ph").agg(F.count("*").alias("m"), F.min(F.struct("key", "start", "size")).alias("x"))
+    kinds = mixed.groupBy("ah", "ph").agg(F.count("*").alias("m"), F.min(F.struct("k", "h", "start", "size")).alias("x"))
     kinds = scratch(kinds.select("ah", "ph", "m", "x.*"), "sa-kinds")
-    wanted = kinds.groupBy("key").agg(F.collect_list(F.struct("ah", "ph", "start", "size")).alias("own"))
-    texts = flagged(docs.select("key", "text"), kinds, "key").where("flag").select("key", F.encode("text", "UTF-8").alias("text"))
-    cut = texts.join(wanted, "key").dropDuplicates(["key"]).select("text", F.explode("own").alias("w"))
+    wanted = kinds.groupBy("k", "h").agg(F.collect_list(F.struct("ah", "ph", "start", "size")).alias("own"))
+    texts = flagged(docs.select("k", "h", "text"), kinds, "h").where("flag").select("k", "h", F.encode("text", "UTF-8").alias("text"))
+    cut = texts.join(wanted, ["k", "h"]).dropDuplicates(["k", "h"]).select("text", F.explode("own").alias("w"))
     pieces = scratch(cut.select("w.ah", "w.ph", F.expr("substring(text, w.start + 1, w.size)").alias("piece")), "sa-pieces")
-    many = scratch(kinds.groupBy("ah").agg(F.count("*").alias("n")).where(F.col("n") > MOST_PIECES).select("ah"), "sa-many")
+    many = kinds.groupBy("ah").agg(F.count("*").alias("n"), F.sum("size").alias("b")).where((F.col("n") > MOST_PIECES) | ((F.col("n") > 1) & (F.col("b") > MOST_BYTES)))
+    many = scratch(many.select("ah"), "sa-many")
     parts = _expand(pieces.join(many, "ah", "left_anti"), length)
     if not many.isEmpty():
         parts = parts.unionByName(_windows(pieces.join(many, "ah", "left_semi"), length))
@@ -268,56 +287,48 @@ def spans(docs: DataFrame, length: int = L, gram: int = GRAM) -> DataFrame:
     ranges = parts.select("ah", "ph", F.explode("ranges").alias("r")).select("ah", "ph", "r.s", "r.e")
     twice = kinds.where("m > 1").select("ah", "ph", F.lit(0).cast("long").alias("s"), F.col("size").cast("long").alias("e"))
     ranges = scratch(ranges.join(twice.select("ah", "ph"), ["ah", "ph"], "left_anti").unionByName(twice), "sa-ranges")
-    partly = mixed.select("key", "start", "ah", "ph").join(ranges, ["ah", "ph"]).select("key", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
-    out = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    partly = mixed.select("k", "h", "start", "ah", "ph").join(ranges, ["ah", "ph"]).select("k", "h", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
+    out = whole.unionByName(partly).groupBy("k", "h").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
     out = scratch(out, "sa-spans")
     drop_scratch(hits, kinds, pieces, parts, ranges)
     return out
 
 
-def remove(docs: DataFrame, length: int = L, gram: int = GRAM) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept (binary: the bytes that stay) added."""
-    tune(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text", F.lit("no id"))).alias("key")
-    keyed = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "key", "ranges", "flag").select("*", key)
-    found = spans(keyed.select("key", F.coalesce("text", F.lit("")).alias("text")), length, gram)
-    marked = flagged(keyed, found, "key")
-    names = [c for c in keyed.columns if c != "key"]
-    clean = marked.where("not flag").select(*names, F.array().cast("array<struct<s:long,e:long>>").alias("ranges"))
-    hit = marked.where("flag").join(found, "key", "left").select(*names, "ranges")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name != "key")
-    place = names.index("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, gone, runs, kept = [], [], [], []
-            for t, r in zip(b.column(place).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                raw = (t or "").encode()
+def _cut(as_text: bool):
+    """n_removed, n_spans and what is left of a text without its ranges; as text, parts of characters go as well."""
+    kind = pa.string() if as_text else pa.binary()
+
+    @F.arrow_udf(f"struct<n_removed:long,n_spans:long,kept:{'string' if as_text else 'binary'}>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, ranges in batches:
+            gone, runs, kept = [], [], []
+            for t, r in zip(texts, ranges, strict=True):
+                raw, own = (t.as_py() or "").encode(), r.as_py() or []
                 d = np.zeros(len(raw) + 1, np.int64)
-                if r:
-                    np.add.at(d, [x["s"] for x in r], 1)
-                    np.subtract.at(d, [x["e"] for x in r], 1)
+                np.add.at(d, [x["s"] for x in own], 1)
+                np.subtract.at(d, [x["e"] for x in own], 1)
                 inside = np.cumsum(d[:-1]) > 0
-                n.append(len(raw))
                 gone.append(int(inside.sum()))
                 runs.append(int(np.count_nonzero(np.diff(np.concatenate([[0], inside.astype(np.int8)])) == 1)))
-                kept.append(np.frombuffer(raw, np.uint8)[~inside].tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
-
-    done = hit.mapInArrow(cut, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
-    zero = F.lit(0).cast("long")
-    same = clean.select(*names, F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
-    return done.unionByName(same)
+                left = np.frombuffer(raw, np.uint8)[~inside].tobytes()
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            yield pa.StructArray.from_arrays([pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, kind)], ["n_removed", "n_spans", "kept"])
 
+    return cut.asNondeterministic()
 
-def decoded(kept: Column) -> Column:
-    """The text of the bytes that stay, without the parts of characters that lost some bytes."""
 
-    @F.pandas_udf("string")
-    def text(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return text(kept)
+def remove(docs: DataFrame, length: int = L, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept added: the bytes that stay (binary), or as_text their text."""
+    tune(docs.sparkSession)
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    text = F.coalesce("text", F.lit(""))
+    found = spans(docs.select(*_keyed(text, F.col("doc_id")), text.alias("text")), length, gram)
+    marked = flagged(docs.select(*_keyed(text, F.col("doc_id")), F.struct(*names).alias("r")), found, "h")
+    zero, own = F.lit(0).cast("long"), F.coalesce("r.text", F.lit(""))
+    size = F.octet_length(own).cast("long").alias("n_bytes")
+    same = marked.where("not flag").select("r.*", size, zero.alias("n_removed"), zero.alias("n_spans"), (own if as_text else F.encode(own, "UTF-8")).alias("kept"))
+    hit = marked.where("flag").join(found, ["k", "h"], "left").select("r", size, _cut(as_text)(F.col("r.text"), F.col("ranges")).alias("c"))
+    return hit.select("r.*", "n_bytes", "c.n_removed", "c.n_spans", "c.kept").unionByName(same)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -58,6 +58,27 @@ def test_documents_equal_brute_force(spark, monkeypatch, most):
         assert bytes(r.kept) == np.frombuffer(t, np.uint8)[~mark].tobytes()
 
 
+def test_runs_are_few_pieces():
+    for unit in (b"a", b"-= ", b"the same sentence of words. "):
+        raw = (unit * (1 << 20))[: 1 << 20]
+        off = np.array([0, len(raw)])
+        assert len(suffixdup.anchors(np.frombuffer(raw, np.uint8), off, 200, 64)[0]) < 10
+
+
+def test_periodic_texts_and_shared_ids_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffixdup, "MOST_WINDOWS", 64)
+    rng = random.Random(4)
+    texts = ["ab" * 100, "ab" * 60 + "c" * 300, "xyz" * 70, "q" * 90, "".join(rng.choice("abcd") for _ in range(300)), "k" * 39, "same id " * 30, "x" + "-= " * 80, "-= " * 80]
+    rows = [(i % 3 or None, t, "h") for i, t in enumerate(texts)] + [(1, "abcd" * 3, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
+    raw = sorted(t.encode() for _, t, _ in rows)
+    want = dict(zip(raw, (int(m.sum()) for m in covered(raw, 40)), strict=True))
+    got = suffixdup.remove(df, length=40, gram=12).collect()
+    assert {r.text.encode(): r.n_removed for r in got} == want and len(got) == len(rows)
+    left = suffixdup.remove(df, length=40, gram=12, as_text=True).collect()
+    assert all(len(r.kept.encode()) == r.n_bytes - r.n_removed for r in left)
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x" * 10 + "y" * 300), (1, "x" * 10 + "y" * 300), (2, "z" * 199)], "doc_id long, text string")
     got = sorted(map(tuple, suffixdup.digests(df).collect()))
