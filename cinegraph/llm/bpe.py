@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.llm.common import gram_hash, passes, prefix_hash, tune
+from cinegraph.llm.common import from_text, gram_hash, passes, prefix_hash, tune
 
 ROLL = 16
 CHUNK_MASK = 1023
@@ -136,27 +136,36 @@ def find_cuts(data: np.ndarray, off: np.ndarray, roll: int = ROLL, mask: int = C
     return out
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None, decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None, decoded: str | None = None, agrees: str | None = None) -> DataFrame:
     """Adds a binary column: the ids of the text as little-endian unsigned 32-bit integers.
 
-    With `decoded` a column of that name holds the ids decoded again, by the same worker.
+    With `decoded` a column of that name holds the ids decoded again, with `agrees` another one whether they give the
+    text back; both come from the same worker.
     """
     tune(df.sparkSession)
     path = vocabulary or default_vocabulary()
-    kept = df.drop(ids, *([decoded] if decoded else []))
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])])
-    place = kept.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b, data, off in passes(batches, text):
-            assert b.schema.get_field_index(text) == place
-            raw = data.tobytes()
-            found = [c.encode(raw[off[i] : off[i + 1]], cuts).astype("<u4") for i, cuts in enumerate(find_cuts(data, off))]
-            more = [pa.array([c.decode(x).decode("utf-8", "replace") for x in found], pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in found], pa.binary()), *more], names=[*b.schema.names, ids, *([decoded] if decoded else [])])
-
-    return kept.mapInArrow(run, schema)
+    more = [x for x in (decoded, agrees) if x]
+    kept = df.drop(ids, *more)
+
+    def run(data: np.ndarray, off: np.ndarray) -> pa.Array:
+        c, raw = codec(path), data.tobytes()
+        found, back, same = [], [], []
+        for i, cuts in enumerate(find_cuts(data, off)):
+            own = raw[off[i] : off[i + 1]]
+            x = c.encode(own, cuts).astype("<u4")
+            found.append(x.tobytes())
+            if more:
+                y = c.decode(x)
+                same.append(y == own)
+                back.append(y.decode("utf-8", "replace") if decoded else None)
+        out = [pa.array(found, pa.binary()), pa.array(back, pa.string()) if decoded else None, pa.array(same, pa.bool_()) if agrees else None]
+        return pa.StructArray.from_arrays([x for x in out if x is not None], names)
+
+    names = ["i", *(["d"] if decoded else []), *(["s"] if agrees else [])]
+    kinds = {"i": "binary", "d": "string", "s": "boolean"}
+    own = from_text(run, "struct<" + ",".join(f"{n}:{kinds[n]}" for n in names) + ">")(F.col(text))
+    at = "_" + max(kept.columns, key=len)  # no column of the input has this name
+    return kept.withColumn(at, own).select(*kept.columns, *(F.col(f"{at}.{n}").alias(x) for n, x in zip(names, (ids, *more), strict=True)))
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str | None = None) -> DataFrame:
