@@ -23,13 +23,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    """One document of each group whose sets of five-word shingles are linked."""
+    return neardup.keep_one(docs, shingle=5)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated strings; a character that loses a byte goes."""
-    left = suffixdup.remove(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(suffixdup.decoded(F.col("kept")))
+    left = suffixdup.remove(docs, as_text=True)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     return left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
@@ -39,8 +40,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with the token ids and their number; the decoded ids equal the text."""
-    out = bpe.encode(docs, decoded="decoded")
-    return out.select(*docs.columns, "ids", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    out = bpe.encode(docs, agrees="round_trip")
+    return out.select(*docs.columns, "ids", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
