@@ -4,8 +4,14 @@ Listed rules decide first: a rule fits its host and all subdomains where the pat
 and the longest fitting rule wins. All other urls are judged by mined rules: Spark's FP-growth finds token
 combinations of labelled urls, those that imply the bad label with enough confidence and support stay, rules
 implied by a shorter rule at least as sure are pruned, and an inverted index from each rule's rarest token
-matches them. The number of mined rules is bounded by the support (a url has few tokens and a rule three at
-most), so the index may be broadcast whatever the input.
+matches them.
+
+Mining is bounded. Only tokens that stand in enough bad urls take part; of tokens that always stand together the first
+stands for all. FP-growth would still list every subset of what long urls share, while a rule has max_tokens tokens at
+most: where urls hold more than WIDE tokens, the tokens are dealt to buckets, and each url goes once for every choice
+of max_tokens buckets, with tokens marked by the choice. Every short combination lies in some choice with its full
+counts, and none has many more than WIDE tokens. The rules number at most (combinations of up to max_tokens
+tokens in a url, on average) / (least support), whatever the input, so they may be collected and sent to the workers.
 
 Edge cases: a null url, or one without "://", has an empty host and path, no rule and the verdict allow unless
 a mined rule of no tokens could exist (it can't); a label without a page, and a page without a label, only stay
@@ -18,18 +24,22 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.llm.common import tune
+from cinegraph.llm.common import scratch, tune
 
 #: The listed rules (verdict, host, path).
 LISTED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label=bad"
+#: Tokens of a url that FP-growth takes at once.
+WIDE = 12
 
 
 @dataclass(frozen=True)
@@ -38,6 +48,7 @@ class Mining:
     min_confidence: float = 0.7
     #: Rules with fewer labelled urls behind them are noise at any input size.
     min_rows: int = 8
+    #: At most 3: rules are pruned by their single tokens and pairs.
     max_tokens: int = 3
 
 
@@ -89,31 +100,69 @@ def with_tokens(pages: DataFrame, column: str = "url_tokens") -> DataFrame:
 
 def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> list[tuple[tuple[str, ...], float, int]]:
     """(tokens, confidence, rows) of the rules for bad urls. A page's label is that of the document whose id ends its path."""
-    from pyspark.ml.fpm import FPGrowth
-
     doc = F.regexp_extract(F.col("path"), r"(\d{1,18})(?:\.\w+)?/?\z", 1)
     _, path = host_path(F.col("url"))
     numbered = pages.select("url").withColumn("path", path).withColumn("label_id", F.when(doc != "", doc.cast("long"))).where("label_id is not null")
     known = labels.where("quality is not null or toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("bad"))
-    rows = with_tokens(numbered.join(known, "label_id").select("url", "bad")).select(F.when(F.col("bad") == 1, F.concat("url_tokens", F.array(F.lit(BAD)))).otherwise(F.col("url_tokens")).alias("items"), "bad")
+    rows = with_tokens(numbered.join(known, "label_id").select("url", "bad")).select(F.monotonically_increasing_id().alias("row"), "bad", "url_tokens")
+    rows = scratch(rows, "url-labelled")
     n, bad = rows.agg(F.count("*"), F.sum("bad")).first()
     if not bad:
         return []
-    support = min(1.0, max(mining.min_support, mining.min_rows / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=mining.min_confidence).fit(rows.select("items"))
-    rules = model.associationRules.where((F.size("antecedent") <= mining.max_tokens) & (F.element_at("consequent", 1) == BAD))
-    found = rules.select("antecedent", "confidence", F.round(F.col("support") * n).cast("long").alias("rows")).collect()
-    return prune([(tuple(sorted(r.antecedent)), r.confidence, r.rows) for r in found])
-
+    least = int(min(n, max(np.ceil(mining.min_support * n), mining.min_rows)))
+    each = rows.select("row", "bad", F.explode("url_tokens").alias("token"))
+    stands = each.groupBy("token").agg(F.sum("bad").alias("b"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(7))).alias("y"))
+    used = stands.where(F.col("b") >= least).groupBy("b", "c", "x", "y").agg(F.min("token").alias("token")).select("token")
+    used = scratch(used.withColumn("place", F.xxhash64("token")), "url-tokens")  # at most tokens in a url / support rows
+    per_row = scratch(each.join(F.broadcast(used), "token").groupBy("row", "bad").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own")), "url-items")
+    wide = per_row.agg(F.max(F.size("own"))).first()[0] or 0
+    if not wide:
+        return []
+    k = mining.max_tokens
+    buckets = max(k, -(-k * wide // WIDE)) if wide > WIDE else k
+    if wide > WIDE:  # neighbours in the order of all tokens go to different buckets
+        ranked = {r.token: i % buckets for i, r in enumerate(used.orderBy("place", "token").collect())}
+        choices = [list(c) for c in combinations(range(buckets), k)]
+    else:
+        ranked, choices = None, [[0]]
+    return _prune(_rules(per_row, ranked, choices, least, mining))
+
+
+def _rules(per_row: DataFrame, bucket: dict[str, int] | None, choices: list[list[int]], least: int, mining: Mining) -> DataFrame:
+    """antecedent, confidence, rows of all rules for BAD with up to max_tokens tokens."""
+    from pyspark.ml.fpm import FPGrowth
 
-def prune(rules: list[tuple[tuple[str, ...], float, int]]) -> list[tuple[tuple[str, ...], float, int]]:
+    spark = per_row.sparkSession
+    label = F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    if bucket is None:
+        items = per_row.select(F.concat(F.col("own.token"), label).alias("items"))
+    else:
+        dealt = spark.createDataFrame(sorted(bucket.items()), "token string, bucket int")
+        chosen = spark.createDataFrame([(i, b) for i, c in enumerate(choices) for b in c], "choice int, bucket int")
+        chosen = dealt.join(F.broadcast(chosen), "bucket").groupBy("token").agg(F.collect_list("choice").alias("in"))
+        flat = per_row.select("row", "bad", F.explode("own.token").alias("token")).join(F.broadcast(chosen), "token")
+        flat = flat.select("row", "bad", "token", F.explode("in").alias("choice"))
+        mark = F.concat(F.col("choice").cast("string"), F.lit("\x00"))
+        own = flat.groupBy("row", "bad", "choice").agg(F.collect_list(F.concat(mark, "token")).alias("own"))
+        items = own.select(F.concat("own", F.transform(label, lambda x: F.concat(mark, x))).alias("items"))
+    items = scratch(items, "url-transactions")
+    total = items.count()
+    model = FPGrowth(itemsCol="items", minSupport=max(least - 0.5, 0.5) / total, minConfidence=mining.min_confidence).fit(items)
+    rules = model.associationRules.where((F.size("antecedent") <= mining.max_tokens) & F.element_at("consequent", 1).endswith(BAD))
+    plain = F.transform("antecedent", lambda x: F.element_at(F.split(x, "\x00"), -1)) if bucket is not None else F.col("antecedent")
+    rules = rules.select(F.sort_array(plain).alias("antecedent"), "confidence", F.round(F.col("support") * total).cast("long").alias("rows"))
+    return rules.dropDuplicates(["antecedent"])
+
+
+def _prune(rules: DataFrame) -> list[tuple[tuple[str, ...], float, int]]:
     """Leaves out a rule if some of its tokens already make a rule that is as sure."""
-    kept: dict[tuple[str, ...], tuple[float, int]] = {}
-    for items, conf, rows in sorted(rules, key=lambda r: (len(r[0]), r[0])):
-        parts = [p for p in kept if len(p) < len(items) and set(p) <= set(items)]
-        if not any(kept[p][0] >= conf for p in parts):
-            kept[items] = (conf, rows)
-    return [(k, *v) for k, v in kept.items()]
+    rules = scratch(rules, "url-rules")
+    parts = rules.select("antecedent", "confidence", F.explode(F.expr("flatten(array(transform(antecedent, x -> array(x)), flatten(transform(antecedent, (x, i) -> transform(slice(antecedent, i + 2, size(antecedent)), y -> array(x, y))))))")).alias("part"))
+    parts = parts.where(F.size("part") < F.size("antecedent"))
+    short = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("sure"))
+    implied = parts.join(short, "part").where(F.col("sure") >= F.col("confidence")).select("antecedent")
+    found = rules.join(implied, "antecedent", "left_anti").collect()
+    return sorted((tuple(r.antecedent), r.confidence, r.rows) for r in found)
 
 
 def matches(pages: DataFrame, rules: list[tuple[tuple[str, ...], float, int]], column: str = "mined_rule") -> DataFrame:
