@@ -1,4 +1,6 @@
 import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -45,3 +47,57 @@ def test_long_page():
 @pytest.mark.parametrize("cut", [PAGE[:k] for k in range(0, len(PAGE), 37)])
 def test_cut_off_pages(cut):
     assert "Buy" not in h.extract(cut, {})
+
+
+class Article(HTMLParser):
+    """Another reading of simple pages: the text of the article element, a block for each p, h1 or br."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "br"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_labelled_pages_equal_another_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in h.main_texts(pages).collect():
+        a = Article()
+        a.feed(html[r.page_id] or "")
+        assert r.text == "\n".join(x for x in (" ".join(b.split()) for b in a.blocks) if x)
+
+
+def test_region_decides_within_an_article():
+    page = "<article><p>one two three four</p><ul><li><a href=x>menu like link</a></li></ul></article>"
+    assert h.extract(page, {"wp": 2.0, "wa": -2.0}) == "one two three four"
+    assert h.extract(page, {"wp": 2.0, "wa": 1.0}) == "one two three four\nmenu like link"
+    assert h.extract(page, {"wp": -2.0, "wa": 3.0}) == "menu like link"
+
+
+def test_marks_are_whole_names():
+    page = '<article><div class="header"><h1>Title</h1></div><p id="related-work">Related work.</p><p class="social-history">History.</p><div class="ad-box top">Buy</div><div class="share_buttons">Share</div></article>'
+    assert h.extract(page, {}) == "Title\nRelated work.\nHistory."
+
+
+@pytest.mark.parametrize("page", ["<b>" * 40_000 + "</b>" * 40_000, '<a "' * 40_000, "<div>" * 40_000, "<p><td>" + "<div>" * 40_000, "<p><table>" + "<b>" * 40_000 + "</p>" * 40_000, "<" * 100_000, "<!--" * 40_000])
+def test_bad_pages_take_linear_time(page):
+    began = time.time()
+    h.extract(page, {})
+    assert time.time() - began < 3
+
+
+def test_comment_mark_inside_a_script():
+    assert h.extract("<script>var x = '<!--';</script><p>text stays", {}) == "text stays"
