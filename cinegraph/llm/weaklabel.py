@@ -1,26 +1,26 @@
 """Quality classifier from weak labels (operator 6).
 
-Two questions, is a text junk and is it toxic, each with several overlapping heuristic labellers that vote bad,
-good or not at all. The counts of all vote patterns over all documents (a bounded table) go through
-expectation-maximisation, which estimates how often each labeller is right in either class, and so the posterior
-of each pattern. A hashed linear scorer is trained on posteriors and then judges every document by its words,
-word beginnings and shape alone.
+Two questions, is a text junk and is it toxic, each with several overlapping heuristic labellers that vote bad or
+not at all, and good where none of them votes bad. The counts of all vote patterns over all documents (a bounded
+table) go through expectation-maximisation, which estimates how often each labeller is right in either class, and so
+the posterior of each pattern. A hashed linear scorer is trained on posteriors and then judges every document by its
+words, word beginnings and shape alone; the verdict is the scorer's.
 
 The lexicon labellers hold a short fixed list, and words and word beginnings that labelled toxic documents use
 and others don't. Documents that share their least shingle hash, copies for the most part, count once there and
-in the scorer's sample, or the rare words of a copied text would pass for signs. The verdict is the mean of the
-scorer and the label model.
+in the scorer's sample, or the rare words of a copied text would pass for signs.
 
-Bounds: SAMPLE labelled rows for the lexicons and SAMPLE documents for the scorer, chosen by a hash of the id;
-votes, pattern counts and verdicts cover all documents.
+Bounds: LABELLED labelled rows for the lexicons, whose words bound the lexicons in turn, and SCORED documents to train
+the scorer (by one task), both chosen by a hash of the id; votes, pattern counts and verdicts cover all documents.
 
-Edge cases: a null or empty text has no words, gets no vote but that of no insults, and is kept; without labels
-there are no learned lexicons; without documents nothing is trained; repeated rows stay.
+Edge cases: a null or empty text has no words, gets no vote but good ones, and is kept; without labels there are
+no learned lexicons; without documents nothing is trained; repeated rows stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,25 +29,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.llm.common import LOWER, flagged, lists, mix, passes, piece_hash, prefix_hash, scratch, tune, words
+from cinegraph.llm.common import LOWER, flagged, from_text, lists, mix, passes, piece_hash, prefix_hash, scratch, tune, words
 from cinegraph.llm.neardup import shingle_sets
 from cinegraph.llm.quality import SYMBOL, measure
 
-SAMPLE = 20_000
+LABELLED, SCORED = 20_000, 20_000
 BITS = 18
 BEGINNING = 5
 STEM = 4
-MIN_DOCS, MIN_SHARE, MAX_WORDS = 3, 0.95, 20_000
+MIN_DOCS, MIN_SHARE = 3, 0.95
 #: A word must stand in such a part of the toxic documents, or chance would pick rare words.
 MIN_OF_TOXIC = 0.005
-#: Shares of shorter texts say little.
-MIN_WORDS = 30
+#: Shares of shorter texts say little; those of lines need more words.
+MIN_WORDS, MIN_WORDS_IN_LINES = 5, 30
 EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.2, 5e-4
 #: Common insults.
 INSULTS = "clown disgusting dumb fool garbage idiot idiots jerk loser losers moron morons pathetic scum stupid trash worthless".split()
 
 BAD, GOOD = 2, 1
-JUNK = ["symbols", "repeats", "dup_lines", "upper", "long_words", "separators"]
+JUNK = ["symbols", "repeats", "dup_lines", "upper", "long_words", "separators", "stutters"]
 TOXIC = ["insults", "words", "beginnings", "stems"]
 
 _PUNCT = np.zeros(256, bool)
@@ -63,9 +63,12 @@ def _trimmed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     low = LOWER[data]
     starts, ends, counts = words(low, off)
     row = np.repeat(np.arange(len(counts)), counts)
-    for _ in range(4):
-        starts = starts + (_PUNCT[low[np.minimum(starts, len(low) - 1)]] & (starts < ends)) if len(low) else starts
-        ends = ends - (_PUNCT[low[ends - 1]] & (starts < ends)) if len(low) else ends
+    if len(starts):
+        place = np.arange(len(low))
+        plain = ~_PUNCT[low]
+        after = np.minimum.accumulate(np.where(plain, place, len(low))[::-1])[::-1]  # the next byte that is no punctuation
+        before = np.maximum.accumulate(np.where(plain, place, -1))
+        starts, ends = np.minimum(after[starts], ends), np.maximum(before[ends - 1] + 1, starts)
     ok = ends > starts
     starts, ends, row = starts[ok], ends[ok], row[ok]
     s = prefix_hash(low)
@@ -91,6 +94,9 @@ def shapes(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     n = np.maximum(m["n_words"], 1)
     bar = np.zeros(256, bool)
     bar[0x7C] = True
+    starts, ends, counts = words(data, off)
+    w, row = piece_hash(prefix_hash(data), starts, ends), np.repeat(np.arange(len(counts)), counts)
+    again = np.flatnonzero((w[1:] == w[:-1]) & (row[1:] == row[:-1]))
     return {
         "n_words": m["n_words"],
         "symbols": 100 * total(SYMBOL) // n,
@@ -99,26 +105,46 @@ def shapes(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         "upper": 100 * total(_UPPER) // np.maximum(total(_LETTER), 1),
         "long_words": 10 * m["word_chars"] // n,
         "separators": 100 * total(bar) // n,
+        "stutters": 100 * np.bincount(row[again], minlength=len(off) - 1) // n,
     }
 
 
-def votes(data: np.ndarray, off: np.ndarray, lexicons: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Vote of each labeller (BAD, GOOD or 0) on each row, for junk and for toxic."""
-    s = shapes(data, off)
-    bad = {"symbols": 10, "repeats": 30, "dup_lines": 30, "upper": 30, "long_words": 80, "separators": 5}
-    good = {"symbols": 2, "repeats": 10, "dup_lines": 5, "upper": 12, "long_words": 65, "separators": 1}
-    some = s["n_words"] >= MIN_WORDS
-    junk = np.stack([np.where(s[k] > bad[k], BAD, np.where(s[k] <= good[k], GOOD, 0)) * some for k in JUNK], axis=1)
+@dataclass(frozen=True)
+class Texts:
+    """What votes and features are made of, computed once for a pass."""
+
+    n: int
+    shape: dict[str, np.ndarray]
+    row: np.ndarray
+    hashes: list[np.ndarray]
+
+
+def read(data: np.ndarray, off: np.ndarray) -> Texts:
     row, *hashes = _trimmed(data, off)
-    hashes = [hashes[0], *hashes]
-    toxic = np.zeros((len(off) - 1, len(TOXIC)), np.int64)
+    return Texts(len(off) - 1, shapes(data, off), row, hashes)
+
+
+def votes(x: Texts, lexicons: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Vote of each labeller (BAD, GOOD or 0) on each row, for junk and for toxic."""
+    s = x.shape
+    limit = {"symbols": 10, "repeats": 30, "dup_lines": 30, "upper": 30, "long_words": 80, "separators": 5, "stutters": 10}
+    some = {k: s["n_words"] >= (MIN_WORDS_IN_LINES if k in ("dup_lines", "long_words") else MIN_WORDS) for k in JUNK}
+    junk = np.stack([np.where((s[k] > limit[k]) & some[k], BAD, 0) for k in JUNK], axis=1)
+    hashes = [x.hashes[0], *x.hashes]
+    toxic = np.zeros((x.n, len(TOXIC)), np.int64)
     for k, known in enumerate(lexicons):
-        hits = np.bincount(row, weights=_within(hashes[k], known), minlength=len(off) - 1)
+        hits = np.bincount(x.row, weights=_within(hashes[k], known), minlength=x.n)
         toxic[hits > 0, k] = BAD
-    toxic[~(toxic == BAD).any(axis=1)] = GOOD  # no list of any language knows a word of it
+    for v in (junk, toxic):
+        v[~(v == BAD).any(axis=1)] = GOOD
     return junk, toxic
 
 
+def codes(v: np.ndarray) -> np.ndarray:
+    """A number for each vote pattern."""
+    return v @ (3 ** np.arange(v.shape[1]))
+
+
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
     """Posterior of the bad class for each vote pattern, and the votes' probabilities by class and labeller."""
     keys = sorted(patterns)
@@ -142,18 +168,16 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[di
     return dict(zip(keys, post.tolist(), strict=True)), probs
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(x: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Row and hashed index of each row's distinct words, beginnings and shape classes."""
-    row, word, begin, stem = _trimmed(data, off)
     size = np.uint64((1 << BITS) - 1)
-    s = shapes(data, off)
     own_row, own = [], []
     for k, name in enumerate(JUNK):
-        step = np.searchsorted([2, 5, 10, 15, 20, 25, 30, 40, 50, 60, 65, 70, 75, 80, 90, 100], s[name], "left")
+        step = np.searchsorted([2, 5, 10, 15, 20, 25, 30, 40, 50, 60, 65, 70, 75, 80, 90, 100], x.shape[name], "left")
         own.append(mix((step + 1000 * (k + 1)).astype(np.uint64)))
-        own_row.append(np.arange(len(off) - 1))
-    rows = np.concatenate([row, row, row, *own_row])
-    index = (np.concatenate([word, begin, stem, *own]) & size).astype(np.int64)
+        own_row.append(np.arange(x.n))
+    rows = np.concatenate([x.row, x.row, x.row, *own_row])
+    index = (np.concatenate([*x.hashes, *own]) & size).astype(np.int64)
     key = np.unique(rows << BITS | index)
     return key >> BITS, key & int(size)
 
@@ -211,7 +235,7 @@ def _unlike(df: DataFrame) -> DataFrame:
 def learn_lexicons(docs: DataFrame, labels: DataFrame) -> list[np.ndarray]:
     """The fixed list, and of each half of the labelled rows the words and beginnings of toxic documents."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = scratch(_share(known, "doc_id", SAMPLE), "wl-labels")
+    known = scratch(_share(known, "doc_id", LABELLED), "wl-labels")
     texts = flagged(docs.select("doc_id", "text"), known, "doc_id").where("flag").join(known, "doc_id").select("text", "toxic", "doc_id")
     texts = scratch(_unlike(texts), "wl-texts")
 
@@ -230,7 +254,7 @@ def learn_lexicons(docs: DataFrame, labels: DataFrame) -> list[np.ndarray]:
     counts = texts.mapInArrow(count, "kind int, h long, bad int").groupBy("kind", "h").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
     counts = scratch(counts, "wl-words")
     least = max(MIN_DOCS, MIN_OF_TOXIC * texts.agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()[0])
-    rows = counts.where((F.col("bad") >= least) & (F.col("bad") >= MIN_SHARE * F.col("n"))).orderBy(F.desc("bad"), "h").limit(MAX_WORDS).collect()
+    rows = counts.where((F.col("bad") >= least) & (F.col("bad") >= MIN_SHARE * F.col("n"))).collect()  # some words of LABELLED rows
     out = [insult_hashes()]
     for kind in range(3):
         out.append(np.sort(np.array([r.h for r in rows if r.kind == kind], np.int64).view(np.uint64)))
@@ -239,19 +263,17 @@ def learn_lexicons(docs: DataFrame, labels: DataFrame) -> list[np.ndarray]:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with p_junk, p_toxic (the scorer's), weak_junk, weak_toxic (the label model's) and kept added."""
-    tune(docs.sparkSession)
+    spark = tune(docs.sparkSession)
     added = ["p_junk", "p_toxic", "weak_junk", "weak_toxic", "kept"]
     base = docs.drop(*added)
-    lexicons = learn_lexicons(docs, labels)
+    lexicons = spark.sparkContext.broadcast(learn_lexicons(docs, labels))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, off in passes(batches, "text"):
-            both = votes(data, off, lexicons)
-            codes = [x @ (3 ** np.arange(x.shape[1])) for x in both]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int32()) for c in codes)], names=["doc_id", "text", "junk", "toxic"])
+    def vote(data: np.ndarray, off: np.ndarray) -> pa.Array:
+        both = votes(read(data, off), lexicons.value)
+        return pa.StructArray.from_arrays([pa.array(codes(v), pa.int32()) for v in both], ["junk", "toxic"])
 
-    voted = docs.select("doc_id", "text").mapInArrow(vote, "doc_id long, text string, junk int, toxic int")
-    counts = voted.groupBy("junk", "toxic").agg(F.count("*").alias("n")).collect()  # at most 3^(labellers) rows
+    voted = docs.select(from_text(vote, "struct<junk:int,toxic:int>")(F.col("text")).alias("v")).select("v.*")
+    counts = voted.groupBy("junk", "toxic").agg(F.count("*").alias("n")).collect()  # at most 2^(labellers) rows
     models = []
     for k, n in (("junk", len(JUNK)), ("toxic", len(TOXIC))):
         patterns: dict[tuple[int, ...], int] = {}
@@ -260,34 +282,35 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             patterns[p] = patterns.get(p, 0) + r.n
         post, _ = estimate(patterns)
         models.append({sum(x * 3**i for i, x in enumerate(p)): v for p, v in post.items()})
-    weights = _fit(docs, lexicons, models)
-
-    schema = T.StructType([*base.schema.fields, *(T.StructField(c, T.DoubleType()) for c in added[:4]), T.StructField("kept", T.BooleanType())])
+    weights = spark.sparkContext.broadcast(_fit(docs, lexicons, models))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = [np.frombuffer(x, np.float32) for x in weights]
-        for b, data, off in passes(batches, "text"):
-            row, index = features(data, off)
-            z = [np.bincount(row, weights=x[index], minlength=b.num_rows) + x[-1] for x in w] if w else [np.full(b.num_rows, -30.0)] * 2
-            p = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in z]
-            weak = [np.array([m[c] for c in (x @ (3 ** np.arange(x.shape[1]))).tolist()]) for m, x in zip(models, votes(data, off, lexicons), strict=True)]
-            kept = (p[0] + weak[0] < 1) & (p[1] + weak[1] < 1)
-            kept[np.diff(off) == 0] = True
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.float64()) for x in (*p, *weak)), pa.array(kept)], names=[*b.schema.names, *added])
+    def judge(data: np.ndarray, off: np.ndarray) -> pa.Array:
+        w = [np.frombuffer(x, np.float32) for x in weights.value]
+        x = read(data, off)
+        row, index = features(x)
+        z = [np.bincount(row, weights=v[index], minlength=x.n) + v[-1] for v in w] if w else [np.full(x.n, -30.0)] * 2
+        p = [1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in z]
+        weak = [np.array([m[c] for c in codes(v).tolist()], float) for m, v in zip(models, votes(x, lexicons.value), strict=True)]
+        kept = (p[0] < 0.5) & (p[1] < 0.5)
+        kept[np.diff(off) == 0] = True
+        return pa.StructArray.from_arrays([*(pa.array(v, pa.float64()) for v in (*p, *weak)), pa.array(kept)], added)
 
-    return base.mapInArrow(judge, schema)
+    own = from_text(judge, "struct<p_junk:double,p_toxic:double,weak_junk:double,weak_toxic:double,kept:boolean>")(F.col("text"))
+    at = "_" + max(base.columns, key=len)  # no column of the input has this name
+    return base.withColumn(at, own).select(*base.columns, f"{at}.*")
 
 
-def _fit(docs: DataFrame, lexicons: list[np.ndarray], models: list[dict[int, float]]) -> list[bytes]:
+def _fit(docs: DataFrame, lexicons, models: list[dict[int, float]]) -> list[bytes]:
     """The two weight vectors, trained by one task on the bounded sample."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, off in passes(batches, "text"):
-            row, index = features(data, off)
-            post = [np.array([m[c] for c in (x @ (3 ** np.arange(x.shape[1]))).tolist()]) for m, x in zip(models, votes(data, off, lexicons), strict=True)]
+            x = read(data, off)
+            row, index = features(x)
+            post = [np.array([m[c] for c in codes(v).tolist()], float) for m, v in zip(models, votes(x, lexicons.value), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), lists(index.astype(np.int32), np.bincount(row, minlength=b.num_rows), pa.int32()), *(pa.array(p) for p in post)], names=["doc_id", "index", "junk", "toxic"])
 
-    sample = _unlike(_share(docs.select("text", "doc_id"), "doc_id", SAMPLE)).select("doc_id", "text").mapInArrow(rows, "doc_id long, index array<int>, junk double, toxic double")
+    sample = _unlike(_share(docs.select("text", "doc_id"), "doc_id", SCORED)).select("doc_id", "text").mapInArrow(rows, "doc_id long, index array<int>, junk double, toxic double")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "junk", "toxic"])
