@@ -3,12 +3,13 @@
 A text is cut where a rolling hash of the last bytes hits a mask, so equal passages of different documents
 yield equal chunks, and each worker encodes a chunk once for all documents that hold it. A cut may fall inside
 a token, so every join is repaired: the stretch from the last safe place before the cut to the first one after
-it is encoded again as one string and replaces the tokens that the two chunks gave for it. A safe place is a
-space between two visible ASCII characters: the vocabulary's pattern always starts a token there, whatever
-stands around it, so both sides agree exactly from there on. Where two cuts share such a stretch, the later
-cut is given up, down to encoding the whole text at once.
+it is encoded again as one string and replaces the tokens that the two chunks gave for it. A safe place is where
+the vocabulary's pattern always starts a token, whatever stands around it, so both sides agree exactly from there
+on: a space between two characters of any script that are no white space, or the punctuation of a Chinese or
+Japanese sentence after a letter. Where two cuts share such a stretch, the later cut is given up, down to encoding
+the whole text at once.
 
-Edge cases: a null or empty text has no ids and decodes to the empty text; a text without spaces is encoded
+Edge cases: a null or empty text has no ids and decodes to the empty text; a text without a safe place is encoded
 whole; repeated rows give repeated rows; other columns pass through.
 """
 
@@ -33,6 +34,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
+#: The first two bytes of characters among which white space is found, and sentence punctuation of Chinese and Japanese.
+_SPACE_PAIRS = [0xE19A, 0xE280, 0xE281, 0xE380]
+_CJK_STOPS = [0xE38081, 0xE38082, 0xEFBC81, 0xEFBC8C, 0xEFBC9B, 0xEFBC9F]
 _LOADED: dict[str, Codec] = {}
 
 
@@ -62,6 +66,7 @@ class Codec:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {k: v for k, v in ranks.items() if v not in set(special.values())}
         self.special = set(special)
+        assert not any(c.isspace() for s in special for c in s), "a special token with white space could span a safe place"
         self.core = tiktoken.Encoding("chunked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         pieces = {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in special.items()}
         size = np.zeros(max(pieces) + 1, np.int64)
@@ -110,6 +115,28 @@ def codec(path: str) -> Codec:
     return _LOADED[path]
 
 
+def safe_places(data: np.ndarray) -> np.ndarray:
+    """Where a token starts whatever stands around; some such places are left out, none is wrong."""
+    n = len(data)
+    if n < 5:
+        return np.zeros(0, np.int64)
+    wide = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(3, np.uint8)]).astype(np.int64)  # data[i] is wide[i + 3]
+    at = np.flatnonzero(data[1:-1] == 0x20) + 1
+    before = _VISIBLE[data[at - 1]]
+    last, mid, lead = wide[at + 2], wide[at + 1], wide[at]
+    three = (last & 0xC0 == 0x80) & (mid & 0xC0 == 0x80) & ~np.isin(lead << 8 | mid, _SPACE_PAIRS)
+    two = (last & 0xC0 == 0x80) & (mid >= 0xC3) & (mid < 0xE0)
+    first, second = wide[at + 4], wide[at + 5]
+    after = _VISIBLE[data[at + 1]] | ((first >= 0xC3) & ~np.isin(first << 8 | second, _SPACE_PAIRS))
+    spaces = at[(before | three | two) & after]
+    stop = np.flatnonzero((data == 0xE3) | (data == 0xEF))
+    stop = stop[(stop > 2) & np.isin(wide[stop + 3] << 16 | wide[stop + 4] << 8 | wide[stop + 5], _CJK_STOPS)]
+    lead, mid, last = wide[stop], wide[stop + 1], wide[stop + 2]
+    kana = (lead == 0xE3) & (((mid == 0x81) & (last >= 0x81)) | ((mid == 0x82) & (last <= 0x96)))
+    letter = (mid & 0xC0 == 0x80) & (last & 0xC0 == 0x80) & (((lead >= 0xE5) & (lead <= 0xE9)) | kana)
+    return np.union1d(spaces, stop[letter])
+
+
 def find_cuts(data: np.ndarray, off: np.ndarray, roll: int = ROLL, mask: int = CHUNK_MASK) -> list[list[tuple[int, int, int]]]:
     """For each row of the pass, its cuts with the safe places around them, relative to the row."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(off) - 1)]
@@ -118,7 +145,7 @@ def find_cuts(data: np.ndarray, off: np.ndarray, roll: int = ROLL, mask: int = C
     hits = np.flatnonzero((gram_hash(prefix_hash(data), roll) & np.uint64(mask)) == 0) + roll
     hits = hits[(hits < len(data))]
     hits = hits[(data[hits] & 0xC0) != 0x80]
-    safe = np.flatnonzero((data[1:-1] == 0x20) & _VISIBLE[data[:-2]] & _VISIBLE[data[2:]]) + 1
+    safe = safe_places(data)
     if not len(safe) or not len(hits):
         return out
     row = np.searchsorted(off, hits, "right") - 1

@@ -4,7 +4,8 @@ Writing: only headers (digest, length, page id) are shuffled by payload digest;
 the one with the largest id becomes the response, the others become revisit records that name it. A record is
 composed by SQL expressions and written by Spark's own text writer, whose line separator is the blank line that
 ends a WARC record, so a file is a plain (gzipped) WARC/1.1 stream and task commits make the write safe against
-lost executors. Reading: files are parsed by Content-Length alone, every response's digest is verified, and
+lost executors; a task writes a file of its own split, RECORDS_IN_FILE records at most. Only pages that may become
+revisits are shuffled with their payloads, the others are written where they are read. Reading: files are parsed by Content-Length alone, every response's digest is verified, and
 revisit records are joined to the responses that they refer to.
 
 A payload may be shared by a third of all pages: joins on a digest run over salted keys, and only groups of two
@@ -19,12 +20,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import scratch, shared_dir, tune
+from cinegraph.llm.common import flagged, scratch, shared_dir, tune
 
 SALTS = 16
 #: Bounds a file when rows are short; one task writes one file otherwise.
@@ -59,25 +61,38 @@ def resolve(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """page_id, url, payload, digest, n_bytes, refers_to (null: the page is a response)."""
     base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     base = with_digest(base, "payload", "digest", "n_bytes")
-    heads = base.select("page_id", "digest", "n_bytes")
+    heads = scratch(base.select("page_id", "digest", "n_bytes"), "warc-heads")
     groups = heads.groupBy("digest", "n_bytes").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to"))
     groups = groups.where((F.col("n") > 1) & F.col("refers_to").isNotNull() & (F.col("n_bytes") >= min_payload)).drop("n")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     heads = heads.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     revisits = heads.join(groups, ["digest", "n_bytes", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     revisits = revisits.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("n_bytes").alias("r_bytes"), "refers_to").distinct()
-    same = base.page_id.eqNullSafe(revisits.r_id) & (base.digest == revisits.r_digest) & (base.n_bytes == revisits.r_bytes)
-    return base.join(revisits, same, "left").drop("r_id", "r_digest", "r_bytes")
+    revisits = scratch(revisits, "warc-revisits")
+    mark = lambda page, digest: F.xxhash64(page, digest).alias("_mark")
+    base = flagged(base.withColumn("_mark", mark("page_id", "digest")), revisits.select(mark("r_id", "r_digest")), "_mark").drop("_mark")
+    plain, some = base.where("not flag").drop("flag"), base.where("flag").drop("flag")
+    same = some.page_id.eqNullSafe(revisits.r_id) & (some.digest == revisits.r_digest) & (some.n_bytes == revisits.r_bytes)
+    return plain.withColumn("refers_to", F.lit(None).cast("long")).unionByName(some.join(revisits, same, "left").drop("r_id", "r_digest", "r_bytes"))
 
 
-def write(pages: DataFrame, path: str, min_payload: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes a record per page: a response with its payload, or a revisit record without it."""
+def _escaped(url: Column) -> Column:
+    """Control characters percent-encoded."""
+    out = url
+    for k in [*range(0x20), 0x7F]:
+        out = F.replace(out, F.lit(chr(k)), F.lit(f"%{k:02X}"))
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]"), out).otherwise(url)
+
+
+def write(pages: DataFrame, path: str, min_payload: int = 0, date: str | None = None) -> None:
+    """Writes a record per page: a response with its payload, or a revisit record without it. date: now, if not given."""
     c = F.col
     revisit = c("refers_to").isNotNull()
     nl = F.lit("\r\n")
     head = F.expr(f"'{HTTP_HEAD}'")
     block = F.when(revisit, head).otherwise(F.concat(head, c("payload")))
-    url = F.regexp_replace(F.regexp_replace(F.regexp_replace(c("url"), "\r", "%0D"), "\n", "%0A"), r"[\x00-\x1F\x7F]", "%00")
+    url = _escaped(c("url"))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, nl)
     some = lambda x: F.coalesce(x, F.lit(""))
     record = F.concat(

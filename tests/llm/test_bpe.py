@@ -47,3 +47,30 @@ def test_cuts_are_found_and_shared():
     one = " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(4000)).encode()
     cuts = bpe.find_cuts(np.frombuffer(one + one, np.uint8), np.array([0, len(one), 2 * len(one)]))
     assert len(cuts[0]) > 5 and cuts[0] == cuts[1]
+
+
+SCRIPTS = {
+    "cyrillic": "абвгдежз иклм ноп рстуф ",
+    "greek": "αβγδ εζηθ ικ λμνξ ο ",
+    "arabic": "ابت ثجحخ دذر زسش ",
+    "chinese": "的一是不了人。我在有，他这为之大来以个中上们！",
+    "japanese": "あいう漢字です。かき、くけこ？",
+    "mixed": "a é 1 ! 日。\u00a0 \u3000 'll 's \u2009x  y\t z <|endoftext|> ・。ー。々。",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_every_script_has_safe_places(script):
+    t = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    c = bpe.codec(bpe.default_vocabulary())
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list(SCRIPTS[script]), 6000))
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    want = t.encode(text, add_special_tokens=False).ids
+    places = bpe.safe_places(data).tolist()
+    assert len(places) > 100
+    parts = [raw[a:b] for a, b in zip([0, *places], [*places, len(raw)], strict=True)]
+    assert [i for p in parts for i in c.plain(p).tolist()] == want  # a token starts at every safe place
+    cuts = bpe.find_cuts(data, np.array([0, len(raw)]), mask=63)
+    assert len(cuts[0]) > 20 and c.encode(raw, cuts[0]).tolist() == want

@@ -9,7 +9,7 @@ ROWS = [
     (1, "http://a/1", "<p>one</p>", "x"),
     (2, "http://a/2", "<p>one</p>", "x"),
     (9, None, "<p>one</p>", "x"),
-    (4, "http://a/\r\nX: 1", "with\r\n\r\nWARC/1.1\r\nblank lines é", "x"),
+    (4, "http://a/\r\nX:\t1\x7f", "with\r\n\r\nWARC/1.1\r\nblank lines é", "x"),
     (5, "", None, "x"),
     (6, "http://a/6", "", "x"),
     (None, "http://a/7", "<p>one</p>", "x"),
@@ -35,8 +35,9 @@ def test_revisits(spark, tmp_path):
     assert [x[2] for x in got[10]] == ["response", "response"]
     assert all(got[100 + i] == [(11, b32("hot payload"), "revisit", 599)] for i in range(499))
     again = warc.read(spark, str(tmp_path / "w"), with_payload=True).where("page_id = 4").collect()[0]
-    assert bytes(again.payload).decode() == ROWS[3][2] and "\n" not in again.url
+    assert bytes(again.payload).decode() == ROWS[3][2] and again.url == "http://a/%0D%0AX:%091%7F"
     stored = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path / "w").glob("*.gz"))
+    assert b"WARC-Date: 20" in stored and b"2024-01-01" not in stored
     assert stored.count(b"hot payload") == 1 and stored.count(b"WARC-Type: revisit") > 499
 
 
