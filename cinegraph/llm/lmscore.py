@@ -13,8 +13,8 @@ scores. Training is noise-contrastive on both levels: noise is drawn from the un
 of the classes within a group, and shared by a batch, so a step is a few matrix products.
 
 Training documents are dealt to shards by a hash, as many as the tokens ask for, and sorted within; in each of
-ROUNDS rounds every shard runs over all of its tokens from the same start, and the parameters and step sizes are
-averaged by tokens. So the model depends on the documents alone, not on how the table is partitioned (but for the
+ROUNDS rounds every shard runs over its next part from the same start, and the parameters and step sizes are
+averaged by tokens, so all tokens are learned from once. So the model depends on the documents alone, not on how the table is partitioned (but for the
 order in which floating-point sums are taken).
 
 The LOOKUP most frequent counts go to all workers (a bounded table, within which every class of its own lies until
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -117,22 +118,22 @@ def _frequent(vocab: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order].view(np.uint64), c[order]
 
 
-@dataclass(frozen=True)
+@dataclass
 class Shape:
     """k tokens with a class of their own, `hashed` classes by ending; a class's place is group * width + member."""
 
     k: int
     hashed: int
 
-    @property
+    @cached_property
     def groups(self) -> int:
         return int(np.ceil(np.sqrt(self.k + self.hashed)))
 
-    @property
+    @cached_property
     def width(self) -> int:
         return -(-(self.k + self.hashed) // self.groups)
 
-    @property
+    @cached_property
     def pad(self) -> int:
         """The class of the places before a text."""
         return self.groups * self.width
@@ -202,12 +203,20 @@ class Model:
 
 
 def _pick_log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+    own = z[np.arange(len(z)), at]
+    if np.abs(own).max() > 60 or z.max() > 60:  # else no sum of exponentials is out of range
+        top = z.max(axis=1)
+        z, own = z - top[:, None], own - top
+    np.exp(z, out=z)
+    return own - np.log(z.sum(axis=1))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    with np.errstate(over="ignore"):
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        return np.reciprocal(z, out=z)
 
 
 class Trainer:
@@ -254,14 +263,20 @@ class Trainer:
         own = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
         d.t[y[own]] = np.add.reduceat(yes[:, None] * v, own)
         d.b[y[own]] = np.add.reduceat(yes, own)
-        for i, j in zip(cut.tolist(), np.append(cut[1:], len(g)).tolist(), strict=True):
-            k = int(g[i])
-            noise = k * shape.width + np.minimum(np.searchsorted(self.cum_in[k], self.rng.random(NOISE)), shape.width - 1)
-            tn = m.t[noise]
-            no = _sigmoid(v[i:j] @ tn.T + m.b[noise] - self.shift_in[noise])
-            dv[i:j] += no @ tn
-            np.add.at(d.t, noise, no.T @ v[i:j])
-            np.add.at(d.b, noise, no.sum(axis=0))
+        drawn = (self.rng.random((len(cut), NOISE, 1)) > self.cum_in[g[cut], None, :-1]).sum(axis=2) + g[cut, None] * shape.width
+        bias = m.b[drawn] - self.shift_in[drawn]
+        t = m.t[drawn]
+        dt, db = np.empty(t.shape, np.float32), np.empty(bias.shape, np.float32)
+        for k, (i, j) in enumerate(zip(cut.tolist(), np.append(cut[1:], len(g)).tolist(), strict=True)):
+            own = v[i:j]
+            no = own @ t[k].T
+            no += bias[k]
+            no = _sigmoid(no)
+            dv[i:j] += no @ t[k]
+            np.matmul(no.T, own, out=dt[k])
+            no.sum(axis=0, out=db[k])
+        np.add.at(d.t, drawn.ravel(), dt.reshape(-1, DIM))
+        np.add.at(d.b, drawn.ravel(), db.ravel())
 
         dq = np.zeros((q.size // DIM, DIM), np.float32)
         dq[order] = dv
@@ -280,11 +295,11 @@ class Trainer:
         self.squares += d.p * d.p
         m.p -= RATE * d.p / np.sqrt(self.squares)
 
-    def run(self, x: np.ndarray) -> None:
-        """One pass over a stream (texts with LEAD pads before each), stretch by stretch in a shuffled order."""
+    def run(self, x: np.ndarray, part: int = 0, parts: int = 1) -> None:
+        """A part of a pass over a stream (texts with LEAD pads before each), stretch by stretch in a shuffled order."""
         x = np.concatenate([x, np.full(LEAD + -(len(x) - LEAD) % SEGMENT, self.m.n, x.dtype)]) if (len(x) - LEAD) % SEGMENT else x
         rows = np.lib.stride_tricks.sliding_window_view(x, SEGMENT + LEAD)[::SEGMENT]
-        order = np.random.default_rng(5).permutation(len(rows))
+        order = np.random.default_rng(5).permutation(len(rows))[part::parts]
         for at in range(0, len(order), SEGMENTS):
             self.step(rows[np.sort(order[at : at + SEGMENTS])])
 
@@ -402,7 +417,7 @@ def _hashed_counts(vocab: DataFrame, own: np.ndarray, hashed: int) -> tuple[np.n
 
 
 def _train(learn: DataFrame, counts: np.ndarray, shape: Shape, kind: str, n: int) -> np.ndarray:
-    """In each round every shard trains on all of its tokens from the same start; the mean by tokens, in two levels."""
+    """In each round every shard trains on its next part from the same start; the mean by tokens, in two levels."""
     spark, start = learn.sparkSession, Model.start(counts, shape)
     state = np.concatenate([start, np.ones(len(start), np.float32)])
     shards = max(1, -(-n // SHARD_TOKENS))
@@ -414,7 +429,7 @@ def _train(learn: DataFrame, counts: np.ndarray, shape: Shape, kind: str, n: int
         total = sum(np.frombuffer(x) for x in own["p"])
         return pd.DataFrame({"part": [own["part"].iloc[0]], "n": [own["n"].sum()], "p": [total.tobytes()]})
 
-    for _ in range(ROUNDS):
+    for part in range(ROUNDS):
         sent = spark.sparkContext.broadcast(state)
 
         def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
@@ -422,7 +437,7 @@ def _train(learn: DataFrame, counts: np.ndarray, shape: Shape, kind: str, n: int
             sizes = np.array([len(x) // np.dtype(kind).itemsize for x in own["classes"]])
             x, _ = stream(np.frombuffer(b"".join(own["classes"]), kind).astype(np.int64), sizes, shape.pad)
             trainer = Trainer(sent.value[: len(start)], counts, shape, sent.value[len(start) :])
-            trainer.run(x)
+            trainer.run(x, part, ROUNDS)
             seen = float(sizes.sum())
             new = np.concatenate([trainer.m.p, trainer.squares])
             pieces = [(new[i : i + CHUNK].astype(np.float64) * seen).tobytes() for i in range(0, len(new), CHUNK)]

@@ -85,8 +85,10 @@ def test_gradient_is_that_of_the_contrastive_loss():
         noise = np.minimum(np.searchsorted(t.cum, t.rng.random(m.NOISE)), shape.groups - 1)
         out += soft(v @ t.m.u[noise].T + t.m.a[noise] - t.shift[noise]).sum()
         out += soft(-((v * t.m.t[y]).sum(1) + t.m.b[y] - t.shift_in[y])).sum()
-        for k in np.unique(g):
-            noise = k * shape.width + np.minimum(np.searchsorted(t.cum_in[k], t.rng.random(m.NOISE)), shape.width - 1)
+        there = np.unique(g)
+        drawn = (t.rng.random((len(there), m.NOISE, 1)) > t.cum_in[there, None, :-1]).sum(axis=2)
+        for k, noise in zip(there, drawn, strict=True):
+            noise = k * shape.width + noise
             out += soft(v[g == k] @ t.m.t[noise].T + t.m.b[noise] - t.shift_in[noise]).sum()
         return out
 
