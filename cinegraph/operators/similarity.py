@@ -18,6 +18,18 @@ def shingle_pairs(names: DataFrame, column: str, threshold: float) -> DataFrame:
     return pairs.withColumn("jaccard", F.col("inter") / (F.col("ka") + F.col("kb") - F.col("inter"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
+def set_sizes(rows: DataFrame, queries: DataFrame, row: str, query: str) -> DataFrame:
+    """row, query, common, either: sizes of intersection and union of each row's set s with each query's, where they meet.
+
+    A common element is in very many rows but in few queries, so the join is dealt by element over salted rows.
+    """
+    salts = 16
+    a = rows.select(row, F.size("s").alias("n"), F.explode("s").alias("w")).withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
+    b = queries.select(query, F.size("s").alias("k"), F.explode("s").alias("w")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = a.join(b, ["w", "_salt"]).groupBy(row, query, "n", "k").agg(F.count("*").alias("common"))
+    return both.select(row, query, "common", (F.col("n") + F.col("k") - F.col("common")).alias("either"))
+
+
 def fuzzy_pairs(names: DataFrame, column: str, threshold: float) -> DataFrame:
     """Pairs above the threshold, or one containing the other; the container holds all shingles of the contained."""
     found = shingle_pairs(names, column, 0.0)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,9 +21,14 @@ VIEWS = {
     "entity": "SELECT group_id, 'entity_' || group_id || '_' || name AS id, name, min(type) AS type, min(description) AS description, count(DISTINCT media_id * 100 + segment_index) AS source_count FROM mention GROUP BY group_id, name",
     "mentioned": "SELECT DISTINCT group_id, 'entity_' || group_id || '_' || name AS entity_id, media_id, segment_index FROM mention",
     "relation": "SELECT a.group_id, a.name AS src, b.name AS dst, max(1 + (a.segment_index + b.segment_index) % 10) AS strength, count(*) AS n FROM mention a JOIN mention b ON a.group_id = b.group_id AND a.media_id = b.media_id AND a.name < b.name GROUP BY a.group_id, a.name, b.name",
+    "moment": "SELECT *, CASE segment_index % 3 WHEN 0 THEN [left(transcript, 24), translate(left(transcript, 12), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')] WHEN 1 THEN []::VARCHAR[] ELSE [right(transcript, 20)] END AS ocr_texts FROM segment",
+    "evidence": "SELECT segment_id AS evidence_id, media_id, start_ms + (segment_index * 17 + media_id) % 80 * 1000 AS ts, (['ASR', 'OCR', 'asr+ocr', 'NOTE'])[1 + ((media_id + segment_index) % 4)::INT] AS source, left(transcript, 40) AS claim, CASE WHEN (media_id + segment_index) % 5 = 0 THEN 'unseen ' || left(transcript, 9) WHEN (media_id + segment_index) % 4 = 1 THEN translate(left(transcript, 10), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE translate(substr(transcript, 5, 30), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS content FROM segment",
+    "variant": "SELECT group_id, media_id, segment_index, CASE (media_id + segment_index) % 4 WHEN 1 THEN upper(name) WHEN 2 THEN name || 's' WHEN 3 THEN '  ' || name ELSE name END AS name, name AS plain, type, description FROM mention",
+    "raw_relation": "SELECT group_id, media_id, segment_index, name AS src, CASE WHEN media_id % 11 = 0 THEN 'nobody' ELSE lead(name) OVER w END AS dst, description || ' near ' || lead(description) OVER w AS description, 1 + (media_id + segment_index) % 10 AS strength FROM (SELECT v.*, row_number() OVER (PARTITION BY media_id ORDER BY segment_index, plain, description, name) AS pos FROM variant v) WINDOW w AS (PARTITION BY media_id ORDER BY pos) QUALIFY lead(name) OVER w IS NOT NULL",
+    "vec": "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 500",
     "event": "SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
 }
-_NEEDS = {"entity": ["mention"], "mentioned": ["mention"], "relation": ["mention"]}
+_NEEDS = {"entity": ["mention"], "mentioned": ["mention"], "relation": ["mention"], "moment": ["segment"], "evidence": ["segment"], "variant": ["mention"], "raw_relation": ["mention", "variant"]}
 
 
 def query(sql: str | None = None) -> Callable:
@@ -120,3 +125,47 @@ def relation(spark: SparkSession, d: str) -> DataFrame:
 
 def event(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+def big(x: F.Column) -> F.Column:
+    """The letters a-z in upper case."""
+    return F.translate(x, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def moment(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with screen texts."""
+    x = F.col("transcript")
+    ocr = F.when(F.col("segment_index") % 3 == 0, F.array(F.left(x, F.lit(24)), big(F.left(x, F.lit(12))))).when(F.col("segment_index") % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(F.right(x, F.lit(20))))
+    return segment(spark, d).withColumn("ocr_texts", ocr)
+
+
+def evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes with a source label, a time and the claim that they stand for."""
+    c = F.col
+    k = c("media_id") + c("segment_index")
+    x = c("transcript")
+    content = F.when(k % 5 == 0, F.concat(F.lit("unseen "), F.left(x, F.lit(9)))).when(k % 4 == 1, big(F.left(x, F.lit(10)))).otherwise(big(F.substring(x, 5, 30)))
+    source = F.element_at(F.array(*[F.lit(s) for s in ("ASR", "OCR", "asr+ocr", "NOTE")]), (1 + k % 4).cast("int"))
+    return segment(spark, d).select(c("segment_id").alias("evidence_id"), "media_id", (c("start_ms") + (c("segment_index") * 17 + c("media_id")) % 80 * 1000).alias("ts"), source.alias("source"), F.left(x, F.lit(40)).alias("claim"), content.alias("content"))
+
+
+def variant(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions whose names are written in several ways."""
+    c = F.col
+    k = (c("media_id") + c("segment_index")) % 4
+    name = F.when(k == 1, F.upper("name")).when(k == 2, F.concat("name", F.lit("s"))).when(k == 3, F.concat(F.lit("  "), "name")).otherwise(c("name"))
+    return mention(spark, d).select("group_id", "media_id", "segment_index", name.alias("name"), c("name").alias("plain"), "type", "description")
+
+
+def raw_relation(spark: SparkSession, d: str) -> DataFrame:
+    """Relations between neighbouring mentions of a media item; some ends name nobody."""
+    c = F.col
+    w = Window.partitionBy("media_id").orderBy("segment_index", "plain", "description", "name")
+    rows = variant(spark, d).withColumn("next", F.lead("name").over(w)).withColumn("after", F.lead("description").over(w)).where("next is not null")
+    dst = F.when(c("media_id") % 11 == 0, F.lit("nobody")).otherwise(c("next"))
+    return rows.select("group_id", "media_id", "segment_index", c("name").alias("src"), dst.alias("dst"), F.concat("description", F.lit(" near "), "after").alias("description"), (1 + (c("media_id") + c("segment_index")) % 10).alias("strength"))
+
+
+def vec(spark: SparkSession, d: str) -> DataFrame:
+    """The first 500 vectors by id; domain rows are given one by arithmetic on their keys."""
+    return t(spark, d, "embeddings").where("vec_id < 500").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

@@ -129,19 +129,6 @@ def exists_mention_scope(spark: SparkSession, d: str) -> DataFrame:
     return entity(spark, d).select(c("id").alias("entity_id")).join(hit, "entity_id", "left_semi")
 
 
-@query("[segment] SELECT s.segment_id, e.event_id FROM segment s JOIN events e ON e.user_id = s.media_id AND e.event_id % 480000 >= s.start_ms AND e.event_id % 480000 < s.end_ms AND contains(s.transcript, 'the')")
-def evidence_supported(spark: SparkSession, d: str) -> DataFrame:
-    points = t(spark, d, "events").select("event_id", c("user_id").alias("media_id"), (c("event_id") % 480000).alias("ts"))
-    return I.points_in_intervals(points, segment(spark, d), "media_id").where(F.contains("transcript", F.lit("the"))).select("segment_id", "event_id")
-
-
-@query("[segment] SELECT a.segment_id AS a, b.segment_id AS b FROM segment a JOIN segment b ON lower(regexp_replace(left(a.transcript, 12), '[^a-zA-Z]', '', 'g')) = lower(regexp_replace(left(b.transcript, 12), '[^a-zA-Z]', '', 'g')) AND a.segment_id < b.segment_id")
-def claim_supported(spark: SparkSession, d: str) -> DataFrame:
-    s = segment(spark, d).select("segment_id", F.lower(F.regexp_replace(F.left("transcript", F.lit(12)), "[^a-zA-Z]", "")).alias("k"))
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(b, (c("a.k") == c("b.k")) & (c("a.segment_id") < c("b.segment_id"))).select(c("a.segment_id").alias("a"), c("b.segment_id").alias("b"))
-
-
 @query("SELECT conv_id, bool_or(turn = 0) AND count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0 AS valid FROM conversations GROUP BY conv_id")
 def structured_valid(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(c("turn") == 0).alias("t"), F.count_if(c("role") == "user").alias("u"), F.count_if(c("role") == "assistant").alias("a"))
@@ -313,11 +300,6 @@ def recount_sources(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey").join(n, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT count(*) FILTER (quality = 1) / count(*) AS refusal_rate, avg(toxic) AS mean_calls FROM labels")
-def behaviour_summary(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "labels").agg((F.count_if(c("quality") == 1) / F.count("*")).alias("refusal_rate"), F.avg("toxic").alias("mean_calls"))
-
-
 @query("SELECT o_orderpriority AS k, round(CASE WHEN count(*) FILTER (o_orderstatus <> 'P') = 0 THEN 0 ELSE count(*) FILTER (o_orderstatus = 'F') / count(*) FILTER (o_orderstatus <> 'P') END, 6) AS ratio FROM orders GROUP BY 1")
 def ratio_metrics(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").groupBy(c("o_orderpriority").alias("k")).agg(F.round(R.ratio(c("o_orderstatus") == "F", c("o_orderstatus") != "P"), 6).alias("ratio"))

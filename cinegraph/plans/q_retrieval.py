@@ -203,45 +203,18 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return _evaluated(spark, d).withColumn("kind", c("q") % 3).rollup("kind").agg(F.count("*").alias("n"), F.round(F.avg(c("hit").cast("int")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / c("rank"), F.lit(0.0))), 6).alias("mrr")).withColumn("kind", F.coalesce("kind", F.lit(-1)))
 
 
-@query("SELECT lang, round(avg(quality) - 0.5, 6) AS delta FROM documents JOIN labels USING (doc_id) GROUP BY lang")
-def baseline_diff(spark: SparkSession, d: str) -> DataFrame:
-    base = t(spark, d, "documents").select("lang").distinct().withColumn("base", F.lit(0.5))
-    now = t(spark, d, "documents").select("doc_id", "lang").join(t(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("v"))
-    return now.join(base, "lang").select("lang", F.round(c("v") - c("base"), 6).alias("delta"))
-
-
 @query("SELECT round(avg(m), 6) AS mean FROM (SELECT lang, avg(toxic) AS m FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang)")
 def claim_means(spark: SparkSession, d: str) -> DataFrame:
     m = t(spark, d, "documents").select("doc_id", "lang").join(t(spark, d, "labels"), "doc_id", "left").groupBy("lang").agg(F.avg("toxic").alias("m"))
     return m.agg(F.round(F.avg("m"), 6).alias("mean"))
 
 
-@query("SELECT conv_id, (max(contains(lower(text), 'the')::INT) + max(contains(lower(text), 'zzz')::INT)) / 2 AS coverage FROM conversations GROUP BY conv_id")
-def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
-    hit = lambda w: F.max(F.contains(F.lower("text"), F.lit(w)).cast("int"))
-    return t(spark, d, "conversations").groupBy("conv_id").agg(((hit("the") + hit("zzz")) / 2).alias("coverage"))
-
-
 @query("SELECT conv_id, count(*) BETWEEN 1 AND 6 AND bool_and(length(trim(text)) > 0 AND length(text) <= 500) AS valid FROM conversations GROUP BY conv_id")
 def plan_valid(spark: SparkSession, d: str) -> DataFrame:
     tasks = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("x"))
     return tasks.select("conv_id", (F.size("x").between(1, 6) & F.forall("x", lambda s: (F.length(F.trim(s)) > 0) & (F.length(s) <= 500))).alias("valid"))
 
 
-@query("SELECT conv_id, array_to_string(list_sort(list_filter(['assistant', 'system', 'user'], lambda r: NOT list_contains(l, r))), ',') AS missing FROM (SELECT conv_id, list(DISTINCT role) AS l FROM conversations GROUP BY conv_id)")
-def structure_bounds(spark: SparkSession, d: str) -> DataFrame:
-    need = F.array(*[F.lit(x) for x in ("assistant", "system", "user")])
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("l")).select("conv_id", F.array_join(F.array_except(need, "l"), ",").alias("missing"))
-
-
-@query("[segment] SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM segment s WHERE s.media_id = e.user_id AND e.event_id * 37 % 600000 >= s.start_ms AND e.event_id * 37 % 600000 < s.end_ms)")
-def evidence_bounds(spark: SparkSession, d: str) -> DataFrame:
-    from cinegraph.operators.intervals import points_in_intervals
-
-    p = t(spark, d, "events").select("event_id", c("user_id").alias("media_id"), (c("event_id") * 37 % 600000).alias("ts"))
-    return p.select("event_id").join(points_in_intervals(p, segment(spark, d), "media_id").select("event_id"), "event_id", "left_anti")
-
-
 @query()
 def sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
     from cinegraph.functions.sequence import sequence_ratio as f

@@ -81,13 +81,15 @@ def fuzzy_pair_join(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy_pairs(t(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), "name", 0.4)
 
 
-@query("SELECT a.doc_id, b.item_id, len(list_intersect(a.s, b.s)) AS common FROM (SELECT doc_id, list_distinct(string_split(lower(left(text, 60)), ' ')) AS s FROM documents) a JOIN (SELECT item_id, list_distinct(string_split(lower(left(text, 60)), ' ')) AS s FROM benchmark) b ON len(list_intersect(a.s, b.s)) >= 6")
+@query("WITH b AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS s FROM benchmark), d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS s FROM documents), w AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM d), v AS (SELECT item_id, len(s) AS k, unnest(s) AS w FROM b) SELECT doc_id, item_id, count(*) AS common, (any_value(n) + any_value(k) - count(*))::BIGINT AS either FROM w JOIN v USING (w) GROUP BY doc_id, item_id")
 def shingle_set_ops(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of intersections of word sets of the opening line, through an inverted index."""
-    words = lambda c: F.explode(F.array_distinct(F.split(F.lower(F.left(c, F.lit(60))), " "))).alias("w")
-    a = t(spark, d, "documents").select("doc_id", words(F.col("text")))
-    b = t(spark, d, "benchmark").select("item_id", words(F.col("text")))
-    return a.join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").cast("int").alias("common")).where("common >= 6")
+    """Sizes of intersection and union of the word sets of whole texts, through an inverted index of the items."""
+    from cinegraph.operators.similarity import set_sizes
+
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    a = t(spark, d, "documents").select("doc_id", words(F.col("text")).alias("s"))
+    b = t(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("s"))
+    return set_sizes(a, b, "doc_id", "item_id")
 
 
 @query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, (length(text) - a) + ceil(a / 4)) END::BIGINT AS tokens FROM (SELECT *, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS a FROM documents)")
@@ -315,9 +317,15 @@ def effective_text_gate(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", (F.length(F.trim(F.regexp_replace("text", r"[\[(][^\])]{0,8}[\])]", ""))) >= 300).alias("passes"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND embedding[1] >= 0.1")
+@query("WITH x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN NULL ELSE embedding::DOUBLE[] END AS v FROM embeddings) SELECT vec_id, round((1 + list_cosine_similarity(v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))) / 2, 6) AS score FROM x WHERE v IS NOT NULL AND (1 + list_cosine_similarity(v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))) / 2 >= 0.5")
 def not_null_vector(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "embeddings").where(F.col("embedding").isNotNull() & (F.element_at("embedding", 1) >= F.lit(0.1))).select("vec_id")
+    """Rows with a vector that reach the threshold; some rows have none."""
+    from cinegraph.functions.vector import cosine_unit
+
+    e = t(spark, d, "embeddings")
+    q = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    rows = e.withColumn("v", F.when(F.col("vec_id") % 7 != 3, F.col("embedding"))).where("v is not null").join(q)
+    return rows.select("vec_id", cosine_unit(F.col("v"), F.col("q")).alias("s")).where("s >= 0.5").select("vec_id", F.round("s", 6).alias("score"))
 
 
 @query("[segment] SELECT media_id, segment_index FROM segment WHERE length(trim(transcript)) > 0")
@@ -325,17 +333,37 @@ def segment_non_empty(spark: SparkSession, d: str) -> DataFrame:
     return segment(spark, d).where(F.length(F.trim("transcript")) > 0).select("media_id", "segment_index")
 
 
-@query("[media] SELECT media_id FROM media WHERE lang = 'en' AND title <> '' AND duration_ms < 100000")
+@query("WITH m AS (SELECT doc_id AS media_id, CASE doc_id % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'PROCESSING' ELSE 'FAILED' END AS status, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars * 100 END AS duration_ms, CASE WHEN doc_id % 7 <> 0 THEN 'cover_' || doc_id END AS cover, CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END AS path FROM documents) SELECT media_id FROM m WHERE status = 'COMPLETED' AND (duration_ms IS NULL OR cover IS NULL) AND path <> ''")
 def missing_visuals(spark: SparkSession, d: str) -> DataFrame:
-    return media(spark, d).where("lang = 'en' and title <> '' and duration_ms < 100000").select("media_id")
+    k = F.col("doc_id")
+    status = F.when(k % 3 == 0, "COMPLETED").when(k % 3 == 1, "PROCESSING").otherwise("FAILED")
+    m = t(spark, d, "documents").select(k.alias("media_id"), status.alias("status"), F.when(k % 5 != 0, F.col("n_chars") * 100).alias("duration_ms"), F.when(k % 7 != 0, F.concat(F.lit("cover_"), k)).alias("cover"), F.when(k % 11 == 0, "").otherwise(F.col("source")).alias("path"))
+    return m.where("status = 'COMPLETED' and (duration_ms is null or cover is null) and path <> ''").select("media_id")
+
+
+_MESSAGES = ["HTTP 503 Service Unavailable", "Read timed out", "402 Payment Required: balance", "401 Unauthorized", "ffprobe failed", "File not found", "bad value", "corrupt stream, connection reset", "Invalid API key", "disk full"]
+_KINDS = ["ValueError", "FileNotFoundError", "RuntimeError"]
+
+
+def _classes() -> str:
+    """The ordered rules as SQL."""
+    from cinegraph.operators import ranking as K
+
+    cases = [f"WHEN regexp_matches(m, '{'|'.join(K.TRANSIENT)}') THEN 'TRANSIENT_' || left(upper(kind), 50)"]
+    cases += [f"WHEN contains(m, '{x}') THEN 'PERMANENT_AUTH_{x.upper().replace(' ', '_')}'" for x in K.AUTH]
+    cases += ["WHEN kind = 'FileNotFoundError' THEN 'PERMANENT_FILENOTFOUND'"]
+    cases += [f"WHEN contains(m, '{x}') THEN 'PERMANENT_{x.upper().replace(' ', '_')}'" for x in K.PERMANENT]
+    return f"CASE {' '.join(cases)} ELSE left(upper(kind), 60) END"
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'timeout') OR contains(lower(text), 'connection') THEN 'TRANSIENT' WHEN contains(lower(text), 'unauthorized') OR contains(lower(text), 'license') THEN 'AUTH' WHEN contains(lower(text), 'not found') THEN 'MISSING' WHEN contains(lower(text), 'invalid') THEN 'PERMANENT' ELSE 'UNKNOWN' END AS code, NOT (contains(lower(text), 'unauthorized') OR contains(lower(text), 'license') OR contains(lower(text), 'not found') OR contains(lower(text), 'invalid')) OR contains(lower(text), 'timeout') OR contains(lower(text), 'connection') AS retryable FROM documents")
+@query(f"WITH e AS (SELECT event_id, lower(({_MESSAGES})[1 + (event_id % 10)::INT] || ' ' || event_type) AS m, ({_KINDS})[1 + (event_id // 10 % 3)::INT] AS kind FROM events), x AS (SELECT event_id, {_classes()} AS code FROM e) SELECT event_id, code, NOT starts_with(code, 'PERMANENT_') AS retryable FROM x")
 def error_classify(spark: SparkSession, d: str) -> DataFrame:
     from cinegraph.operators.ranking import classify_error
 
-    e = classify_error(F.col("text"))
-    return t(spark, d, "documents").select("doc_id", e.alias("e")).select("doc_id", "e.code", "e.retryable")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (1 + at).cast("int"))
+    k = F.col("event_id")
+    e = classify_error(F.concat_ws(" ", pick(_MESSAGES, k % 10), "event_type"), pick(_KINDS, F.floor(k / 10) % 3))
+    return t(spark, d, "events").select("event_id", e.alias("e")).select("event_id", "e.code", "e.retryable")
 
 
 @query("SELECT event_id, 400 + k AS status, k BETWEEN 0 AND 99 AND 400 + k NOT IN (408, 429) AS terminal FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)")

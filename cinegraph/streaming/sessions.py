@@ -36,29 +36,28 @@ def dedupe(events: DataFrame, keys: list[str], lifetime: str) -> DataFrame:
 
 
 def task_states(events: DataFrame, idle_ms: int | None = 1_800_000) -> DataFrame:
-    """Each task's state after every batch, kept across batches; a task that idles past the watchdog fails.
+    """Each task's state after every batch (user_id, ts, event_id, action), kept across batches; an executor that idles past the watchdog fails.
 
     Without idle_ms there is no watchdog: a stream that is drained and stopped has no time to idle.
     """
-    out = "user_id long, state string, attempts long, rejected long"
+    counters = "state string, analyze_attempt int, analyze_retry int, commit_attempt int, commit_retry int, rejected int"
+    names = [x.split()[0] for x in counters.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, attempts, rejected = state.get if state.exists else (None, 0, 0)
+        now = state.get if state.exists else (None, 0, 0, 0, 0, 0)
         if state.hasTimedOut:
             state.remove()
-            now = "FAILED" if now in ("QUEUED", "ANALYZING", "ANALYZED") else now
+            now = ({"ANALYZING": "ANALYZE_FAILED", "COMMITTING": "COMMIT_FAILED"}.get(now[0], now[0]), *now[1:])
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            for kind in rows["event_type"]:
-                now, ok = step(now, kind)
-                rejected += not ok
-                attempts += ok and kind == "view"
-            state.update((now, attempts, rejected))
+            for action in pd.concat(list(batches)).sort_values(["ts", "event_id"])["action"]:
+                now = step(now, action)
+            state.update(now)
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"user_id": [key[0]], "state": [now], "attempts": [attempts], "rejected": [rejected]})
+        yield pd.DataFrame({"user_id": [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
 
-    return events.groupBy("user_id").applyInPandasWithState(run, out, "state string, attempts long, rejected long", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("user_id").applyInPandasWithState(run, f"user_id long, {counters}", counters, "update", timeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
