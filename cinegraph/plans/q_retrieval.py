@@ -53,11 +53,6 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
     return e.where("s >= 0.4").select("vec_id", F.round("s", 6).alias("score"))
 
 
-@query(f"SELECT b.vec_id, round((1 + {_COS}) / 2, 6) AS score FROM (SELECT {_Q0} AS embedding) a, embeddings b WHERE (1 + {_COS}) / 2 >= 0.5 ORDER BY (1 + {_COS}) / 2 DESC, b.vec_id LIMIT 10")
-def entity_search_debug(spark: SparkSession, d: str) -> DataFrame:
-    return topk_vector(spark, d)
-
-
 @query(f"SELECT a.vec_id AS q, b.vec_id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 5")
 def vector_knn_join(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings")
@@ -92,44 +87,6 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return T.rrf(_two_lists(spark, d), "vec_id").select("vec_id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {_LISTS} SELECT vec_id, round(score, 9) AS score FROM r ORDER BY r.score DESC, f LIMIT 10")
-def rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Without a cross-encoder the order of the fusion stays."""
-    out = T.rrf(_two_lists(spark, d), "vec_id")
-    return out.orderBy(F.desc("score"), "first").limit(10).select("vec_id", F.round("score", 9).alias("score"))
-
-
-@query("[segment] WITH " + _BM + ", a AS (SELECT segment_id, row_number() OVER (ORDER BY score DESC, segment_id) - 1 AS rank FROM bm QUALIFY rank < 20), b AS (SELECT segment_id, row_number() OVER (ORDER BY length(transcript) DESC, segment_id) - 1 AS rank FROM segment QUALIFY rank < 20), u AS (SELECT 0 AS l, * FROM a UNION ALL SELECT 1, * FROM b), r AS (SELECT segment_id, sum(1 / (rank + 60)) AS score, min(l * 1000 + rank) AS f FROM u GROUP BY segment_id), k AS (SELECT * FROM r ORDER BY score DESC, f LIMIT 5) SELECT segment_id, media_id, start_ms, left(transcript, 100) AS excerpt FROM k JOIN segment USING (segment_id)")
-def segment_search(spark: SparkSession, d: str) -> DataFrame:
-    """Full text and a second list, fused, with citations."""
-    s = segment(spark, d)
-    a = T.ranked(T.top(T.bm25(s, "segment_id", "transcript", TERMS), 20, "score", "segment_id"), [F.desc("score"), "segment_id"])
-    b = T.ranked(T.top(s.select("segment_id", F.length("transcript").alias("n")), 20, "n", "segment_id"), [F.desc("n"), "segment_id"])
-    best = T.rrf([a, b], "segment_id").orderBy(F.desc("score"), "first").limit(5).select("segment_id")
-    return s.join(best, "segment_id").select("segment_id", "media_id", "start_ms", F.left("transcript", F.lit(100)).alias("excerpt"))
-
-
-@query("[media] SELECT media_id, title, round(duration_ms / 60000.0, 1) AS minutes FROM media WHERE contains(summary, 'thing') ORDER BY length(summary) DESC, media_id LIMIT 7")
-def media_search(spark: SparkSession, d: str) -> DataFrame:
-    m = media(spark, d).where(F.contains("summary", F.lit("thing")))
-    return m.orderBy(F.desc(F.length("summary")), "media_id").limit(7).select("media_id", "title", F.round(c("duration_ms") / 60000, 1).alias("minutes"))
-
-
-@query(f"SELECT b.vec_id, b.label, coalesce(round(CASE WHEN b.vec_id % 3 = 0 THEN NULL ELSE {_COS} END, 6), 0) AS score FROM (SELECT {_Q0} AS embedding) a, embeddings b WHERE b.label = 1")
-def vector_store_search(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the store by id, 0 where it has none."""
-    e = t(spark, d, "embeddings").where("label = 1")
-    scores = e.where("vec_id % 3 <> 0").select("vec_id", V.cosine_raw(c("embedding"), _zero(spark, d)).alias("s"))
-    return e.select("vec_id", "label").join(scores, "vec_id", "left").select("vec_id", "label", F.coalesce(F.round("s", 6), F.lit(0.0)).alias("score"))
-
-
-@query("SELECT event_id, value FROM events WHERE value >= 50 ORDER BY value DESC, event_id LIMIT 15")
-def map_reduce_points(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "events").select("event_id", "value", F.to_json(F.struct("value")).alias("answer"))
-    scored = rows.withColumn("value", F.from_json("answer", "value double")["value"]).where("value is not null and value >= 50")
-    return T.top(scored, 15, "value", "event_id").select("event_id", "value")
-
-
 _EV = "SELECT conv_id, turn, length(text) AS score, row_number() OVER (PARTITION BY conv_id // 5 ORDER BY length(text) DESC, conv_id, turn) AS r FROM conversations"
 
 
@@ -139,48 +96,12 @@ def evidence_top_chunks(spark: SparkSession, d: str) -> DataFrame:
     return S.latest(s, ["chunk"], [F.desc("score"), "conv_id", "turn"], 3)
 
 
-@query(f"SELECT conv_id, turn, score FROM ({_EV}) WHERE r <= 3 ORDER BY score DESC, conv_id, turn LIMIT 8")
-def evidence_rank(spark: SparkSession, d: str) -> DataFrame:
-    return evidence_top_chunks(spark, d).orderBy(F.desc("score"), "conv_id", "turn").limit(8).select("conv_id", "turn", "score")
-
-
-@query("WITH n AS (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY conv_id), r AS (SELECT c.*, m, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS r FROM conversations c JOIN n USING (conv_id)) SELECT conv_id, turn FROM r WHERE m < 5 OR r <= 3")
-def select_relevant(spark: SparkSession, d: str) -> DataFrame:
-    """All segments of short media, the best of longer ones."""
-    s = t(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    short = s.groupBy("conv_id").agg(F.max("turn").alias("m")).where("m < 5").select("conv_id")
-    best = S.latest(s, ["conv_id"], [F.desc("n"), "turn"], 3)
-    return s.join(short, "conv_id", "left_semi").select("conv_id", "turn").union(best.join(short, "conv_id", "left_anti").select("conv_id", "turn"))
-
-
-@query("[segment] SELECT DISTINCT segment_id FROM (SELECT segment_id FROM segment WHERE segment_index = 0 UNION ALL SELECT segment_id FROM segment WHERE role = 'system' UNION ALL SELECT b.segment_id FROM segment a JOIN segment b ON b.media_id = a.media_id AND b.segment_index BETWEEN a.segment_index - 1 AND a.segment_index + 1 WHERE a.role = 'system')")
-def refine_for_critique(spark: SparkSession, d: str) -> DataFrame:
-    s = segment(spark, d)
-    marked = s.where("role = 'system'")
-    near = marked.select("media_id", F.explode(F.expr("sequence(segment_index - 1, segment_index + 1)")).alias("segment_index"))
-    pick = s.where("segment_index = 0").select("segment_id").union(marked.select("segment_id")).union(s.join(near, ["media_id", "segment_index"]).select("segment_id"))
-    return pick.distinct()
-
-
 @query("SELECT conv_id, string_agg(turn || ': ' || role, '; ' ORDER BY turn) AS note FROM conversations WHERE turn < 10 GROUP BY conv_id")
 def sources_note(spark: SparkSession, d: str) -> DataFrame:
     s = t(spark, d, "conversations").where("turn < 10").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("turn", F.lit(": "), "role").alias("x")))).alias("l"))
     return s.select("conv_id", F.array_join(F.transform("l", lambda x: x["x"]), "; ").alias("note"))
 
 
-@query(f"WITH {_LISTS}, k AS (SELECT vec_id, score FROM r ORDER BY r.score DESC, f LIMIT 10) SELECT vec_id, label, round(score, 9) AS score FROM k JOIN embeddings USING (vec_id)")
-def local_search(spark: SparkSession, d: str) -> DataFrame:
-    best = T.rrf(_two_lists(spark, d), "vec_id").orderBy(F.desc("score"), "first").limit(10).select("vec_id", F.round("score", 9).alias("score"))
-    return t(spark, d, "embeddings").select("vec_id", "label").join(best, "vec_id")
-
-
-@query(f"WITH {_LISTS}, k AS (SELECT label, sum(score) AS s, count(*) AS n FROM r JOIN embeddings USING (vec_id) GROUP BY label) SELECT label, round(s, 9) AS score, n FROM k ORDER BY s DESC, label LIMIT 5")
-def global_search(spark: SparkSession, d: str) -> DataFrame:
-    """Communities by the fused scores of their members."""
-    r = T.rrf(_two_lists(spark, d), "vec_id").join(t(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
-    return r.groupBy("label").agg(F.sum("score").alias("s"), F.count("*").alias("n")).orderBy(F.desc("s"), "label").limit(5).select("label", F.round("s", 9).alias("score"), "n")
-
-
 _KNN = f"res AS (SELECT a.vec_id AS q, b.vec_id AS item, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) - 1 AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY rank < 5), tr AS (SELECT a.vec_id AS q, b.vec_id AS item FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), e AS (SELECT q, count(*) AS expected FROM tr GROUP BY q), x AS (SELECT r.q, count(*) AS n, count(t.item) AS good, min(CASE WHEN t.item IS NOT NULL THEN rank + 1 END) AS rank FROM res r LEFT JOIN tr t ON t.q = r.q AND t.item = r.item GROUP BY r.q), ev AS (SELECT q, rank IS NOT NULL AS hit, rank, coalesce(good / n, 0) AS p, coalesce(good / expected, 0) AS r FROM e LEFT JOIN x USING (q))"
 
 
