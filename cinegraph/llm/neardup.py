@@ -6,8 +6,9 @@ Jaccard similarity of 0.8 share three of their sixteen keys at least but for a c
 found by two shared short lists, or by a shared pair of long ones:
 
 * lists of up to SHORT classes give pairs; two shared lists make a candidate;
-* of the keys with longer lists (a common passage, or a large group of near copies), each class emits pairs of
-  neighbours in hash order; the lists of such pairs are short again for common passages, and give candidates;
+* the keys with longer lists (a common passage, or a large group of near copies) are dealt to KEY_CLASSES by their
+  value, and each set emits all pairs within a class, so that four shared keys share a pair for certain; the lists
+  of such pairs are short again for common passages, and give candidates;
 * where even those are long, the classes are near copies or share a common passage: they join one cluster by a
   star, without any pair.
 
@@ -39,8 +40,9 @@ from cinegraph.operators.components import components
 SHINGLE = 4
 THRESHOLD = 80  # per cent
 KEYS, SKETCH = 16, 64
-#: Of a set's keys with long lists, each makes pairs with so many next ones: similar sets share one but for a chance of 1e-7.
-NEXT_KEYS = 6
+#: A set's keys with long lists make pairs within so many classes of keys. Four shared keys always share a pair, so
+#: similar sets share none with a chance of 6e-8 at most.
+KEY_CLASSES = 3
 SHORT = 32
 #: Shared values among the SKETCH smallest of the union: 0.8 lies five standard deviations above.
 LEAST_SHARE = 0.55
@@ -112,7 +114,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
     short = _pairs(lists.where(F.col("len") <= SHORT), "key").groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
 
     hot = lists.where(F.col("len") > SHORT).groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("key")).alias("k"))
-    two = F.expr(f"flatten(transform(k, (x, i) -> transform(slice(k, i + 2, {NEXT_KEYS}), y -> xxhash64(x, y))))")
+    two = F.expr(f"flatten(transform(k, (x, i) -> transform(filter(slice(k, i + 2, size(k)), y -> pmod(y, {KEY_CLASSES}) = pmod(x, {KEY_CLASSES})), y -> xxhash64(x, y))))")
     second = scratch(_long_lists(hot.select("rep", "n", F.explode(two).alias("key")), "key"), "nd-lists")
     pairs = short.unionByName(_pairs(second.where(F.col("len") <= SHORT), "key")).distinct()
 

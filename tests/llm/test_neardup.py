@@ -81,3 +81,30 @@ def test_empty_table_and_kept(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == [1, 3]
     assert neardup.keep_one(df).columns == df.columns
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_no_link_of_the_documents_is_lost(spark):
+    """Against all pairs that share a shingle."""
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    lists = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            lists[x].append(i)
+    common = Counter((i, j) for own in lists.values() for i in own for j in own if i < j)
+    label = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    links = [(i, j) for (i, j), n in common.items() if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)]
+    assert len(links) > 50 and all(label[i] == label[j] for i, j in links)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    assert label == {i: find(i) for i in sets}
