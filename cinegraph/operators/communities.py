@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,44 +46,163 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels.withColumnRenamed("x", "name")
 
 
-def modularity_moves(edges: DataFrame, gamma: float = 1.0, rounds: int = 10) -> DataFrame:
-    """Local moves by modularity in a fixed order, one task for each group; communities are kept connected.
-
-    A group's graph is its entities, thousands at most; the groups are what there are many of.
+#: Communities above this size are divided again, down to this many levels; weights are 1 at least.
+DIVIDE_ABOVE, LEVELS = 10, 2
+
+
+def _moves(near: list[dict[int, float]], own: list[int], gamma: float) -> bool:
+    """Moves nodes to the neighbouring community of the largest gain in a fixed order until none moves; true if any did."""
+    degree = [sum(x.values()) for x in near]
+    total = sum(degree) or 1.0
+    weight: dict[int, float] = {}
+    for v, c in enumerate(own):
+        weight[c] = weight.get(c, 0.0) + degree[v]
+    moved, queue = False, list(range(len(near)))
+    waiting = set(queue)
+    while queue:
+        later: list[int] = []
+        for v in queue:
+            waiting.discard(v)
+            weight[own[v]] -= degree[v]
+            gain = {own[v]: 0.0}
+            for u, w in near[v].items():
+                if u != v:
+                    gain[own[u]] = gain.get(own[u], 0.0) + w
+            best = max(gain, key=lambda k: (round(gain[k] - gamma * degree[v] * weight.get(k, 0.0) / total, 9), k == own[v], -k))
+            weight[best] = weight.get(best, 0.0) + degree[v]
+            if best != own[v]:
+                own[v], moved = best, True
+                for u in near[v]:
+                    if own[u] != best and u not in waiting:
+                        waiting.add(u)
+                        later.append(u)
+        queue = sorted(later)
+    return moved
+
+
+def _connected(near: list[dict[int, float]], own: list[int]) -> list[int]:
+    """Communities split into their connected parts, each named by its least node."""
+    out = [-1] * len(near)
+    for v in range(len(near)):
+        stack = [v] if out[v] < 0 else []
+        while stack:
+            x = stack.pop()
+            if out[x] < 0:
+                out[x] = v
+                stack += [u for u in near[x] if own[u] == own[v] and out[u] < 0]
+    return out
+
+
+def leiden(near: list[dict[int, float]], gamma: float = 1.0) -> list[int]:
+    """The community of each node: moves, a refinement within communities, and the same on the graph of the refined parts."""
+    n = len(near)
+    at = list(range(n))  # node -> node of the present graph
+    own = list(range(n))
+    while True:
+        before = len(near)
+        _moves(near, own, gamma)
+        parts = list(range(len(near)))  # refinement: moves from single nodes along edges inside a community
+        inner = [{u: w for u, w in x.items() if own[u] == own[v] or u == v} for v, x in enumerate(near)]
+        _moves(inner, parts, gamma)
+        parts = _connected(inner, parts)
+        names = {c: i for i, c in enumerate(sorted(set(parts)))}
+        if len(names) == before:
+            break
+        sums: list[dict[int, float]] = [{} for _ in names]
+        for v, x in enumerate(near):
+            for u, w in x.items():
+                a, b = names[parts[v]], names[parts[u]]
+                sums[a][b] = sums[a].get(b, 0.0) + w
+        new_own = [0] * len(names)
+        for v in range(before):
+            new_own[names[parts[v]]] = own[v]
+        first: dict[int, int] = {}
+        own = [first.setdefault(c, i) for i, c in enumerate(new_own)]
+        at = [names[parts[v]] for v in at]
+        near = sums
+    return [own[v] for v in at]
+
+
+def hierarchy(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """group_id, name, level, community, parent: communities by modularity, those above DIVIDE_ABOVE divided again.
+
+    nodes: group_id, name; edges: group_id, src, dst, strength. A tenant's graph is the unit of work, one task each;
+    isolated nodes are communities of their own. Ids number a tenant's communities in the order of a descent.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, dict[str, float]] = {}
-        for a, b, w in zip(part["src"], part["dst"], part["n"], strict=True):
-            near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + w
-            near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + w
-        degree = {v: sum(x.values()) for v, x in near.items()}
-        total = sum(degree.values()) or 1
-        own = {v: v for v in near}
-        weight = dict(degree)
-        for _ in range(rounds):
-            moved = False
-            for v in sorted(near):
-                weight[own[v]] -= degree[v]
-                gain: dict[str, float] = {own[v]: 0.0}
-                for u, w in near[v].items():
-                    gain[own[u]] = gain.get(own[u], 0.0) + w
-                best = min(gain, key=lambda k: (-(gain[k] - gamma * degree[v] * weight.get(k, 0) / total), k != own[v], k))
-                moved |= best != own[v]
-                own[v] = best
-                weight[best] = weight.get(best, 0) + degree[v]
-            if not moved:
-                break
-        seen: dict[str, str] = {}
-        for v in sorted(near):  # split what a move has cut apart
-            if v not in seen:
-                stack = [v]
-                while stack:
-                    x = stack.pop()
-                    if x not in seen:
-                        seen[x] = v
-                        stack += [u for u in near[x] if own[u] == own[v] and u not in seen]
-        names = list(seen)
-        return pd.DataFrame({"group_id": part["group_id"].iloc[0], "name": names, "community": [seen[v] for v in names]})
-
-    return edges.groupBy("group_id").applyInPandas(run, "group_id string, name string, community string")
+    def run(key: tuple, own_nodes: pd.DataFrame, own_edges: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(own_nodes["name"]))
+        weights: dict[tuple[str, str], float] = {}
+        for a, b, w in zip(own_edges["src"], own_edges["dst"], own_edges["strength"], strict=True):
+            if a != b:
+                k = (min(a, b), max(a, b))
+                weights[k] = weights.get(k, 0.0) + max(w, 1)
+        out: list[tuple] = []
+        count = 0
+
+        def divide(members: list[str], level: int, parent: int | None) -> None:
+            nonlocal count
+            place = {x: i for i, x in enumerate(members)}
+            near: list[dict[int, float]] = [{} for _ in members]
+            for (a, b), w in weights.items():
+                if a in place and b in place:
+                    near[place[a]][place[b]] = near[place[b]][place[a]] = w
+            label = leiden(near, gamma)
+            groups: dict[int, list[str]] = {}
+            for x, c in zip(members, label, strict=True):
+                groups.setdefault(c, []).append(x)
+            for own in sorted(groups.values()):
+                me, count = count, count + 1
+                out.extend((key[0], x, level, me, parent) for x in own)
+                if len(own) > DIVIDE_ABOVE and level < LEVELS:
+                    divide(own, level + 1, me)
+
+        divide(names, 0, None)
+        return pd.DataFrame(out, columns=["group_id", "name", "level", "community", "parent"])
+
+    n = nodes.select("group_id", "name").groupBy("group_id")
+    e = edges.select("group_id", "src", "dst", "strength").groupBy("group_id")
+    return n.cogroup(e).applyInPandas(run, "group_id string, name string, level int, community int, parent int")
+
+
+def assign(entities: DataFrame, given: DataFrame, edges: DataFrame, vectors: DataFrame, centres: DataFrame, rounds: int = 2, k: int = 3, at: float = 0.3, accept: float = 0.6) -> DataFrame:
+    """group_id, name, community, via: those with a community keep it; then neighbours vote in rounds, then the likest communities are judged, else alone.
+
+    vectors: group_id, name, vector; centres: group_id, community, centre. The judge takes the likest of the k nearest
+    that reach `at` if it reaches `accept`. Communities of a tenant are few; entities meet only their tenant's.
+    """
+    from cinegraph.functions.vector import cosine_unit
+
+    done = given.select("group_id", "name", "community").withColumn("via", F.lit("given"))
+    rest = entities.select("group_id", "name").join(done, ["group_id", "name"], "left_anti")
+    for i in range(rounds):
+        votes = neighbour_votes(edges, done.select("group_id", "name", "community")).select("group_id", "name", "community")
+        new = scratch(rest.join(votes, ["group_id", "name"]).withColumn("via", F.lit(f"vote{i + 1}")), "cm-votes")
+        done = done.unionByName(new.select(done.columns))
+        rest = scratch(rest.join(new, ["group_id", "name"], "left_anti"), "cm-rest")
+    scored = rest.join(vectors, ["group_id", "name"]).join(centres, "group_id").select("group_id", "name", "community", cosine_unit(F.col("vector"), F.col("centre")).alias("s")).where(F.col("s") >= at)
+    best = scored.groupBy("group_id", "name").agg(F.min_by(F.struct("community", "s"), F.struct(-F.col("s"), "community")).alias("b")).where(F.col("b.s") >= accept).select("group_id", "name", "b.community")
+    judged = rest.join(best, ["group_id", "name"], "left")
+    last = judged.select("group_id", "name", F.coalesce("community", F.lit(-1)).alias("community"), F.when(F.col("community").isNull(), "single").otherwise("judged").alias("via"))
+    return done.unionByName(last)
+
+
+def summarise(communities: DataFrame, summariser: Callable[[list[str]], str] | None = None) -> DataFrame:
+    """community, summary of rows (community, names, descriptions, relations): a template for one entity without relations, else the summariser, else counts."""
+    tell = summariser or (lambda names: ", ".join(names)[:120])
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                names = list(r.names)
+                if len(names) == 1 and r.relations == 0:
+                    out.append(f"{names[0]}: {r.descriptions[0]}")
+                    continue
+                try:
+                    out.append(tell(names))
+                except Exception:  # a failed model leaves the counts
+                    out.append(f"{len(names)} entities, {r.relations} relations")
+            yield pd.DataFrame({"community": b["community"], "summary": out})
+
+    return communities.mapInPandas(run, f"community {dict(communities.dtypes)['community']}, summary string")

@@ -56,8 +56,12 @@ def best_overlap(old: DataFrame, new: DataFrame, key: str, row: str) -> DataFram
 
 
 def cite(points: DataFrame, segments: DataFrame, key: str, point: str) -> DataFrame:
-    """The segment that holds the time (both ends), or else the one with the nearest start; the earlier on ties."""
-    kind = F.when(F.col("ts").between(F.col("start_ms"), F.col("end_ms")), 0).otherwise(1)
-    both = points.join(segments.select(key, "segment_index", "start_ms", "end_ms"), key)
-    best = F.min_by("segment_index", F.struct(kind, F.abs(F.col("ts") - F.col("start_ms")), "segment_index"))
-    return both.groupBy(point).agg(best.alias("segment_index"), (F.min(kind) == 0).alias("inside"))
+    """The segment that holds the time (both ends) with the nearest start, or else that with the nearest start; the earlier on ties."""
+    s = segments.select(key, "segment_index", "start_ms", (F.col("end_ms") + 1).alias("end_ms"))  # both ends belong
+    held = points_in_intervals(points.select(point, key, "ts"), s, key)
+    held = held.groupBy(point).agg(F.min_by("segment_index", F.struct(F.col("ts") - F.col("start_ms"), "segment_index")).alias("segment_index")).withColumn("inside", F.lit(True))
+    rest = points.select(point, key, "ts").join(held.select(point), point, "left_anti").select(F.col(point).cast("string").alias("_p"), key, F.col("ts").alias("at"))
+    near = nearest(rest, segments.select(key, "segment_index", F.col("start_ms").alias("ts")), key, "_p", "segment_index")
+    kind, index = dict(points.dtypes)[point], dict(segments.dtypes)["segment_index"]
+    near = near.select(F.col("_p").cast(kind).alias(point), F.col("segment_index").cast(index).alias("segment_index"), F.lit(False).alias("inside"))
+    return held.unionByName(near)

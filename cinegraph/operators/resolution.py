@@ -1,7 +1,7 @@
 """Entity resolution: merging mentions of a media item, matching a graph, judging candidates, closing chains.
 
-Models are plugged in as functions over batches; the defaults are deterministic and need no network: a judge
-accepts equal normalised names or a shingle similarity of 0.9, a summariser keeps the first characters.
+Models are plugged in as functions over batches; the defaults are deterministic and need no network: a judge accepts
+a score of 0.9, a summariser keeps the first characters.
 """
 
 from __future__ import annotations
@@ -9,28 +9,178 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinegraph.functions.sequence import sequence_ratio
-from cinegraph.functions.text import jaccard, normalize_exact, shingles3
+from cinegraph.functions.text import entropy, jaccard, normalize_exact, normalize_fuzzy, shingles3
+from cinegraph.functions.vector import cosine_raw
 from cinegraph.operators.components import components
-from cinegraph.operators.similarity import fuzzy_pairs, sequence_pairs
+from cinegraph.operators.retrieval import knn
+from cinegraph.operators.similarity import contained_pairs, near_pairs, sequence_pairs
 from cinegraph.plans.shared import drop_scratch, scratch
 
-Judge = Callable[[pd.DataFrame], pd.Series]
+Judge = Callable[[list[dict]], list[dict]]
 MERGE_AT = 0.9
 
 
-def name_groups(names: DataFrame, column: str, threshold: float = MERGE_AT) -> DataFrame:
-    """name, group: distinct names joined by containment or similarity, closed transitively; the least name names it."""
-    own = names.select(normalize_exact(F.col(column)).alias("name")).distinct()
-    keyed = scratch(own.select("name", F.xxhash64("name").alias("k")), "er-names")
-    pairs = fuzzy_pairs(keyed, "name", threshold).join(keyed.select(F.col("name").alias("a"), F.col("k").alias("ka")), "a").join(keyed.select(F.col("name").alias("b"), F.col("k").alias("kb")), "b")
-    found = components(pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    labelled = keyed.join(found.withColumnRenamed("node", "k"), "k", "left").select("name", F.coalesce("component", "k").alias("c"))
-    least = labelled.groupBy("c").agg(F.min("name").alias("group"))
-    return labelled.join(least, "c").select("name", "group")
+BORDERLINE_AT = 0.5
+
+
+def passes_gate(name: F.Column) -> F.Column:
+    """Names long or varied enough to be compared fuzzily: six characters or two words, and an entropy of 1.5 bits."""
+    short = (F.length(name) < 6) & (F.size(F.split(name, " ")) < 2)
+    return ~short & (entropy(name) >= 1.5)
+
+
+def _alike(names: DataFrame, key: str) -> DataFrame:
+    """key, a < b, inside, j: pairs of an item's gated names of at least BORDERLINE_AT, or of which one holds the other without spaces."""
+    s = names.where(passes_gate(F.col("fuzzy"))).select(key, "name", F.regexp_replace("fuzzy", " ", "").alias("flat"), shingles3(F.col("fuzzy")).alias("s"))
+    s = scratch(s, "er-gated")
+    near = near_pairs(s.where(F.size("s") > 0), [key], BORDERLINE_AT).withColumn("inside", F.lit(False))
+    held = contained_pairs(s, [key]).withColumn("inside", F.lit(True)).withColumn("j", F.lit(None).cast("double"))
+    return near.unionByName(held).groupBy(key, "a", "b").agg(F.max("inside").alias("inside"), F.max("j").alias("j"))
+
+
+def merge_mentions(mentions: DataFrame, key: str = "media_id") -> tuple[DataFrame, DataFrame]:
+    """Groups of the names of each item, and its borderline pairs.
+
+    mentions: key, name, type, description, segment_index. Equal normalised names are one; groups join where gated
+    names contain each other or reach MERGE_AT, closed transitively. The first result has the normalised name and its
+    group (the least name in it); the second the pairs of different groups between BORDERLINE_AT and MERGE_AT.
+    """
+    exact = mentions.withColumn("norm", normalize_exact(F.col("name"))).groupBy(key, "norm").agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("rep"))
+    names = scratch(exact.select(key, F.col("norm").alias("name"), normalize_fuzzy(F.col("rep")).alias("fuzzy"), F.monotonically_increasing_id().alias("k")), "er-names")
+    pairs = scratch(_alike(names, key).where(F.col("inside") | (F.col("j") >= BORDERLINE_AT)), "er-pairs")
+    node = lambda n: names.select(key, F.col("name").alias(n), F.col("k").alias(f"k{n}"))
+    ids = pairs.join(node("a"), [key, "a"]).join(node("b"), [key, "b"])
+    found = components(ids.where(F.col("inside") | (F.col("j") >= MERGE_AT)).select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    label = names.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
+    least = label.groupBy("c").agg(F.min("name").alias("group"))
+    groups = scratch(label.join(least, "c").select(key, "name", "group"), "er-groups")
+    side = lambda n: groups.select(key, F.col("name").alias(n), F.col("group").alias(f"g{n}"))
+    edge = pairs.where(~F.col("inside") & (F.col("j") < MERGE_AT)).join(side("a"), [key, "a"]).join(side("b"), [key, "b"])
+    return groups, edge.where("ga <> gb").select(key, "a", "b", "j")
+
+
+def group_rollup(mentions: DataFrame, groups: DataFrame, key: str = "media_id") -> DataFrame:
+    """Each group's longest name, commonest type, surface forms, segments and number of mentions; the least on ties."""
+    m = mentions.withColumn("_norm", normalize_exact(F.col("name"))).join(groups.select(key, F.col("name").alias("_norm"), "group"), [key, "_norm"])
+    types = m.groupBy(key, "group", "type").agg(F.count("*").alias("n")).groupBy(key, "group").agg(F.min_by("type", F.struct(-F.col("n"), "type")).alias("type"))
+    out = m.groupBy(key, "group").agg(
+        F.min_by("name", F.struct(-F.length("name"), "name")).alias("name"),
+        F.array_sort(F.collect_set("name")).alias("surface_forms"),
+        F.array_sort(F.collect_set("segment_index")).alias("sources"),
+        F.array_sort(F.collect_set("description")).alias("descriptions"),
+        F.count("*").alias("mentions"),
+    )
+    return out.join(types, [key, "group"])
+
+
+def map_relations(relations: DataFrame, groups: DataFrame, key: str = "media_id") -> tuple[DataFrame, DataFrame]:
+    """Relations with their ends mapped to groups by any surface form, and the number dropped for each item."""
+    forms = lambda n, g: groups.select(key, F.col("name").alias(n), F.col("group").alias(g))
+    r = relations.withColumn("_s", normalize_exact(F.col("src"))).withColumn("_d", normalize_exact(F.col("dst")))
+    r = r.join(forms("_s", "s"), [key, "_s"], "left").join(forms("_d", "t"), [key, "_d"], "left").drop("_s", "_d")
+    lost = F.col("s").isNull() | F.col("t").isNull()
+    return r.where(~lost), r.where(lost).groupBy(key).agg(F.count("*").alias("dropped"))
+
+
+def cluster_relations(rows: DataFrame, keys: list[str], at: float = 0.8) -> DataFrame:
+    """Greedy clusters of the descriptions of each pair of ends: one joins the first cluster whose first member is as like it.
+
+    rows: keys, pos, description, strength, segment_index. A fold in order, inside the JVM; a pair of ends of an item has few rows.
+    """
+    one = F.array_sort(F.collect_list(F.struct("pos", "description", "strength", "segment_index")))
+    kind = "array<struct<pivot:array<string>,descriptions:array<string>,strength:bigint,n:bigint,sources:array<bigint>>>"
+    sh = lambda x: shingles3(normalize_fuzzy(x))
+
+    def add(acc: F.Column, x: F.Column) -> F.Column:
+        mine = sh(x["description"])
+        fits = F.transform(acc, lambda c: jaccard(c["pivot"], mine) >= at)
+        k = F.array_position(fits, True)
+        new = F.array(F.struct(mine.alias("pivot"), F.array(x["description"]).alias("descriptions"), x["strength"].cast("long").alias("strength"), F.lit(1).cast("long").alias("n"), F.array(x["segment_index"].cast("long")).alias("sources")))
+        grown = F.transform(
+            acc,
+            lambda c, i: F.when(
+                i == k - 1,
+                F.struct(
+                    c["pivot"].alias("pivot"),
+                    F.concat(c["descriptions"], F.array(x["description"])).alias("descriptions"),
+                    F.greatest(c["strength"], x["strength"].cast("long")).alias("strength"),
+                    (c["n"] + 1).alias("n"),
+                    F.array_sort(F.array_union(c["sources"], F.array(x["segment_index"].cast("long")))).alias("sources"),
+                ),
+            ).otherwise(c),
+        )
+        return F.when(k > 0, grown).otherwise(F.concat(acc, new)).cast(kind)
+
+    out = rows.groupBy(*keys).agg(one.alias("_l")).select(*keys, F.explode(F.aggregate("_l", F.array().cast(kind), add)).alias("c"))
+    return out.select(*keys, "c.descriptions", "c.strength", "c.n", "c.sources")
+
+
+def match_forms(groups: DataFrame, graph: DataFrame, key: str, at: float = MERGE_AT) -> DataFrame:
+    """key, target, via: L1 where a surface form equals a graph name or alias, else L2 the graph entity most like any form.
+
+    groups: key, name, forms (array). graph: id, names (array: the name and its aliases). Only gated names go to L2.
+    """
+    form = groups.select(key, "name", F.explode("forms").alias("form"))
+    known = graph.select("id", F.explode("names").alias("form"))
+    norm = lambda df: df.withColumn("form", normalize_exact(F.col("form")))
+    l1 = norm(form).join(norm(known), "form").groupBy(key).agg(F.min("id").alias("target")).withColumn("via", F.lit("graph_l1"))
+    rest = form.join(l1.select(key), key, "left_anti").where(passes_gate(normalize_fuzzy(F.col("name"))))
+    sh = lambda df, own, k: df.select(*own, F.col("form").alias(f"form_{k}"), shingles3(normalize_fuzzy(F.col("form"))).alias("s")).distinct().select(*own, f"form_{k}", F.explode("s").alias("g"), F.size("s").alias(k))
+    both = sh(rest, [key], "ka").join(sh(known, ["id"], "kb"), "g").groupBy(key, "id", "form_ka", "form_kb", "ka", "kb").agg(F.count("*").alias("i"))
+    j = F.col("i") / (F.col("ka") + F.col("kb") - F.col("i"))
+    l2 = both.withColumn("j", j).where(F.col("j") >= at).groupBy(key).agg(F.min_by("id", F.struct(-F.col("j"), "id")).alias("target")).withColumn("via", F.lit("graph_l2"))
+    return l1.unionByName(l2)
+
+
+def cascade(mentions: DataFrame, group: str, judge_one: Callable[[str, list[str]], int] | None = None, at: float = 0.85) -> DataFrame:
+    """The sequential cascade of each tenant: equal name or alias, sequence ratio, candidates by vector and a judge, else new.
+
+    mentions: group, pos, name, vector. One row for each, in order: name, target, via. A name seen before needs no
+    comparison, so the work is in the different names; a tenant's names are its unit of work.
+    """
+    import difflib
+
+    import numpy as np
+
+    decide = judge_one or (lambda name, names: -1)
+
+    def gate(x: str) -> bool:
+        return not (len(x) < 6 and len(x.split()) < 2)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        target: dict[str, str] = {}
+        names: list[str] = []
+        vectors: list[np.ndarray] = []
+        out = []
+        for r in part.sort_values("pos").itertuples(index=False):
+            norm = " ".join(r.name.lower().split())
+            flat = "".join(c for c in norm if c.isalnum())
+            via = "exact" if norm in target else ""
+            if not via and gate(norm):
+                best = max(((difflib.SequenceMatcher(None, flat, "".join(c for c in n if c.isalnum())).ratio(), -i) for i, n in enumerate(names) if gate(n)), default=(0.0, 0))
+                if best[0] >= at:
+                    target[norm], via = names[-best[1]], "similar"
+            if not via and vectors and r.vector is not None:
+                m = np.array(vectors)
+                v = np.asarray(r.vector, float)
+                score = m @ v / np.maximum(np.linalg.norm(m, axis=1) * np.linalg.norm(v), 1e-300)
+                order = [i for i in np.argsort(-score, kind="stable")[:5] if score[i] > 0.5]
+                pick = decide(norm, [names[i] for i in order]) if order else -1
+                if 0 <= pick < len(order):
+                    target[norm], via = names[order[pick]], "judged"
+            if not via:
+                target[norm], via = norm, "create"
+                names.append(norm)
+                vectors.append(np.asarray(r.vector, float) if r.vector is not None else np.zeros(1))
+            out.append((getattr(r, group), r.pos, norm, target[norm], via))
+        return pd.DataFrame(out, columns=[group, "pos", "name", "target", "via"])
+
+    kinds = dict(mentions.dtypes)
+    return mentions.select(group, "pos", "name", "vector").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, pos long, name string, target string, via string")
 
 
 def graph_match(variants: DataFrame, graph: DataFrame, threshold: float = MERGE_AT) -> DataFrame:
@@ -43,24 +193,41 @@ def graph_match(variants: DataFrame, graph: DataFrame, threshold: float = MERGE_
     return exact.unionByName(best.select(F.col("a").alias("name"), "target", F.lit("L2").alias("via")))
 
 
-def default_judge(batch: pd.DataFrame) -> pd.Series:
-    """Index of the candidate to merge with, or -1: the first with a score of MERGE_AT or more."""
-    return batch["scores"].map(lambda s: next((i for i, v in enumerate(s) if v >= MERGE_AT), -1))
+JUDGE_BATCH = 20
+
+
+def default_judge(batch: list[dict]) -> list[dict]:
+    """Answers {"id": place in the batch, "candidate": place among its candidates or -1}: the first with MERGE_AT or more."""
+    return [{"id": i, "candidate": next((k for k, v in enumerate(r["scores"]) if v >= MERGE_AT), -1)} for i, r in enumerate(batch)]
 
 
-def judge(candidates: DataFrame, judge_batch: Judge = default_judge) -> DataFrame:
-    """name, candidates (array), scores (array) -> action, target; a bad or failed answer creates."""
+def judge(candidates: DataFrame, model: Judge = default_judge, key: str = "batch") -> DataFrame:
+    """name, action, target of rows (batch, pos, name, candidates, scores), JUDGE_BATCH rows of a batch key to a call.
 
-    def run(batches):
-        for b in batches:
+    An answer out of range, one that repeats an id, a missing one and a failed call all create.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = part.sort_values("pos").to_dict("records")
+        out = []
+        for at in range(0, len(rows), JUDGE_BATCH):
+            own = rows[at : at + JUDGE_BATCH]
+            picked: dict[int, str] = {}
+            seen: set[int] = set()
             try:
-                pick = judge_batch(b)
+                for item in model(own):
+                    i, k = item.get("id", -1), item.get("candidate", -1)
+                    if not (isinstance(i, int) and 0 <= i < len(own)) or i in seen:
+                        continue
+                    seen.add(i)
+                    if isinstance(k, int) and 0 <= k < len(own[i]["candidates"]):
+                        picked[i] = own[i]["candidates"][k]
             except Exception:  # a model's failure is an answer of its own here: create
-                pick = pd.Series([-1] * len(b), index=b.index)
-            ok = [isinstance(p, int) and 0 <= p < len(x) for p, x in zip(pick.tolist(), b["candidates"], strict=True)]
-            yield pd.DataFrame({"name": b["name"], "action": ["merge" if k else "create" for k in ok], "target": [x[p] if k else None for p, x, k in zip(pick.tolist(), b["candidates"], ok, strict=True)]})
+                picked = {}
+            out += [(r["name"], "merge" if i in picked else "create", picked.get(i)) for i, r in enumerate(own)]
+        return pd.DataFrame(out, columns=["name", "action", "target"])
 
-    return candidates.select("name", "candidates", "scores").mapInPandas(run, "name string, action string, target string")
+    return candidates.select(key, "pos", "name", "candidates", "scores").groupBy(key).applyInPandas(run, "name string, action string, target string")
 
 
 def close_chains(pointers: DataFrame, rounds: int = 20) -> DataFrame:
@@ -80,29 +247,77 @@ def close_chains(pointers: DataFrame, rounds: int = 20) -> DataFrame:
     return to.join(ends, "target", "left").select("id", F.when(F.col("_end"), F.col("target")).otherwise(F.col("id")).alias("target"))
 
 
-def description_gate(rows: DataFrame, key: str, order: str, text: str, limit: int = 800, shrink: int = 400) -> DataFrame:
-    """Appends each description that the text so far does not contain; a long result is cut by the summariser."""
+KNOWN_AT, LONG, SHORT_TO = 0.88, 800, 400
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out = ""
-        for x in part.sort_values(order)[text]:
-            if x and x not in out:
-                out = f"{out}\n{x}" if out else x
-        return pd.DataFrame({key: [part[key].iloc[0]], "description": [out if len(out) <= limit else out[:shrink]]})
 
-    return rows.select(key, order, text).groupBy(key).applyInPandas(fold, f"{key} {dict(rows.dtypes)[key]}, description string")
+def description_gate(rows: DataFrame, key: str, order: str, text: str, vector: str, stored: str, limit: int = LONG, shrink: int = SHORT_TO, shorten: Callable[[str], str] | None = None) -> DataFrame:
+    """key, description, changed: each new text is appended unless the text so far holds it or its vector is like the stored one.
 
+    rows: key, order, text, vector, stored (the vector of the description so far). A result over `limit` is shortened,
+    which counts only if it gets shorter. Later rows see earlier appends, so it is a fold of each key's few rows.
+    """
+    import numpy as np
+
+    cut = shorten or (lambda x: x[:shrink])
+
+    def like(a, b) -> bool:
+        if a is None or b is None:
+            return False
+        a, b = np.asarray(a, float), np.asarray(b, float)
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return bool(n) and float(a @ b) / n >= KNOWN_AT
 
-def similarity(a: str, b: str) -> F.Column:
-    return jaccard(shingles3(F.col(a)), shingles3(F.col(b)))
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        out, added = "", 0
+        for r in part.sort_values(order).to_dict("records"):
+            if r[text] and r[text] not in out and not like(r[vector], r[stored]):
+                out, added = f"{out}\n{r[text]}" if out else r[text], added + 1
+        if len(out) > limit:
+            short = cut(out)
+            out = short if len(short) < len(out) else out
+        return pd.DataFrame({key: [part[key].iloc[0]], "description": [out], "added": [added]})
+
+    return rows.select(key, order, text, vector, stored).groupBy(key).applyInPandas(fold, f"{key} {dict(rows.dtypes)[key]}, description string, added int")
 
 
-def variants(names: DataFrame, column: str) -> DataFrame:
-    """a < b, ratio of all pairs with a sequence ratio of 0.8 or more and two or more differing characters.
+def variants(names: DataFrame, column: str, at: float = 0.93) -> DataFrame:
+    """a < b, ratio of all pairs with a sequence ratio of `at` (0.8 at least) and two or more differing characters.
 
     Names of one length differ in the places that are unequal, others by their lengths.
     """
     p = sequence_pairs(names, column)
     unequal = F.size(F.expr("filter(zip_with(split(a, ''), split(b, ''), (x, y) -> x <> y), x -> x)"))
     apart = F.when(F.length("a") == F.length("b"), unequal).otherwise(F.abs(F.length("a") - F.length("b")))
-    return p.where(apart >= 2).select("a", "b", F.round(sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio")).where("ratio >= 0.8")
+    return p.where(apart >= 2).select("a", "b", F.round(sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio")).where(F.col("ratio") >= at)
+
+
+def candidates(names: DataFrame, graph: DataFrame, key: str, k: int = 5, graph_at: float = 0.5, item_at: float = 0.5, borderline_at: float = BORDERLINE_AT) -> DataFrame:
+    """key, name, candidate, origin: a name's k nearest in the graph, its item's names that are near by vector, and borderline ones.
+
+    names: key, name, vector (distinct); graph: name, vector. Different names go to the graph once, in blocks.
+    """
+    asked = scratch(names.select("name", "vector").dropDuplicates(["name"]).withColumn("id", F.monotonically_increasing_id()), "er-asked")
+    base = scratch(graph.select("name", "vector").orderBy("name").withColumn("id", F.monotonically_increasing_id()), "er-graph")
+    # a name is no candidate of itself: ids differ between the tables, so one more is asked for and the equal name left out
+    near = knn(asked.select(F.col("id").alias("id"), "vector"), base.select((F.col("id") + (1 << 60)).alias("id"), "vector"), "id", "vector", k + 1)
+    near = near.join(asked.select(F.col("id").alias("q"), "name"), "q").join(base.select((F.col("id") + (1 << 60)).alias("id"), F.col("name").alias("candidate")), "id")
+    near = near.where((F.col("name") != F.col("candidate")) & ((1 + F.col("score")) / 2 >= graph_at))
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "candidate")
+    near = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("name", "candidate")
+    first = names.select(key, "name").join(near, "name").select(key, "name", "candidate", F.lit("graph").alias("origin"))
+    side = names.select(key, F.col("name").alias("candidate"), F.col("vector").alias("_v"))
+    both = names.join(side, key).where("name <> candidate").withColumn("raw", cosine_raw(F.col("vector"), F.col("_v")))
+    j = jaccard(shingles3(F.col("name")), shingles3(F.col("candidate")))
+    own = both.withColumn("j", j).select(key, "name", "candidate", F.when(F.col("raw") >= item_at, "video").when((F.col("j") >= borderline_at) & (F.col("j") < MERGE_AT), "borderline").alias("origin")).where("origin is not null")
+    return first.unionByName(own)
+
+
+def phantoms(created: DataFrame, now: DataFrame, at: float = MERGE_AT) -> DataFrame:
+    """group_id, name, action, target, via of entities about to be created, against those that exist by now (group_id, id, vector)."""
+    by_id = created.join(now.select("id"), "id", "left_semi").select("group_id", "name", F.col("id").alias("target"), F.lit("id").alias("via"))
+    rest = created.join(now.select("id"), "id", "left_anti")
+    delta = now.select("group_id", F.col("id").alias("target"), F.col("vector").alias("_v"))  # what came since the snapshot
+    near = rest.join(delta, "group_id").where(cosine_raw(F.col("vector"), F.col("_v")) >= at).groupBy("group_id", "name").agg(F.min("target").alias("target")).withColumn("via", F.lit("vector"))
+    found = by_id.unionByName(near)
+    out = created.select("group_id", "name").join(found, ["group_id", "name"], "left")
+    return out.select("group_id", "name", F.when(F.col("target").isNull(), "create").otherwise("merge").alias("action"), "target", "via")

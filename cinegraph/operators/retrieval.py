@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,42 +35,55 @@ def top(df: DataFrame, k: int, score: str, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(score), *ties).limit(k)
 
 
+#: Bytes of query vectors that one pass over the base takes.
+PASS_BYTES = 64 << 20
+
+
 def knn(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, threshold: float = -1.0) -> DataFrame:
-    """q, key, score: the k nearest of base (raw cosine, not itself) for each query.
+    """q, key, score: the k nearest of base (raw cosine, not itself) for each query; ties by key.
 
-    Queries go in blocks of BLOCK to all rows of base; each batch hands on its own k best, so what is shuffled is
-    bounded by queries, k and batches. The number of blocks follows the checked number of queries.
+    A pass over base takes all queries up to PASS_BYTES, which go to the workers by broadcast; more queries are dealt
+    to several passes by a hash. Each batch hands on its own k best, so what is shuffled is bounded by queries, k
+    and batches.
     """
-    rows = queries.select(key, vector).where(F.col(vector).isNotNull()).orderBy(key)
+    rows = queries.select(key, vector).where(F.col(vector).isNotNull())
+    n, size = rows.agg(F.count("*"), F.max(F.size(vector))).first()
+    passes = -(-n * (size or 0) * 8 // PASS_BYTES)
     out = None
-    blocks = -(-rows.count() // BLOCK)
-    for at in range(blocks):
-        own = rows.offset(at * BLOCK).limit(BLOCK).collect()
-        ids = np.array([r[0] for r in own])
-        m = np.array([r[1] for r in own], np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, m: np.ndarray = m) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                other = b.column(0).to_numpy()
-                v = np.array(b.column(1).to_pylist(), np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = m @ v.T
+    for i in range(passes):
+        part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(passes)) == i)
+        found = base.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(_nearest(part, key, k, threshold), f"q long, {key} long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return queries.select(F.col(key).alias("q"), key, F.lit(0.0).alias("score")).limit(0)
+    w = Window.partitionBy("q").orderBy(F.desc("score"), key)
+    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def _nearest(queries: DataFrame, key: str, k: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    own = sorted((r[0], r[1]) for r in queries.collect())
+    m = np.array([v for _, v in own], np.float64)
+    sent = queries.sparkSession.sparkContext.broadcast((np.array([i for i, _ in own]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ids, all_m = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            other = b.column(0).to_numpy()
+            v = np.array(b.column(1).to_pylist(), np.float64)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            for at in range(0, len(all_ids), BLOCK):
+                ids = all_ids[at : at + BLOCK]
+                s = np.round(all_m[at : at + BLOCK] @ v.T, 12)
                 s[ids[:, None] == other[None, :]] = -2
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 q = np.repeat(ids, best.shape[1])
                 score = np.take_along_axis(s, best, axis=1).ravel()
-                ok = score >= threshold
+                ok = (score >= threshold) & (score > -2)
                 yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(other[best.ravel()][ok]), pa.array(score[ok])], names=["q", key, "score"])
 
-        part = base.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"q long, {key} long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.select(F.col(key).alias("q"), key, F.lit(0.0).alias("score")).limit(0)
-    w = Window.partitionBy("q").orderBy(F.desc("score"), key)
-    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return run
 
 
 def rrf(lists: list[DataFrame], key: str, by: list[str] | None = None) -> DataFrame:
@@ -88,10 +101,13 @@ def ranked(df: DataFrame, order: list, by: list[str] | None = None) -> DataFrame
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)) - 1)
 
 
-def evaluate(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    """q, hit, rank (from 1), precision, recall, f1 and pollution of each question's first k results."""
-    rows = results.where(F.col("rank") < k).join(truth.withColumn("rel", F.lit(1)), ["q", "item"], "left").groupBy("q").agg(F.count("*").alias("n"), F.sum(F.coalesce("rel", F.lit(0))).alias("good"), F.min(F.when(F.col("rel") == 1, F.col("rank") + 1)).alias("rank"))
-    all_ = truth.groupBy("q").agg(F.count("*").alias("expected")).join(rows, "q", "left")
+def evaluate(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
+    """q, hit, rank (from 1), precision, recall, f1 and pollution of each question's first k results.
+
+    results: q, rank (from 0), rel (whether it is expected); expected: q, expected (how many are).
+    """
+    rows = results.where(F.col("rank") < k).groupBy("q").agg(F.count("*").alias("n"), F.count_if("rel").alias("good"), F.min(F.when(F.col("rel"), F.col("rank") + 1)).alias("rank"))
+    all_ = expected.join(rows, "q", "left")
     p, r = F.coalesce(F.col("good") / F.col("n"), F.lit(0.0)), F.coalesce(F.col("good") / F.col("expected"), F.lit(0.0))
     f1 = F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
     return all_.select("q", F.col("rank").isNotNull().alias("hit"), "rank", p.alias("precision"), r.alias("recall"), f1.alias("f1"), (1 - p).alias("pollution"))

@@ -10,27 +10,25 @@ from pyspark.sql import functions as F
 
 
 def entity_groups(mentions: DataFrame) -> DataFrame:
-    """For each group and name: commonest type (the least on ties), descriptions, media and mentions."""
-    by_type = mentions.groupBy("group_id", "name", "type").agg(F.count("*").alias("k"), F.collect_set("description").alias("d"), F.collect_set("media_id").alias("m"))
-    # one shuffle more, over rows that are counted already
-    out = by_type.groupBy("group_id", "name").agg(F.min_by("type", F.struct(-F.col("k"), "type")).alias("type"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))).alias("d"), F.size(F.array_distinct(F.flatten(F.collect_list("m")))).cast("long").alias("media"), F.sum("k").alias("mention_count"))
-    return out.select("group_id", "name", "type", F.array_join("d", "|").alias("descriptions"), "media", "mention_count")
+    """For each group and name: commonest type (the least on ties), descriptions, number of media and mentions.
 
+    Media are counted over distinct rows, not gathered: an entity may be in very many.
+    """
+    by_type = mentions.groupBy("group_id", "name", "type").agg(F.count("*").alias("k"), F.collect_set("description").alias("d"))
+    # one shuffle more, over rows that are counted already
+    out = by_type.groupBy("group_id", "name").agg(F.min_by("type", F.struct(-F.col("k"), "type")).alias("type"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))).alias("d"), F.sum("k").alias("mention_count"))
+    media = mentions.select("group_id", "name", "media_id").distinct().groupBy("group_id", "name").agg(F.count("*").alias("media"))
+    return out.join(media, ["group_id", "name"]).select("group_id", "name", "type", F.array_join("d", "|").alias("descriptions"), "media", "mention_count")
 
-def relation_clusters(rows: DataFrame, threshold: float, sequence: bool = False) -> DataFrame:
-    """Greedy clusters of each (src, dst): a description joins the first cluster whose first member is as like it."""
 
-    def like(a: str, b: str) -> float:
-        if sequence:
-            return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
-        return 1.0 if a == b else 0.0
+def relation_clusters(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Greedy clusters of each (src, dst): a description joins the first cluster whose first member has that sequence ratio to it."""
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
         out: list[list] = []
-        for r in part.itertuples():
+        for r in part.sort_values("pos").itertuples():
             for k in out:
-                if like(k[2], r.description) >= threshold:
+                if difflib.SequenceMatcher(None, k[2].lower(), r.description.lower()).ratio() >= threshold:
                     k[3] = max(k[3], r.strength)
                     k[4] += 1
                     break

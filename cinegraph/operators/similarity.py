@@ -8,14 +8,41 @@ from pyspark.sql import functions as F
 from cinegraph.functions.text import shingles3
 
 
+def _by_rarity(rows: DataFrame, by: list[str], s: str) -> DataFrame:
+    """A row for each element g of the set s, with its place r (from 1) and the size _k among the set's elements, the rarest first."""
+    e = rows.withColumn("_k", F.size(s)).withColumn("g", F.explode(s))
+    e = e.join(e.groupBy(*by, "g").agg(F.count("*").alias("_n")), [*by, "g"])
+    return e.withColumn("r", F.row_number().over(Window.partitionBy(*by, "name").orderBy("_n", "g"))).drop("_n")
+
+
+def near_pairs(rows: DataFrame, by: list[str], at: float) -> DataFrame:
+    """by, a < b, j: pairs of the rows of one `by` (name, s: a set) with a Jaccard similarity of `at` or more.
+
+    Two such sets share one of the rarest k - ceil(at k) + 1 elements of either, so only those are joined.
+    """
+    e = _by_rarity(rows.select(*by, "name", "s"), by, "s").where(F.col("r") <= F.col("_k") - F.ceil(F.col("_k") * at - 1e-9) + 1)
+    side = lambda n: e.select(*by, "g", *(F.col(c).alias(f"{c}_{n}") for c in ("name", "s", "_k")))
+    fits = (F.col("name_a") < F.col("name_b")) & (F.least("_k_a", "_k_b") >= at * F.greatest("_k_a", "_k_b"))
+    both = side("a").join(side("b"), [*by, "g"]).where(fits).select(*by, F.col("name_a").alias("a"), F.col("name_b").alias("b"), "s_a", "s_b").dropDuplicates([*by, "a", "b"])
+    j = F.size(F.array_intersect("s_a", "s_b")) / F.size(F.array_union("s_a", "s_b"))
+    return both.select(*by, "a", "b", j.alias("j")).where(F.col("j") >= at)
+
+
+def contained_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, a < b: pairs of the rows of one `by` (name, flat) where one text holds the other.
+
+    The holder has all three-character windows of the held, so the held text's rarest window finds it.
+    """
+    e = _by_rarity(rows.where(F.length("flat") >= 3).select(*by, "name", "flat", shingles3(F.col("flat")).alias("s")), by, "s")
+    inner = e.where("r = 1").select(*by, "g", F.col("name").alias("x"), F.col("flat").alias("_in"))
+    both = e.select(*by, "g", F.col("name").alias("y"), F.col("flat").alias("_out")).join(inner, [*by, "g"])
+    return both.where((F.col("x") != F.col("y")) & F.contains("_out", F.col("_in"))).select(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def shingle_pairs(names: DataFrame, column: str, threshold: float) -> DataFrame:
-    """a < b, jaccard of all pairs of distinct names that share a shingle and reach the threshold."""
-    s = names.select(F.col(column).alias("name"), shingles3(F.col(column)).alias("s"))
-    e = s.select("name", F.explode("s").alias("g"), F.size("s").alias("k"))
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.name") < F.col("b.name")))
-    pairs = pairs.groupBy(F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(F.count("*").alias("inter"), F.first("a.k").alias("ka"), F.first("b.k").alias("kb"))
-    return pairs.withColumn("jaccard", F.col("inter") / (F.col("ka") + F.col("kb") - F.col("inter"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    """a < b, jaccard of all pairs of distinct names that reach the threshold (above 0)."""
+    s = names.select(F.lit(0).alias("_all"), F.col(column).alias("name"), shingles3(F.col(column)).alias("s")).where(F.size("s") > 0)
+    return near_pairs(s, ["_all"], threshold).select("a", "b", F.col("j").alias("jaccard"))
 
 
 def set_sizes(rows: DataFrame, queries: DataFrame, row: str, query: str) -> DataFrame:
@@ -31,10 +58,9 @@ def set_sizes(rows: DataFrame, queries: DataFrame, row: str, query: str) -> Data
 
 
 def fuzzy_pairs(names: DataFrame, column: str, threshold: float) -> DataFrame:
-    """Pairs above the threshold, or one containing the other; the container holds all shingles of the contained."""
-    found = shingle_pairs(names, column, 0.0)
-    inside = F.contains("a", F.col("b")) | F.contains("b", F.col("a"))
-    return found.where((F.col("jaccard") >= threshold) | inside).select("a", "b")
+    """Pairs above the threshold, or one containing the other (names of three characters or more)."""
+    flat = names.select(F.lit(0).alias("_all"), F.col(column).alias("name"), F.col(column).alias("flat"))
+    return shingle_pairs(names, column, threshold).select("a", "b").union(contained_pairs(flat, ["_all"]).select("a", "b")).distinct()
 
 
 def sequence_pairs(names: DataFrame, column: str) -> DataFrame:

@@ -29,3 +29,17 @@ def latest(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame
     """The last n rows of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def delete_media(relations: DataFrame, mentions: DataFrame, members: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Relations, entities and communities that are left without the media in `gone`, with their counts.
+
+    relations: group_id, src, dst, sources (segment ids); mentions: group_id, name, media_id, segment_index (distinct);
+    members: group_id, name, community. Source lists are taken apart, so they meet the deleted media in an equi-join.
+    """
+    own = relations.select("group_id", "src", "dst", F.explode("sources").alias("_sid"))
+    own = own.withColumn("media_id", F.regexp_extract("_sid", r"^media_(\d+)_segment_", 1).cast("long")).join(gone, "media_id", "left_anti")
+    rel = own.groupBy("group_id", "src", "dst").agg(F.count("*").alias("source_count"))
+    ent = mentions.join(gone, "media_id", "left_anti").groupBy("group_id", "name").agg(F.count("*").alias("source_count"))
+    com = members.join(ent, ["group_id", "name"], "left_semi").groupBy("group_id", "community").agg(F.count("*").alias("entity_count"))
+    return rel, ent, com

@@ -53,7 +53,7 @@ def structure_bounds(spark: SparkSession, d: str) -> DataFrame:
     return s.select("conv_id", F.array_join("miss", ", ").alias("missing"), ((F.size("miss") == 0) & (c("n") > 0)).alias("passed"))
 
 
-@query("""WITH q AS (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id), w AS (SELECT conv_id, unnest(regexp_split_to_array(lower(q), '[\s,.;:!?|]+')) AS w, generate_subscripts(regexp_split_to_array(lower(q), '[\s,.;:!?|]+'), 1) AS i FROM q), f AS (SELECT conv_id, w, min(i) AS i FROM w WHERE length(w) >= 2 GROUP BY conv_id, w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY min(i)) <= 8),
+@query(r"""WITH q AS (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id), w AS (SELECT conv_id, unnest(regexp_split_to_array(lower(q), '[\s,.;:!?|]+')) AS w, generate_subscripts(regexp_split_to_array(lower(q), '[\s,.;:!?|]+'), 1) AS i FROM q), f AS (SELECT conv_id, w, min(i) AS i FROM w WHERE length(w) >= 2 GROUP BY conv_id, w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY min(i)) <= 8),
 a AS (SELECT conv_id, string_agg(lower(text), chr(10) ORDER BY turn) AS answer, count(*) AS n, count(*) FILTER (length(trim(text)) > 20) AS good FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 k AS (SELECT f.conv_id, avg(contains(coalesce(a.answer, ''), f.w)::INT) AS coverage FROM f LEFT JOIN a USING (conv_id) GROUP BY f.conv_id)
 SELECT conv_id, round(coverage, 6) AS coverage, coalesce(n, 0) > 0 AND good / n >= 0.8 AND coverage >= 0.8 AS passed FROM k LEFT JOIN a USING (conv_id)""")

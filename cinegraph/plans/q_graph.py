@@ -23,26 +23,6 @@ def load_graph(spark: SparkSession, d: str) -> DataFrame:
     return entity(spark, d).select("id").join(m, "id", "left").select("id", F.coalesce("segments", F.lit(0)).alias("segments"))
 
 
-_CC = "WITH RECURSIVE e AS (SELECT o_custkey AS a, 1000000 + l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND l_quantity > 48), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n WHERE r.m < u.b) SELECT n AS node, min(m) AS component FROM r GROUP BY n"
-
-
-@query(_CC)
-def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    lines = t(spark, d, "lineitem").where("l_quantity > 48").select("l_orderkey", (c("l_suppkey") + 1000000).alias("b"))
-    orders = t(spark, d, "orders").where("o_orderstatus = 'P'").select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("a"))
-    return components(orders.join(lines, "l_orderkey"))
-
-
-_LINK = "l AS (SELECT src AS x, dst AS y FROM relation WHERE group_id = 'user_1' AND strength >= 10 AND n <= {0} UNION SELECT dst, src FROM relation WHERE group_id = 'user_1' AND strength >= 10 AND n <= {0}), o AS (SELECT min(x) AS name FROM l)"
-
-
-@query("[relation] WITH RECURSIVE " + _LINK.format(3) + ", r(name, k) AS (SELECT name, 0 FROM o UNION SELECT l.y, k + 1 FROM r JOIN l ON l.x = r.name WHERE k < 2) SELECT name, min(k) AS distance FROM r GROUP BY name HAVING min(k) > 0")
-def bfs_k_hop(spark: SparkSession, d: str) -> DataFrame:
-    e = relation(spark, d).where("group_id = 'user_1' and strength >= 10 and n <= 3")
-    origin = C.both_ways(e.select("src", "dst")).agg(F.min("x").alias("name"))
-    return k_hop(e, origin, 2)
-
-
 @query("[relation] WITH u AS (SELECT group_id, src AS name, dst AS other, 'out' AS direction, strength, n FROM relation UNION ALL SELECT group_id, dst, src, 'in', strength, n FROM relation) SELECT group_id, name, other, direction, strength FROM u QUALIFY row_number() OVER (PARTITION BY group_id, name ORDER BY strength DESC, n DESC, other, direction) <= 3")
 def one_hop_expand(spark: SparkSession, d: str) -> DataFrame:
     e = relation(spark, d)
@@ -52,161 +32,34 @@ def one_hop_expand(spark: SparkSession, d: str) -> DataFrame:
     return S.latest(out.unionByName(back), ["group_id", "name"], [F.desc("strength"), F.desc("n"), "other", "direction"], 3).drop("n")
 
 
-@query("[relation] SELECT DISTINCT dst AS other FROM relation WHERE group_id = 'user_1' AND src = (SELECT min(src) FROM relation WHERE group_id = 'user_1') UNION SELECT src FROM relation WHERE group_id = 'user_1' AND dst = (SELECT min(src) FROM relation WHERE group_id = 'user_1')")
-def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    e = relation(spark, d).where("group_id = 'user_1'")
-    return one_hop(e, e.agg(F.min("src").alias("name"))).select("other").distinct()
-
-
 @query()
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return C.label_propagation(relation(spark, d))
 
 
-@query()
-def leiden_hierarchical(spark: SparkSession, d: str) -> DataFrame:
-    """Modularity communities of each group, and again inside those of more than ten members."""
-    r = relation(spark, d)
-    top = C.modularity_moves(r)
-    big = top.groupBy("group_id", "community").agg(F.count("*").alias("k")).where("k > 10").select("group_id", "community")
-    inner = top.join(big, ["group_id", "community"], "left_semi")
-    side = lambda n: inner.select("group_id", c("name").alias(n), c("community").alias(f"_{n}"))
-    sub = r.join(side("src"), ["group_id", "src"]).join(side("dst"), ["group_id", "dst"]).where("_src = _dst")
-    sub = sub.select(F.concat_ws("/", "group_id", "_src").alias("group_id"), "src", "dst", "n")
-    low = C.modularity_moves(sub, gamma=1.5)
-    return top.withColumn("level", F.lit(0)).unionByName(low.withColumn("level", F.lit(1)))
-
-
-@query("SELECT p_brand AS community, CASE WHEN count(*) = 1 THEN min(p_name) || ' stands alone' ELSE left(string_agg(DISTINCT p_name, ', ' ORDER BY p_name), 120) END AS summary FROM part GROUP BY p_brand")
-def community_summary_rule(spark: SparkSession, d: str) -> DataFrame:
-    g = t(spark, d, "part").groupBy(c("p_brand").alias("community")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("p_name")).alias("s"))
-    return g.select("community", F.when(c("n") == 1, F.concat(F.element_at("s", 1), F.lit(" stands alone"))).otherwise(F.left(F.array_join("s", ", "), F.lit(120))).alias("summary"))
-
-
-@query("[relation mention] WITH e AS (SELECT DISTINCT group_id, name FROM mention), v AS (SELECT r.group_id, x.name AS name, y.name AS other FROM relation r, LATERAL (SELECT r.src AS name UNION ALL SELECT r.dst) x, LATERAL (SELECT r.src AS name UNION ALL SELECT r.dst) y WHERE x.name <> y.name), n AS (SELECT group_id, name, ascii(other) % 5 AS community, count(*) AS k FROM v WHERE ascii(other) % 2 = 0 GROUP BY ALL HAVING count(*) >= 2), b AS (SELECT group_id, name, arg_max(community, (k, -community)) AS community FROM n GROUP BY ALL) SELECT e.group_id, e.name, CASE WHEN ascii(e.name) % 2 = 0 THEN ascii(e.name) % 5 ELSE coalesce(b.community, -1) END AS community FROM e LEFT JOIN b ON b.group_id = e.group_id AND b.name = e.name")
-def assign_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Assigned entities keep theirs, others take their neighbours' vote, the rest stand alone (-1)."""
-    e = mention(spark, d).select("group_id", "name").distinct()
-    given = e.where(F.ascii("name") % 2 == 0).withColumn("community", F.ascii("name") % 5)
-    rest = e.join(given, ["group_id", "name"], "left_anti")
-    votes = C.neighbour_votes(relation(spark, d), given).select("group_id", "name", "community")
-    return given.unionByName(rest.join(votes, ["group_id", "name"], "left").withColumn("community", F.coalesce("community", F.lit(-1))))
-
-
-@query("SELECT label AS community, count(*) + 2 AS entity_count FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label")
-def join_community(spark: SparkSession, d: str) -> DataFrame:
-    old = t(spark, d, "embeddings").where("vec_id % 2 = 0").groupBy(c("label").alias("community")).agg(F.count("*").alias("entity_count"))
-    joins = old.select("community").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(2)))).groupBy("community").agg(F.count("*").alias("more"))
-    return old.join(joins, "community", "left").select("community", (c("entity_count") + F.coalesce("more", F.lit(0))).alias("entity_count"))
-
-
 @query("[entity] SELECT 'community_' || left(md5(id), 10) AS id, 0 AS level, 1 AS entity_count, name || ' (' || type || ')' AS summary FROM entity WHERE source_count <= 1")
 def create_singletons(spark: SparkSession, d: str) -> DataFrame:
     return entity(spark, d).where("source_count <= 1").select(F.concat(F.lit("community_"), F.left(F.md5("id"), F.lit(10))).alias("id"), F.lit(0).alias("level"), F.lit(1).alias("entity_count"), F.concat("name", F.lit(" ("), "type", F.lit(")")).alias("summary"))
 
 
-@query("[entity] SELECT group_id, round(avg((source_count <= 1)::INT), 6) AS ratio, avg((source_count <= 1)::INT) >= 0.5 AS rebuild FROM entity GROUP BY group_id")
-def rebuild(spark: SparkSession, d: str) -> DataFrame:
-    r = F.avg((c("source_count") <= 1).cast("int"))
-    return entity(spark, d).groupBy("group_id").agg(F.round(r, 6).alias("ratio"), (r >= 0.5).alias("rebuild"))
-
-
-@query("[entity relation] SELECT e.id, e.source_count, count(r.src) AS degree FROM entity e LEFT JOIN (SELECT group_id, src FROM relation UNION ALL SELECT group_id, dst FROM relation) r ON r.group_id = e.group_id AND r.src = e.name GROUP BY e.id, e.source_count")
-def graph_view(spark: SparkSession, d: str) -> DataFrame:
-    r = relation(spark, d)
-    n = r.select("group_id", c("src").alias("name")).unionAll(r.select("group_id", c("dst").alias("name"))).groupBy("group_id", "name").agg(F.count("*").alias("degree"))
-    return entity(spark, d).join(n, ["group_id", "name"], "left").select("id", "source_count", F.coalesce("degree", F.lit(0)).alias("degree"))
-
-
-@query(f"""WITH RECURSIVE n AS (SELECT DISTINCT lower(p_name) AS name FROM part), s AS (SELECT name, {_SH.format('name')} AS s FROM n), g AS (SELECT name, unnest(s) AS g, len(s) AS k FROM s),
-p AS (SELECT a.name AS a, b.name AS b FROM g a JOIN g b ON a.g = b.g AND a.name < b.name GROUP BY a.name, b.name HAVING count(*) / (any_value(a.k) + any_value(b.k) - count(*)) >= 0.4 OR contains(a.name, b.name) OR contains(b.name, a.name)),
-u AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT name, name FROM n), r(x, y) AS (SELECT a, b FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y) SELECT x AS name, min(y) AS "group" FROM r GROUP BY x""")
-def intra_media_merge(spark: SparkSession, d: str) -> DataFrame:
-    return R.name_groups(t(spark, d, "part"), "p_name", 0.4)
-
-
-@query("[relation] SELECT group_id, left(src, 4) AS s, left(dst, 4) AS t, sum(n)::BIGINT AS n, max(strength) AS strength FROM relation WHERE left(src, 4) <> left(dst, 4) GROUP BY ALL")
-def relation_premerge(spark: SparkSession, d: str) -> DataFrame:
-    s, o = F.left("src", F.lit(4)), F.left("dst", F.lit(4))
-    return relation(spark, d).where(s != o).groupBy("group_id", s.alias("s"), o.alias("t")).agg(F.sum("n").alias("n"), F.max("strength").alias("strength"))
-
-
-@query("WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size <= 25), g AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size > 25) SELECT name, name AS target, 'L1' AS via FROM n JOIN g USING (name)")
-def graph_l1_l2(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "part")
-    side = lambda w: p.where(w).select(c("p_name").alias("name")).distinct()
-    return R.graph_match(side("p_size <= 25"), side("p_size > 25")).where("via = 'L1'")
-
-
 @query(f"WITH n AS (SELECT DISTINCT p_name || 's' AS name FROM part), g AS (SELECT DISTINCT p_name AS name FROM part), a AS (SELECT name, unnest({_SH.format('name')}) AS s, len({_SH.format('name')}) AS k FROM n), b AS (SELECT name, unnest({_SH.format('name')}) AS s, len({_SH.format('name')}) AS k FROM g), j AS (SELECT a.name, b.name AS target, count(*) / (any_value(a.k) + any_value(b.k) - count(*)) AS j FROM a JOIN b USING (s) GROUP BY a.name, b.name HAVING j >= 0.6) SELECT name, target, 'L2' AS via FROM j QUALIFY row_number() OVER (PARTITION BY name ORDER BY j DESC, target) = 1")
 def graph_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     names = t(spark, d, "part").select(c("p_name").alias("name")).distinct()
     return R.graph_match(names.select(F.concat("name", F.lit("s")).alias("name")), names, 0.6)
 
 
-@query()
-def cascade_disambiguate(spark: SparkSession, d: str) -> DataFrame:
-    """Exact, then similar, then judged candidates, then new; what one level decides leaves the next."""
-    p = t(spark, d, "part")
-    side = lambda w, x: p.where(w).select(x.alias("name")).distinct()
-    variants = side("p_size <= 10", c("p_name")).union(side("p_size between 11 and 20", F.concat("p_name", F.lit("s")))).distinct()
-    known = side("p_size > 20", c("p_name"))
-    matched = R.graph_match(variants, known, 0.8)
-    rest = variants.join(matched.select("name"), "name", "left_anti")
-    return matched.unionByName(rest.select("name", F.lit(None).cast("string").alias("target"), F.lit("create").alias("via")))
-
-
-_CAND = f"SELECT a.vec_id AS q, b.vec_id AS candidate FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 5"
-
-
-@query(_CAND)
-def candidate_build(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "embeddings")
-    return T.knn(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5, 0.5).select("q", c("vec_id").alias("candidate"))
-
-
-@query("SELECT p_name AS name, CASE WHEN min(p_size) <= 3 THEN 'merge' ELSE 'create' END AS action, CASE WHEN min(p_size) <= 3 THEN min(p_brand) END AS target FROM part GROUP BY p_name")
-def judge_batch(spark: SparkSession, d: str) -> DataFrame:
-    g = t(spark, d, "part").groupBy(c("p_name").alias("name")).agg(F.array(F.min("p_brand")).alias("candidates"), F.array(F.when(F.min("p_size") <= 3, 0.95).otherwise(0.5)).alias("scores"))
-    return R.judge(g)
-
-
 @query("WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey - 1 END AS target FROM part), r(id, e, k) AS (SELECT id, id, 0 FROM p UNION ALL SELECT r.id, p.target, k + 1 FROM r JOIN p ON p.id = r.e WHERE p.target IS NOT NULL) SELECT id, arg_max(e, k) AS target FROM r GROUP BY id")
 def close_chains(spark: SparkSession, d: str) -> DataFrame:
     p = t(spark, d, "part").select(c("p_partkey").alias("id"), F.when(c("p_partkey") % 5 != 0, c("p_partkey") - 1).alias("target"))
     return R.close_chains(p)
 
 
-@query("SELECT n.name, CASE WHEN o.name IS NULL THEN 'create' ELSE 'merge' END AS action FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_size > 30) n LEFT JOIN (SELECT DISTINCT p_name AS name FROM part WHERE p_size < 5) o USING (name)")
-def phantom_check(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "part")
-    now = p.where("p_size < 5").select(c("p_name").alias("name")).distinct().withColumn("known", F.lit(True))
-    return p.where("p_size > 30").select(c("p_name").alias("name")).distinct().join(now, "name", "left").select("name", F.when(c("known"), "merge").otherwise("create").alias("action"))
-
-
-@query("SELECT p_name AS name, CASE WHEN min(p_size) < 5 THEN min(p_brand) ELSE string_agg(DISTINCT p_brand, chr(10) ORDER BY p_brand) END AS description FROM part GROUP BY p_name")
-def entity_payload(spark: SparkSession, d: str) -> DataFrame:
-    g = t(spark, d, "part").groupBy(c("p_name").alias("name")).agg(F.min("p_size").alias("s"), F.array_sort(F.collect_set("p_brand")).alias("b"))
-    return g.select("name", F.when(c("s") < 5, F.element_at("b", 1)).otherwise(F.array_join("b", "\n")).alias("description"))
-
-
-@query()
-def description_gate(spark: SparkSession, d: str) -> DataFrame:
-    return R.description_gate(t(spark, d, "part").select("p_brand", "p_partkey", "p_name"), "p_brand", "p_partkey", "p_name")
-
-
 @query("SELECT p_brand AS src, p_type AS dst, min_by(p_name, (-length(p_name), p_partkey)) AS description, 'rel_' || p_brand || '_' || p_type AS id FROM part GROUP BY p_brand, p_type")
 def relation_anchor(spark: SparkSession, d: str) -> DataFrame:
     g = t(spark, d, "part").groupBy(c("p_brand").alias("src"), c("p_type").alias("dst")).agg(F.min_by("p_name", F.struct(-F.length("p_name"), "p_partkey")).alias("description"))
     return g.select("src", "dst", "description", F.concat_ws("_", F.lit("rel"), "src", "dst").alias("id"))
 
 
-@query()
-def hop1_variant(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with a sequence ratio of 0.8 or more and two or more differing characters."""
-    return R.variants(t(spark, d, "part"), "p_name")
-
-
 @query("[mention] SELECT DISTINCT 'entity_' || group_id || '_' || name AS entity_id, media_id FROM mention WHERE segment_index = 1")
 def entity_first_segments(spark: SparkSession, d: str) -> DataFrame:
     return mention(spark, d).where("segment_index = 1").select(entity_id().alias("entity_id"), "media_id").distinct()

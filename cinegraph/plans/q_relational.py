@@ -36,21 +36,6 @@ def upsert_mentions(spark: SparkSession, d: str) -> DataFrame:
     return mention(spark, d).groupBy("group_id", "name", "media_id").agg(F.max("segment_index").alias("segment_index"), F.count("*").alias("n"))
 
 
-@query("[media] SELECT media_id, CASE WHEN media_id % 2 = 0 THEN 1 ELSE 2 END AS uploaded_at, title FROM media")
-def upsert_media_first_write_wins(spark: SparkSession, d: str) -> DataFrame:
-    m = media(spark, d)
-    old = m.where("media_id % 2 = 0").select("media_id", F.lit(1).alias("uploaded_at"), F.lit("old").alias("title"))
-    return S.upsert(old, m.select("media_id", F.lit(2).alias("uploaded_at"), "title"), ["media_id"], ("uploaded_at",))
-
-
-@query("SELECT label AS id, count(*) AS entity_count, 0 AS findings FROM embeddings GROUP BY label")
-def upsert_communities(spark: SparkSession, d: str) -> DataFrame:
-    new = t(spark, d, "embeddings").groupBy(c("label").alias("id")).agg(F.count("*").alias("entity_count"))
-    old = new.where("id < 0").withColumn("findings", F.array().cast("array<string>"))
-    out = S.upsert(old, new.withColumn("findings", F.lit(None).cast("array<string>")), ["id"])
-    return out.select("id", "entity_count", F.size(F.coalesce("findings", F.array().cast("array<string>"))).alias("findings"))
-
-
 @query("SELECT group_id, 'user_' || group_id || '_leiden_' || label AS id, n FROM (SELECT vec_id % 4 AS group_id, label, count(*) AS n FROM embeddings GROUP BY ALL)")
 def replace_communities(spark: SparkSession, d: str) -> DataFrame:
     """The communities of each group are written by partition overwrite, so a second run replaces the first."""
@@ -71,15 +56,6 @@ def merge_relation_sources(spark: SparkSession, d: str) -> DataFrame:
     return half(0).join(half(1), "id", "full_outer").select("id", F.array_join(union, ",").alias("sources"), F.size(union).cast("long").alias("source_count"))
 
 
-@query("[mentioned] SELECT entity_id, count(*) AS source_count FROM mentioned WHERE media_id % 7 <> 0 GROUP BY entity_id")
-def delete_media_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions of the deleted media go, then entities without any, and the counts are taken anew."""
-    gone = t(spark, d, "orders").where("o_orderkey % 7 = 0").select(c("o_orderkey").alias("media_id"))
-    left = mentioned(spark, d).join(gone, "media_id", "left_anti")
-    kept = mentioned(spark, d).select("entity_id").distinct().join(left.select("entity_id"), "entity_id", "left_semi")
-    return kept.join(left.groupBy("entity_id").agg(F.count("*").alias("source_count")), "entity_id")
-
-
 @query("[segment] SELECT segment_id FROM segment WHERE NOT starts_with(segment_id, 'media_1')")
 def delete_by_prefix(spark: SparkSession, d: str) -> DataFrame:
     return segment(spark, d).where(~F.startswith("segment_id", F.lit("media_1"))).select("segment_id")
@@ -99,26 +75,6 @@ def latest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").groupBy("user_id", "event_type").agg(last).select("user_id", "event_type", "x.event_id", "x.value")
 
 
-@query("SELECT doc_id, left(coalesce(nullif(source, ''), 'unknown'), 3) AS action, left(text, 255) AS error FROM documents")
-def dead_letter_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", F.left(F.coalesce(F.nullif(c("source"), F.lit("")), F.lit("unknown")), F.lit(3)).alias("action"), F.left("text", F.lit(255)).alias("error"))
-
-
-@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
-def write_report(spark: SparkSession, d: str) -> DataFrame:
-    from cinegraph.sources.tables import json_report
-
-    rows = t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-    return json_report(rows)
-
-
-@query("[segment] WITH h AS (SELECT segment_id, md5(media_id || ':' || start_ms || ':' || end_ms) AS m FROM segment) SELECT segment_id, left(m, 8) || '-' || substr(m, 9, 4) || '-3' || substr(m, 14, 3) || '-' || substr('89ab', 1 + (('0x' || substr(m, 17, 1))::INT % 4), 1) || substr(m, 18, 3) || '-' || substr(m, 21) AS point_id FROM h")
-def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
-    from cinegraph.sources.tables import name_uuid
-
-    return segment(spark, d).select("segment_id", name_uuid(F.concat_ws(":", "media_id", "start_ms", "end_ms")).alias("point_id"))
-
-
 # --- joins ---
 
 
@@ -142,14 +98,6 @@ def join_alias_map(spark: SparkSession, d: str) -> DataFrame:
     return lines.withColumn("group_id", F.concat(F.lit("user_"), c("l_orderkey") % 4)).join(known, ["group_id", "name"], "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "id")
 
 
-@query("[relation] SELECT group_id, left(src, 3) AS src, left(dst, 3) AS dst, count(*) AS n, max(strength) AS strength FROM relation GROUP BY ALL")
-def join_relation_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Endpoints go through the surface forms of entity groups (here: a name's first letters)."""
-    forms = t(spark, d, "part").select(c("p_name").alias("form"), F.left("p_name", F.lit(3)).alias("g")).distinct()
-    r = relation(spark, d).join(forms.select(c("form").alias("src"), c("g").alias("s")), "src").join(forms.select(c("form").alias("dst"), c("g").alias("t")), "dst")
-    return r.groupBy("group_id", c("s").alias("src"), c("t").alias("dst")).agg(F.count("*").alias("n"), F.max("strength").alias("strength"))
-
-
 @query("[relation entity] SELECT a.id AS source, b.id AS target, r.strength FROM relation r JOIN entity a ON a.group_id = r.group_id AND a.name = r.src JOIN entity b ON b.group_id = r.group_id AND b.name = r.dst WHERE a.type <> b.type")
 def join_resolution_anchor(spark: SparkSession, d: str) -> DataFrame:
     e = entity(spark, d).select("group_id", "name", "id", "type")
@@ -216,11 +164,6 @@ def double_exists_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return r.join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-@query("[segment mentioned] SELECT m.entity_id, count(*) AS segments, min(m.media_id) AS first_media FROM mentioned m GROUP BY m.entity_id".replace("[segment mentioned]", "[mentioned]"))
-def two_hop_provenance(spark: SparkSession, d: str) -> DataFrame:
-    return mentioned(spark, d).groupBy("entity_id").agg(F.count("*").alias("segments"), F.min("media_id").alias("first_media"))
-
-
 @query("WITH q AS (SELECT DISTINCT left(p_name, 4) AS q FROM part UNION SELECT DISTINCT p_name FROM part), n AS (SELECT DISTINCT p_name AS name FROM part) SELECT q, coalesce((SELECT name FROM n WHERE name = q), (SELECT min(name) FROM n WHERE starts_with(name, q))) AS name FROM q")
 def prefix_name_lookup(spark: SparkSession, d: str) -> DataFrame:
     from cinegraph.operators.lookup import by_prefix
@@ -253,18 +196,10 @@ def entity_group_rollup(spark: SparkSession, d: str) -> DataFrame:
     return R.entity_groups(mention(spark, d))
 
 
-@query("SELECT p_brand AS src, p_type AS dst, max(1 + p_size % 10)::INT AS strength, count(*) AS n, count(DISTINCT p_name) AS clusters FROM part GROUP BY p_brand, p_type")
-def relation_cluster_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy clusters of equal descriptions within a pair of endpoints."""
-    rows = t(spark, d, "part").select(c("p_brand").alias("src"), c("p_type").alias("dst"), c("p_name").alias("description"), (1 + c("p_size") % 10).alias("strength"), c("p_partkey").alias("pos"))
-    got = R.relation_clusters(rows, 1.0)
-    return got.groupBy("src", "dst").agg(F.max("strength").cast("int").alias("strength"), F.sum("n").alias("n"), F.count("*").alias("clusters"))
-
-
 @query()
 def relation_dedup_legacy(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "part").select(c("p_brand").alias("src"), c("p_type").alias("dst"), c("p_name").alias("description"), (1 + c("p_size") % 10).alias("strength"), c("p_partkey").alias("pos"))
-    return R.relation_clusters(rows, 0.8, sequence=True)
+    return R.relation_clusters(rows, 0.8)
 
 
 @query("[relation] WITH v AS (SELECT r.group_id, x.name AS name, ascii(y.name) % 5 AS community FROM relation r, LATERAL (SELECT r.src AS name UNION ALL SELECT r.dst) x, LATERAL (SELECT r.src AS name UNION ALL SELECT r.dst) y WHERE x.name <> y.name), n AS (SELECT group_id, name, community, count(*) AS votes FROM v GROUP BY ALL HAVING count(*) >= 2) SELECT group_id, name, community, votes FROM n QUALIFY row_number() OVER (PARTITION BY group_id, name ORDER BY votes DESC, community) = 1")
@@ -289,11 +224,6 @@ def community_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats(m.select("group_id", "name").distinct().withColumn("community", F.ascii("name") % 5), relation(spark, d), m)
 
 
-@query("SELECT label % 3 AS level, count(*) AS n, round(avg(vec_id), 6) AS mean FROM embeddings GROUP BY label % 3")
-def level_counts(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "embeddings").groupBy((c("label") % 3).alias("level")).agg(F.count("*").alias("n"), F.round(F.avg("vec_id"), 6).alias("mean"))
-
-
 @query("SELECT p_partkey, count(l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 48 GROUP BY p_partkey")
 def recount_sources(spark: SparkSession, d: str) -> DataFrame:
     n = t(spark, d, "lineitem").where("l_quantity > 48").groupBy(c("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
@@ -348,28 +278,6 @@ def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
     return S.latest(relation(spark, d), ["group_id", "src"], [F.desc("strength"), F.desc("n"), "dst"], 3).select("group_id", "src", "dst", "strength")
 
 
-@query()
-def frame_dedup_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of a user's events; a frame stays if its hash differs enough from the last one kept."""
-    from cinegraph.operators.folds import dedup_chain
-
-    return dedup_chain(t(spark, d, "events").select("user_id", "event_id", F.xxhash64("event_id").alias("hash")), "user_id", "event_id", "hash", 24)
-
-
-@query()
-def budget_pack(spark: SparkSession, d: str) -> DataFrame:
-    from cinegraph.operators.folds import budget_pack as f
-
-    return f(t(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size")), "conv_id", "turn", "size", 1200)
-
-
-@query()
-def text_chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    from cinegraph.operators.folds import chunk_pack
-
-    return chunk_pack(t(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size")), "conv_id", "turn", "size", 1000)
-
-
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 5 AND role IN ('user', 'assistant')")
 def history_last_n(spark: SparkSession, d: str) -> DataFrame:
     return S.latest(t(spark, d, "conversations"), ["conv_id"], [F.desc("turn")], 5).where("role in ('user', 'assistant')").select("conv_id", "turn", "role")
@@ -484,11 +392,6 @@ def latest_failed_replay_guard(spark: SparkSession, d: str) -> DataFrame:
     return e.where("event_type = 'error'").join(done, "user_id", "left").where("done is null or done <= ts").select("event_id")
 
 
-@query("[event] SELECT user_id, k, event_id FROM event QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) = 1")
-def trace_latest(spark: SparkSession, d: str) -> DataFrame:
-    return event(spark, d).groupBy("user_id", "k").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-
-
 @query("[event] SELECT event_id FROM event WHERE (k = 7 OR k = 8) AND event_type = 'click'")
 def feedback_filter(spark: SparkSession, d: str) -> DataFrame:
     return event(spark, d).where("(k = 7 or k = 8) and event_type = 'click'").select("event_id")

@@ -109,8 +109,10 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0")
     res = T.ranked(T.knn(q, e, "vec_id", "embedding", 5), [F.desc("score"), "vec_id"], ["q"]).select("q", c("vec_id").alias("item"), "rank")
-    truth = q.select(c("vec_id").alias("q"), "label").join(e.select(c("vec_id").alias("item"), "label"), "label").where("q <> item").select("q", "item")
-    return T.evaluate(res, truth, 5)
+    of = lambda n, label: e.select(c("vec_id").alias(n), c("label").alias(label))
+    rel = res.join(of("q", "_q"), "q").join(of("item", "_i"), "item").withColumn("rel", c("_q") == c("_i"))
+    size = e.groupBy("label").agg((F.count("*") - 1).alias("expected")).where("expected > 0")
+    return T.evaluate(rel, q.select(c("vec_id").alias("q"), "label").join(size, "label").select("q", "expected"), 5)
 
 
 @query(f"WITH {_KNN} SELECT q, hit, rank, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round(1 - p, 6) AS pollution FROM ev")
@@ -173,39 +175,45 @@ def chunk_summary_fallback(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.left(x, F.lit(500)).alias("summary"))
 
 
-@query("SELECT conv_id, sum(length(text) + 9)::BIGINT - 1 AS n, sum(length(text) + 9) - 1 <= 2000 AS single FROM conversations GROUP BY conv_id")
-def summary_text_layers(spark: SparkSession, d: str) -> DataFrame:
-    """Length of the timed lines, and whether one summary call takes them."""
-    n = F.sum(F.length("text") + 9).cast("long") - 1
-    return t(spark, d, "conversations").groupBy("conv_id").agg(n.alias("n"), (n <= 2000).alias("single"))
+@query()
+def dhash(spark: SparkSession, d: str) -> DataFrame:
+    """Difference hash of a 9 by 8 grey image (here: the first 72 components of a vector, repeated)."""
+    px = F.expr("transform(sequence(0, 71), i -> embedding[i % 64])")
+    bits = F.expr("transform(sequence(0, 63), i -> if(px[i + i div 8] > px[i + i div 8 + 1], 1L, 0L))")
+    e = t(spark, d, "embeddings").select("vec_id", px.alias("px")).select("vec_id", bits.alias("b"))
+    return e.select("vec_id", F.aggregate("b", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x)).alias("dhash"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND length(trim(text)) > 0")
+@query("[segment] WITH p AS (SELECT media_id, start_ms, CASE WHEN (media_id + segment_index) % 4 = 0 OR media_id % 9 = 0 THEN 'FAILED' ELSE 'DONE' END AS status, CASE WHEN segment_index % 5 = 3 THEN '  ' ELSE transcript END AS text FROM segment), x AS (SELECT media_id, bool_and(status = 'FAILED') AS lost FROM p GROUP BY media_id) SELECT media_id, start_ms, 'ok' AS outcome FROM p WHERE status <> 'FAILED' AND length(trim(text)) > 0 UNION ALL SELECT media_id, NULL, 'all failed' FROM x WHERE lost")
 def asr_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "conversations").where((c("role") != "system") & (F.length(F.trim("text")) > 0)).orderBy("conv_id", "turn").select("conv_id", "turn")
+    """Transcribed parts without the failed and blank ones; where all of an item failed, that is the outcome."""
+    s = segment(spark, d)
+    failed = ((c("media_id") + c("segment_index")) % 4 == 0) | (c("media_id") % 9 == 0)
+    parts = s.select("media_id", "start_ms", F.when(failed, "FAILED").otherwise("DONE").alias("status"), F.when(c("segment_index") % 5 == 3, "  ").otherwise(c("transcript")).alias("text"))
+    return G.asr_outcomes(parts, "media_id")
 
 
-@query("[segment] SELECT segment_id, 'src' || media_id || '#timestampMs=' || start_ms AS frame FROM segment")
+@query("[moment] SELECT segment_id, array_to_string(list_transform(ocr_texts, lambda x: 'src' || media_id || '#timestampMs=' || start_ms), ',') AS frames FROM moment")
 def reuse_context(spark: SparkSession, d: str) -> DataFrame:
-    frames = F.transform(F.array(F.lit("x")), lambda _: F.concat(F.lit("src"), "media_id", F.lit("#timestampMs="), "start_ms"))
-    return segment(spark, d).select("segment_id", F.element_at(frames, 1).alias("frame"))
+    """The frames of a reused context point to their source and time; a segment without frames keeps none."""
+    from cinegraph.plans.catalog import moment
 
+    frame = F.concat(F.lit("src"), "media_id", F.lit("#timestampMs="), "start_ms")
+    return moment(spark, d).select("segment_id", F.array_join(F.transform("ocr_texts", lambda _: frame), ",").alias("frames"))
 
-@query("[segment] SELECT s.segment_id, count(e.event_id) AS frames FROM segment s LEFT JOIN events e ON e.user_id = s.media_id AND e.event_id * 37 % 600000 >= s.start_ms AND e.event_id * 37 % 600000 < s.end_ms GROUP BY s.segment_id")
-def merge_asr_ocr(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of each planned segment, none lost for want of a frame."""
-    from cinegraph.operators.intervals import points_in_intervals
 
-    p = t(spark, d, "events").select("event_id", c("user_id").alias("media_id"), (c("event_id") * 37 % 600000).alias("ts"))
-    s = segment(spark, d)
-    n = points_in_intervals(p, s, "media_id").groupBy("segment_id").agg(F.count("*").alias("frames"))
-    return s.select("segment_id").join(n, "segment_id", "left").select("segment_id", F.coalesce("frames", F.lit(0)).alias("frames"))
+_WORDS = "(['AI', 'OEIAFMOOC', 'hello world', 'bcdfghj', 'screen text', 'abc'])[1 + (event_id % 6)::INT]"
+_KEEP = "CASE WHEN length(trim(w)) = 0 THEN false WHEN upper(w) IN ('AI', 'GPU') THEN true WHEN length(w) < 4 THEN false WHEN regexp_matches(replace(w, ' ', ''), '(?i)[bcdfghjklmnpqrstvwxyz]{6,}') THEN false WHEN upper(w) = w AND lower(w) <> w AND NOT contains(w, ' ') THEN false ELSE true END"
 
 
-@query()
-def dhash(spark: SparkSession, d: str) -> DataFrame:
-    """Difference hash of a 9 by 8 grey image (here: the first 72 components of a vector, repeated)."""
-    px = F.expr("transform(sequence(0, 71), i -> embedding[i % 64])")
-    bits = F.expr("transform(sequence(0, 63), i -> if(px[i + i div 8] > px[i + i div 8 + 1], 1L, 0L))")
-    e = t(spark, d, "embeddings").select("vec_id", px.alias("px")).select("vec_id", bits.alias("b"))
-    return e.select("vec_id", F.aggregate("b", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x)).alias("dhash"))
+@query(f"[segment] WITH f AS (SELECT event_id, user_id AS media_id, event_id * 37 % 600000 AS ts, {_WORDS} AS w FROM events WHERE event_id % 3 = 0), l AS (SELECT media_id, max_by(segment_index, end_ms) AS li, max(end_ms) AS le FROM segment GROUP BY media_id), o AS (SELECT f.*, coalesce(s.segment_index, CASE WHEN f.ts >= l.le THEN l.li END) AS si FROM f JOIN l USING (media_id) LEFT JOIN segment s ON s.media_id = f.media_id AND f.ts >= s.start_ms AND f.ts < s.end_ms), a AS (SELECT media_id, si, count(*) AS n, coalesce(string_agg(w, ' | ' ORDER BY ts, event_id) FILTER ({_KEEP}), '') AS seen FROM o WHERE si IS NOT NULL GROUP BY ALL), z AS (SELECT s.segment_id, arg_min(f.event_id, (abs(f.ts - (s.start_ms + s.end_ms) // 2), f.event_id)) AS near FROM segment s JOIN f ON f.media_id = s.media_id GROUP BY s.segment_id) SELECT s.segment_id, CASE WHEN (s.media_id + s.segment_index) % 5 = 0 THEN '' ELSE transcript END AS transcript, coalesce(a.seen, '') AS seen, coalesce(a.n, CASE WHEN z.near IS NOT NULL THEN 1 END, 0) AS frames, CASE WHEN a.n IS NULL THEN z.near END AS nearest FROM segment s LEFT JOIN a ON a.media_id = s.media_id AND a.si = s.segment_index LEFT JOIN z USING (segment_id) WHERE (s.media_id + s.segment_index) % 5 <> 0 AND length(trim(transcript)) > 0 OR coalesce(a.seen, '') <> '' OR coalesce(a.n, z.near) IS NOT NULL")
+def merge_asr_ocr(spark: SparkSession, d: str) -> DataFrame:
+    """Planned segments with the speech that starts with them, the plausible screen texts of their frames, or else the nearest frame."""
+    from cinegraph.functions.text import ocr_keep
+
+    s = segment(spark, d)
+    words = F.array(*[F.lit(x) for x in ("AI", "OEIAFMOOC", "hello world", "bcdfghj", "screen text", "abc")])
+    frames = t(spark, d, "events").where("event_id % 3 = 0").select(c("user_id").alias("media_id"), c("event_id").alias("frame"), (c("event_id") * 37 % 600_000).alias("ts"), F.element_at(words, (1 + c("event_id") % 6).cast("int")).alias("screen"))
+    speech = s.where((c("media_id") + c("segment_index")) % 5 != 0).select("media_id", "start_ms", "transcript")
+    out = G.merge_channels(s.select("media_id", "segment_index", "segment_id", "start_ms", "end_ms"), speech, frames, "media_id", lambda x: ocr_keep(x, ["AI", "GPU"]))
+    return out.select("segment_id", "transcript", "seen", "frames", c("_near").alias("nearest"))

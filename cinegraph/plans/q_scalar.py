@@ -66,12 +66,12 @@ e AS (SELECT name, unnest(s) AS g, len(s) AS k FROM s),
 p AS (SELECT a.name AS a, b.name AS b, count(*) AS inter, any_value(a.k) AS ka, any_value(b.k) AS kb FROM e a JOIN e b ON a.g = b.g AND a.name < b.name GROUP BY a.name, b.name)"""
 
 
-@query(_PAIRS + " SELECT a, b, round(inter / (ka + kb - inter), 6) AS jaccard FROM p")
+@query(_PAIRS + " SELECT a, b, round(inter / (ka + kb - inter), 6) AS jaccard FROM p WHERE inter >= 0.2 * (ka + kb - inter)")
 def jaccard(spark: SparkSession, d: str) -> DataFrame:
     from cinegraph.operators.similarity import shingle_pairs
 
     names = t(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return shingle_pairs(names, "name", 0.0).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return shingle_pairs(names, "name", 0.2).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(_PAIRS + ", c AS (SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND (contains(a.name, b.name) OR contains(b.name, a.name))) SELECT DISTINCT a, b FROM (SELECT a, b FROM p WHERE inter >= 0.4 * (ka + kb - inter) UNION ALL SELECT a, b FROM c)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own only where the session names none."""
+    """The session's checkpoint folder. Only a session on one machine may do without: there a folder of its own serves."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="cinegraph-"))
     return _OWN_DIR[0]

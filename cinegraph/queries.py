@@ -15,7 +15,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from cinegraph.plans import q_evidence, q_graph, q_relational, q_retrieval, q_scalar, q_search, q_stream  # noqa: F401
+    from cinegraph.plans import q_community, q_evidence, q_graph, q_relational, q_resolution, q_retrieval, q_scalar, q_search, q_store, q_stream  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

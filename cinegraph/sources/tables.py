@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinegraph.plans.shared import shared_dir
 
@@ -17,11 +18,17 @@ def replace_partitions(rows: DataFrame, column: str, path: str | None = None) ->
     return path
 
 
-def json_report(rows: DataFrame) -> DataFrame:
-    """Writes a report as JSON and reads it with its schema."""
-    path = f"{shared_dir(rows.sparkSession)}/report-{uuid.uuid4().hex}"
-    rows.write.json(path)
-    return rows.sparkSession.read.schema(rows.schema).json(path)
+def write_report(summary: DataFrame, details: DataFrame) -> str:
+    """Writes a report's summary and details as JSON in folders of one name, which is returned."""
+    path = f"{shared_dir(summary.sparkSession)}/report-{uuid.uuid4().hex}"
+    summary.write.json(f"{path}/summary")
+    details.write.json(f"{path}/details")
+    return path
+
+
+def read_report(spark: SparkSession, path: str, part: str, schema: T.StructType) -> DataFrame:
+    """A part of a report; malformed lines give nulls."""
+    return spark.read.schema(schema).json(f"{path}/{part}")
 
 
 def name_uuid(name: Column) -> Column:

@@ -1,10 +1,13 @@
 """Edge cases of operators on small rows."""
 
+import functools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from cinegraph.functions import text as X
-from cinegraph.operators import folds, intervals, resolution, retrieval, segments, store, tasks
+from cinegraph.operators import communities, folds, intervals, resolution, retrieval, segments, similarity, store, tasks
 from cinegraph.operators.components import components
 from cinegraph.streaming import sessions
 
@@ -56,6 +59,13 @@ def test_plan():
     cuts = [p[:2] for p in segments.plan(300_000, list(range(5000, 300_000, 5000)))]
     assert cuts[0] == (0, 60_000) and all(30_000 <= b - a <= 90_000 for a, b in cuts)
     assert segments.plan(200_000, [100_000])[0][3] is True  # a hard cut
+    assert [p[:4] for p in segments.plan(100_000, [85_000])] == [(0, 50_000, False, True), (50_000, 100_000, True, False)]
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 900_000)
+        out = segments.plan(n, [rng.randrange(n + 1) for _ in range(rng.randint(0, 30))])
+        assert out[0][0] == 0 and out[-1][1] == n and all(x[1] == y[0] for x, y in zip(out, out[1:]))
+        assert all(b - a <= 90_000 and (b - a >= 30_000 or n < 30_000) for a, b, *_ in out)
 
 
 def test_intervals(spark):
@@ -67,6 +77,25 @@ def test_intervals(spark):
     assert [(r.r, r.p) for r in intervals.nearest(rows, near, "m", "r", "p").collect()] == [("a", 5)]
 
 
+def test_components_of_customers_and_suppliers(spark):
+    from cinegraph import queries
+
+    d = "/root/testdata/sf0.001"
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    root = {r[0]: r[0] for r in read("customer").select("c_custkey").collect()} | {-r[0] - 1: -r[0] - 1 for r in read("supplier").select("s_suppkey").collect()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in read("orders").join(read("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", -F.col("l_suppkey") - 1).distinct().collect():
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = queries.queries()["connected_components"](spark, d).collect()
+    assert {r.node: r.component for r in got} == {i: find(i) for i in root}
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}
@@ -81,13 +110,100 @@ def test_chains(spark):
 
 
 def test_judge_falls_back(spark):
-    df = spark.createDataFrame([("n", ["c"], [0.95])], "name string, candidates array<string>, scores array<double>")
+    df = spark.createDataFrame([(1, i, f"n{i}", ["c"], [0.95]) for i in range(23)], "batch int, pos int, name string, candidates array<string>, scores array<double>")
 
     def broken(batch):
-        raise RuntimeError
-
-    assert resolution.judge(df).first().action == "merge"
-    assert resolution.judge(df, broken).first().action == "create"
+        if len(batch) == 20:
+            raise RuntimeError
+        return [{"id": 0, "candidate": 0}, {"id": 0, "candidate": -1}, {"id": 1, "candidate": 5}, {"id": 7, "candidate": 0}]
+
+    assert {r.action for r in resolution.judge(df).collect()} == {"merge"}
+    assert [r.name for r in resolution.judge(df, broken).collect() if r.action == "merge"] == ["n20"]
+
+
+def test_clusters_equal_a_plain_fold(spark):
+    rng = random.Random(2)
+    words = ["red", "blue", "gear", "bolt", "old", "cold", "ring"]
+    rows = [("a" if rng.random() < 0.5 else "b", i, " ".join(rng.sample(words, rng.randint(1, 3))), rng.randint(1, 9), rng.randint(0, 4)) for i in range(60)]
+
+    def grams(x):
+        return {x} if len(x) == 1 else set() if len(x) == 2 else {x[i : i + 3] for i in range(len(x) - 2)}
+
+    want = []
+    for key in "ab":
+        clusters = []
+        for _, i, x, w, k in [r for r in rows if r[0] == key]:
+            for c in clusters:
+                a, b = grams(c["d"][0]), grams(x)
+                if len(a & b) / len(a | b) >= 0.8:
+                    c["d"].append(x)
+                    c["s"] = max(c["s"], w)
+                    c["k"].add(k)
+                    break
+            else:
+                clusters.append({"d": [x], "s": w, "k": {k}})
+        want += [(key, c["d"], c["s"], len(c["d"]), sorted(c["k"])) for c in clusters]
+    got = resolution.cluster_relations(spark.createDataFrame(rows, "src string, pos int, description string, strength int, segment_index int"), ["src"]).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_near_and_contained_pairs_equal_all_pairs(spark):
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(3, 12))).strip() for _ in range(80)} - {""})
+    df = spark.createDataFrame([(i % 2, n) for i, n in enumerate(names)], "k int, name string").withColumn("flat", F.col("name")).withColumn("s", X.shingles3(F.col("name")))
+    own = {n: (i % 2, {n[j : j + 3] for j in range(len(n) - 2)}) for i, n in enumerate(names)}
+    pairs = [(a, b) for a in names for b in names if a < b and own[a][0] == own[b][0]]
+    for at in (0.3, 0.5, 0.9):
+        want = {(a, b) for a, b in pairs if own[a][1] and own[b][1] and len(own[a][1] & own[b][1]) >= at * len(own[a][1] | own[b][1])}
+        assert {(r.a, r.b) for r in similarity.near_pairs(df.where(F.size("s") > 0), ["k"], at).collect()} == want
+    held = {(a, b) for a, b in pairs if len(a) >= 3 and len(b) >= 3 and (a in b or b in a)}
+    assert {(r.a, r.b) for r in similarity.contained_pairs(df, ["k"]).collect()} == held
+
+
+def test_cascade(spark):
+    rows = [("g", 0, "Red Gear", [1.0, 0.0]), ("g", 1, "red  gear", [1.0, 0.0]), ("g", 2, "red gears", [0.0, 1.0]), ("g", 3, "crimson cog", [0.9, 0.1]), ("g", 4, "ab", None), ("g", 5, "ab", None), ("h", 0, "red gear", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "group_id string, pos long, name string, vector array<double>")
+    got = {(r.group_id, r.pos): (r.target, r.via) for r in resolution.cascade(df, "group_id", lambda n, names: 0).collect()}
+    assert got == {("g", 0): ("red gear", "create"), ("g", 1): ("red gear", "exact"), ("g", 2): ("red gear", "similar"), ("g", 3): ("red gear", "judged"), ("g", 4): ("ab", "create"), ("g", 5): ("ab", "exact"), ("h", 0): ("red gear", "create")}
+
+
+def test_description_gate(spark):
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    rows = [("a", 0, "first text", w, v), ("a", 1, "text", w, v), ("a", 2, "like the stored", v, v), ("a", 3, "x" * 900, w, v), ("b", 0, None, w, None), ("b", 1, "b", v, None)]
+    df = spark.createDataFrame(rows, "k string, o int, t string, v array<double>, s array<double>")
+    got = {r.k: (r.description, r.added) for r in resolution.description_gate(df, "k", "o", "t", "v", "s").collect()}
+    assert got["a"] == ("first text\n" + "x" * 389, 2) and got["b"] == ("b", 1)
+
+
+def test_communities_of_cliques(spark):
+    near = [{} for _ in range(12)]
+    for block in (range(4), range(4, 8), range(8, 12)):
+        for a in block:
+            for b in block:
+                if a != b:
+                    near[a][b] = 2.0
+    near[3][4] = near[4][3] = near[7][8] = near[8][7] = 1.0
+    assert communities.leiden(near) == [0] * 4 + [1] * 4 + [2] * 4
+    names = [chr(97 + i) for i in range(12)]
+    nodes = spark.createDataFrame([("g", n) for n in [*names, "zz"]], "group_id string, name string")
+    edges = spark.createDataFrame([("g", names[a], names[b], int(w)) for a in range(12) for b, w in near[a].items() if a < b], "group_id string, src string, dst string, strength int")
+    top = [r for r in communities.hierarchy(nodes, edges).collect() if r.level == 0]
+    assert len(top) == 13 and len({r.community for r in top}) == 4
+
+
+def test_leiden_beats_single_nodes_and_keeps_communities_connected():
+    rng = random.Random(9)
+    n = 60
+    near = [{} for _ in range(n)]
+    for a in range(n):
+        for b in range(a):
+            if rng.random() < (0.4 if a % 4 == b % 4 else 0.03):
+                near[a][b] = near[b][a] = 1.0
+    own = communities.leiden([dict(x) for x in near])
+    total = sum(sum(x.values()) for x in near)
+    q = sum(w for v, x in enumerate(near) for u, w in x.items() if own[u] == own[v]) / total
+    q -= sum((sum(sum(near[v].values()) for v in range(n) if own[v] == c) / total) ** 2 for c in set(own))
+    assert q > 0.4 and communities._connected(near, own) == [min(v for v in range(n) if own[v] == own[u]) for u in range(n)]
 
 
 def test_upsert(spark):
@@ -99,10 +215,36 @@ def test_upsert(spark):
 
 
 def test_states(spark):
-    kinds = ["signup", "view", "click", "view", "purchase", "error", "signup", "error", "signup"]
-    rows = [(1, i, k) for i, k in enumerate(kinds)]
-    r = tasks.run_states(spark.createDataFrame(rows, "user_id long, o int, event_type string"), "user_id", ["o"], "event_type").first()
-    assert (r.state, r.attempts, r.rejected, r.retries) == ("QUEUED", 1, 2, 1)
+    rng = random.Random(1)
+    actions = list(tasks.TRANSITIONS)
+    rows = [(k, i, rng.choice(actions) if i else "create") for k in range(30) for i in range(60)]
+    got = {r.user_id: tuple(r)[1:7] for r in tasks.run_states(spark.createDataFrame(rows, "user_id long, o int, action string"), "user_id", ["o"], "action").collect()}
+    for k in range(30):
+        now = (None, 0, 0, 0, 0, 0)
+        for _, _, action in rows[k * 60 : k * 60 + 60]:
+            now = tasks.step(now, action)
+        assert got[k] == now
+    run = lambda *xs: functools.reduce(tasks.step, xs, (None, 0, 0, 0, 0, 0))
+    assert run("create", "analyze", "create") == ("ANALYZING", 1, 0, 0, 0, 1)
+    assert run("create", "analyze_retry", "analyze_retry", "analyze_retry") == ("QUEUED", 3, 2, 0, 0, 1)
+    assert run("create", "analyze", "analyzed", "commit", "committed", "cancel")[0] == "SUCCESS"
+    assert run("create", "analyze_error", "manual_analyze", "analyze_retry") == ("QUEUED", 2, 1, 0, 0, 0)
+
+
+def test_locks(spark):
+    rows = [(1, 1, [3, 1, 3]), (1, 2, [2]), (1, 3, [1, 4]), (1, 4, [4]), (2, 5, [1])]
+    got = {r.r: (r["keys"], r.granted) for r in tasks.locks(spark.createDataFrame(rows, "b int, r int, k array<int>"), "b", "r", "k").collect()}
+    assert got == {1: ("1,3", True), 2: ("2", True), 3: ("1,4", False), 4: ("4", True), 5: ("1", True)}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from cinegraph.plans import shared
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared.shared_dir(fake)
 
 
 def test_late_rows_are_dropped(spark, tmp_path):

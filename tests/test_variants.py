@@ -17,6 +17,6 @@ def test_variants_equal_all_pairs(spark):
         ratio = round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
         if ratio >= 0.8 and apart >= 2:
             want.add((a, b, ratio))
-    got = R.variants(spark.createDataFrame([(n,) for n in names] + [(None,), ("abcde",)], "n string"), "n").collect()
+    got = R.variants(spark.createDataFrame([(n,) for n in names] + [(None,), ("abcde",)], "n string"), "n", 0.8).collect()
     assert ("abcXefXhij", "abcdefghij", 0.8) in want
     assert len(got) == len(want) and {tuple(r) for r in got} == want
