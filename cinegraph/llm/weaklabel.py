@@ -176,10 +176,11 @@ def features(x: Texts) -> tuple[np.ndarray, np.ndarray]:
         step = np.searchsorted([2, 5, 10, 15, 20, 25, 30, 40, 50, 60, 65, 70, 75, 80, 90, 100], x.shape[name], "left")
         own.append(mix((step + 1000 * (k + 1)).astype(np.uint64)))
         own_row.append(np.arange(x.n))
-    rows = np.concatenate([x.row, x.row, x.row, *own_row])
-    index = (np.concatenate([*x.hashes, *own]) & size).astype(np.int64)
-    key = np.unique(rows << BITS | index)
-    return key >> BITS, key & int(size)
+    kind = np.uint32 if x.n < 1 << (32 - BITS) else np.int64  # narrow keys sort faster
+    rows = np.concatenate([x.row, x.row, x.row, *own_row]).astype(kind)
+    key = np.sort(rows << kind(BITS) | (np.concatenate([*x.hashes, *own]) & size).astype(kind))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return (key >> kind(BITS)).astype(np.int64), (key & kind(size)).astype(np.int64)
 
 
 def train(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
@@ -261,11 +262,11 @@ def learn_lexicons(docs: DataFrame, labels: DataFrame) -> list[np.ndarray]:
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with p_junk, p_toxic (the scorer's), weak_junk, weak_toxic (the label model's) and kept added."""
+def classify(docs: DataFrame, labels: DataFrame, weak: bool = False) -> DataFrame:
+    """docs with p_junk, p_toxic (the scorer's) and kept added; weak: also weak_junk, weak_toxic (the label model's)."""
     spark = tune(docs.sparkSession)
-    added = ["p_junk", "p_toxic", "weak_junk", "weak_toxic", "kept"]
-    base = docs.drop(*added)
+    added = ["p_junk", "p_toxic", *(["weak_junk", "weak_toxic"] if weak else []), "kept"]
+    base = docs.drop("p_junk", "p_toxic", "weak_junk", "weak_toxic", "kept")
     lexicons = spark.sparkContext.broadcast(learn_lexicons(docs, labels))
 
     def vote(data: np.ndarray, off: np.ndarray) -> pa.Array:
@@ -290,12 +291,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         row, index = features(x)
         z = [np.bincount(row, weights=v[index], minlength=x.n) + v[-1] for v in w] if w else [np.full(x.n, -30.0)] * 2
         p = [1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in z]
-        weak = [np.array([m[c] for c in codes(v).tolist()], float) for m, v in zip(models, votes(x, lexicons.value), strict=True)]
+        by_votes = [np.array([m[c] for c in codes(v).tolist()], float) for m, v in zip(models, votes(x, lexicons.value), strict=True)] if weak else []
         kept = (p[0] < 0.5) & (p[1] < 0.5)
         kept[np.diff(off) == 0] = True
-        return pa.StructArray.from_arrays([*(pa.array(v, pa.float64()) for v in (*p, *weak)), pa.array(kept)], added)
+        return pa.StructArray.from_arrays([*(pa.array(v, pa.float64()) for v in (*p, *by_votes)), pa.array(kept)], added)
 
-    own = from_text(judge, "struct<p_junk:double,p_toxic:double,weak_junk:double,weak_toxic:double,kept:boolean>")(F.col("text"))
+    own = from_text(judge, "struct<" + ",".join(f"{n}:{'boolean' if n == 'kept' else 'double'}" for n in added) + ">")(F.col("text"))
     at = "_" + max(base.columns, key=len)  # no column of the input has this name
     return base.withColumn(at, own).select(*base.columns, f"{at}.*")
 

@@ -23,6 +23,7 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (2, "", 0.2), (None, "you stupid idiot", 0.3), (4, "x " * 5000, 0.4)], "doc_id long, text string, p_toxic double")
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
     got = w.verdicts(docs, labels).collect()
+    assert {"weak_junk", "weak_toxic"} < set(w.classify(docs, labels, weak=True).columns)
     assert len(got) == 5 and all(r.kept for r in got if r.doc_id in (1, 2))
     assert w.verdicts(docs.limit(0), labels.limit(0)).count() == 0
 
