@@ -16,7 +16,7 @@ SQL: dict[str, str] = {}
 
 VIEWS = {
     "segment": "SELECT conv_id AS media_id, turn AS segment_index, 'media_' || conv_id || '_segment_' || turn AS segment_id, 'user_' || (conv_id % 4) AS group_id, turn * 60000 AS start_ms, turn * 60000 + 60000 AS end_ms, role, text AS transcript FROM conversations",
-    "media": "SELECT doc_id AS media_id, 'media_' || doc_id AS id, 'user_' || (doc_id % 4) AS group_id, source AS title, left(text, 400) AS summary, n_chars * 100 AS duration_ms, lang FROM documents",
+    "media": "SELECT doc_id AS media_id, 'media_' || doc_id AS id, 'user_' || (doc_id % 4) AS group_id, source AS title, text AS summary, n_chars * 100 AS duration_ms, lang FROM documents",
     "mention": "SELECT 'user_' || (l_orderkey % 4) AS group_id, l_orderkey AS media_id, l_linenumber AS segment_index, p_name AS name, p_type AS type, p_brand AS description FROM lineitem JOIN part ON l_partkey = p_partkey",
     "entity": "SELECT group_id, 'entity_' || group_id || '_' || name AS id, name, min(type) AS type, min(description) AS description, count(DISTINCT media_id * 100 + segment_index) AS source_count FROM mention GROUP BY group_id, name",
     "mentioned": "SELECT DISTINCT group_id, 'entity_' || group_id || '_' || name AS entity_id, media_id, segment_index FROM mention",
@@ -82,7 +82,7 @@ def media(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("media_"), c("doc_id")).alias("id"),
         F.concat(F.lit("user_"), c("doc_id") % 4).alias("group_id"),
         c("source").alias("title"),
-        F.left("text", F.lit(400)).alias("summary"),
+        c("text").alias("summary"),
         (c("n_chars") * 100).alias("duration_ms"),
         "lang",
     )

@@ -32,7 +32,12 @@ def one_hop_expand(spark: SparkSession, d: str) -> DataFrame:
     return S.latest(out.unionByName(back), ["group_id", "name"], [F.desc("strength"), F.desc("n"), "other", "direction"], 3).drop("n")
 
 
-@query()
+_LP = "lk AS (SELECT group_id, src AS x, dst AS y, n FROM relation UNION ALL SELECT group_id, dst, src, n FROM relation), l0 AS (SELECT DISTINCT group_id, x, x AS label FROM lk)" + "".join(
+    f", w{i} AS (SELECT lk.group_id, lk.x, label, sum(n) AS w FROM lk JOIN l{i - 1} p ON p.group_id = lk.group_id AND p.x = lk.y GROUP BY lk.group_id, lk.x, label), l{i} AS (SELECT group_id, x, arg_min(label, (-w, label)) AS label FROM w{i} GROUP BY group_id, x)" for i in range(1, 6)
+)
+
+
+@query(f"[relation] WITH {_LP} SELECT group_id, x AS name, label FROM l5")
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return C.label_propagation(relation(spark, d))
 

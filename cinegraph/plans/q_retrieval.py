@@ -175,15 +175,6 @@ def chunk_summary_fallback(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.left(x, F.lit(500)).alias("summary"))
 
 
-@query()
-def dhash(spark: SparkSession, d: str) -> DataFrame:
-    """Difference hash of a 9 by 8 grey image (here: the first 72 components of a vector, repeated)."""
-    px = F.expr("transform(sequence(0, 71), i -> embedding[i % 64])")
-    bits = F.expr("transform(sequence(0, 63), i -> if(px[i + i div 8] > px[i + i div 8 + 1], 1L, 0L))")
-    e = t(spark, d, "embeddings").select("vec_id", px.alias("px")).select("vec_id", bits.alias("b"))
-    return e.select("vec_id", F.aggregate("b", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x)).alias("dhash"))
-
-
 @query("[segment] WITH p AS (SELECT media_id, start_ms, CASE WHEN (media_id + segment_index) % 4 = 0 OR media_id % 9 = 0 THEN 'FAILED' ELSE 'DONE' END AS status, CASE WHEN segment_index % 5 = 3 THEN '  ' ELSE transcript END AS text FROM segment), x AS (SELECT media_id, bool_and(status = 'FAILED') AS lost FROM p GROUP BY media_id) SELECT media_id, start_ms, 'ok' AS outcome FROM p WHERE status <> 'FAILED' AND length(trim(text)) > 0 UNION ALL SELECT media_id, NULL, 'all failed' FROM x WHERE lost")
 def asr_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Transcribed parts without the failed and blank ones; where all of an item failed, that is the outcome."""
@@ -217,3 +208,17 @@ def merge_asr_ocr(spark: SparkSession, d: str) -> DataFrame:
     speech = s.where((c("media_id") + c("segment_index")) % 5 != 0).select("media_id", "start_ms", "transcript")
     out = G.merge_channels(s.select("media_id", "segment_index", "segment_id", "start_ms", "end_ms"), speech, frames, "media_id", lambda x: ocr_keep(x, ["AI", "GPU"]))
     return out.select("segment_id", "transcript", "seen", "frames", c("_near").alias("nearest"))
+
+
+@query(f"WITH p AS (SELECT vec_id, list_transform(range(72), lambda i: least(255, greatest(0, floor((embedding[1 + (i % 64)::INT] + 1) * 100)))::INT) AS px FROM embeddings), b AS (SELECT vec_id, list_transform(range(64), lambda i: px[1 + i + i // 8] > px[2 + i + i // 8]) AS bits FROM p) SELECT vec_id, CASE WHEN vec_id % 9 = 4 THEN NULL ELSE (list_sum(list_transform(range(1, 64), lambda i: CASE WHEN bits[i + 1] THEN (1::HUGEINT << (63 - i)::INT) ELSE 0::HUGEINT END)) - CASE WHEN bits[1] THEN (1::HUGEINT << 63) ELSE 0::HUGEINT END)::BIGINT::VARCHAR END AS dhash FROM b")
+def dhash(spark: SparkSession, d: str) -> DataFrame:
+    """Difference hashes of pictures (PGM files made of vectors, twice as large as the hash; some can't be read)."""
+    from cinegraph.operators.images import hashes
+
+    px = F.expr("transform(sequence(0, 71), i -> least(255, greatest(0, floor((embedding[i % 64] + 1) * 100))))")
+    hex2 = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
+    e = t(spark, d, "embeddings").select("vec_id", px.alias("px"))
+    row = lambda r: F.array_join(F.transform(F.slice("px", r * 9 + 1, 9), lambda x: F.concat(hex2(x), hex2(x))), "")
+    body = F.concat(*[x for r in range(8) for x in (row(r), row(r))])
+    head = F.hex(F.encode(F.when(F.col("vec_id") % 9 == 4, "P9 18 16 255\n").otherwise("P5 # made\n18 16\n255\n"), "UTF-8"))
+    return hashes(e.select("vec_id", F.unhex(F.concat(head, body)).alias("content")), "vec_id", "content").withColumn("dhash", c("dhash").cast("string"))

@@ -265,3 +265,35 @@ def window_sliding(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH g AS (SELECT *, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR)::INT AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k")
 def window_session(spark: SparkSession, d: str) -> DataFrame:
     return W.session(t(spark, d, "events"), "6 hours")
+
+
+def _deliveries(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """A stream that gets its parts one after the other, a batch each."""
+    import time
+    import uuid
+
+    from cinegraph.plans.shared import shared_dir
+
+    path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{path}/part={i}")
+        time.sleep(0.05)  # the source goes by the time of a file
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that are delivered twice in different batches come out once."""
+    e = t(spark, d, "events").select("event_id", c("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    parts = [e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 or event_id % 3 = 0"), e.where("event_id % 5 = 0")]
+    return W.drain(W.dedupe(_deliveries(spark, parts), ["event_id"], "60 days")).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY ALL")
+def late_rows_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly counts of a stream whose first ten days come last: the watermark has passed them, so they are dropped."""
+    e = t(spark, d, "events").select("event_id", c("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    day = lambda x: F.lit(f"2024-01-{x} 00:00:00").cast("timestamp")
+    parts = [e.where((c("ts") >= day(10)) & (c("ts") < day(20))), e.where(c("ts") >= day(20)), e.where(c("ts") < day(10))]
+    updates = W.drain(W.tumbling(_deliveries(spark, parts), "1 hour"), "update")
+    return updates.groupBy("start", "event_type").agg(F.max("n").alias("n"))

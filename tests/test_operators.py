@@ -3,6 +3,7 @@
 import functools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,21 @@ def test_late_rows_are_dropped(spark, tmp_path):
     source = spark.readStream.schema("event_id int, ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     out = sessions.drain(sessions.tumbling(source, "1 hour")).collect()
     assert [(str(r.start), r.n) for r in sorted(out, key=lambda r: r.start)][0] == ("2024-01-01 00:00:00", 1)
+
+
+def test_pictures():
+    from cinegraph.operators import images
+
+    rng = np.random.default_rng(1)
+    px = rng.integers(0, 256, (8, 9)).astype(np.uint8)
+    bits = "".join("1" if px[r, k] > px[r, k + 1] else "0" for r in range(8) for k in range(8))
+    want = int(bits, 2) - (1 << 64 if bits[0] == "1" else 0)
+    assert images.dhash(b"P5\n9 8\n255\n" + px.tobytes()) == want
+    big = np.repeat(np.repeat(px, 5, axis=0), 3, axis=1)
+    assert images.dhash(b"P5 # a comment\n27 40 255\n" + big.tobytes()) == want
+    colour = np.repeat(px[:, :, None], 3, axis=2)
+    assert images.dhash(b"P6 9 8 255\n" + colour.tobytes()) == want
+    for bad in (None, b"", b"P5", b"P5 9 8 255\n" + px.tobytes()[:-1], b"P7 1 1 255\nx", b"P5 0 0 255\n", b"P5 a b 255\n"):
+        assert images.dhash(bad) is None
+    odd = images.shrink(np.arange(35.0).reshape(5, 7), 2, 3)
+    assert odd.shape == (2, 3) and abs(odd.mean() - 17) < 1e-9
