@@ -35,15 +35,25 @@ def owner(points: DataFrame, intervals: DataFrame, key: str, point: str) -> Data
 def nearest(rows: DataFrame, points: DataFrame, key: str, row: str, point: str) -> DataFrame:
     """For each row (at), the point of its key with the least distance, the smaller id on ties.
 
-    Only the last point before and the first after can be it: two ordered windows instead of all pairs.
+    Only the last point before and the first after can be it. Within a time bin two ordered windows find them; across
+    bins, windows over one row a bin, so that a key with very many rows is dealt over its bins.
     """
-    both = rows.select(key, F.col("at").alias("t"), F.col(row).alias("_r"), F.lit(None).cast("long").alias("_p")).unionByName(points.select(key, F.col("ts").alias("t"), F.lit(None).cast("string").alias("_r"), F.col(point).cast("long").alias("_p")))
+    kind = dict(rows.dtypes)[row]
+    r = rows.select(key, F.col("at").cast("long").alias("t"), F.col(row).alias("_r"), F.lit(None).cast("long").alias("_p"))
+    both = r.unionByName(points.select(key, F.col("ts").cast("long").alias("t"), F.lit(None).cast(kind).alias("_r"), F.col(point).cast("long").alias("_p"))).withColumn("_bin", F.floor(F.col("t") / BIN_MS))
     here = F.when(F.col("_p").isNotNull(), F.struct("t", "_p"))
-    back = Window.partitionBy(key).orderBy(F.col("t"), F.col("_p").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(F.col("t"), F.col("_p").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumn("_b", F.last(here, ignorenulls=True).over(back)).withColumn("_a", F.first(here, ignorenulls=True).over(ahead)).where("_r is not null")
+    back = Window.partitionBy(key, "_bin").orderBy(F.col("t"), F.col("_p").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key, "_bin").orderBy(F.col("t"), F.col("_p").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
+    own = both.withColumn("_b", F.last(here, ignorenulls=True).over(back)).withColumn("_a", F.first(here, ignorenulls=True).over(ahead)).where("_r is not null")
+    some = F.col("_p").isNotNull()
+    bins = both.groupBy(key, "_bin").agg(F.min(F.when(some, F.struct("t", "_p"))).alias("_first"), F.max(F.when(some, F.struct(F.col("t"), (-F.col("_p")).alias("m")))).alias("_last"))
+    w = Window.partitionBy(key).orderBy("_bin")
+    before = F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select(key, "_bin", before.alias("_l"), F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_n"))
+    bins = bins.select(key, "_bin", F.when(F.col("_l").isNotNull(), F.struct(F.col("_l.t").alias("t"), (-F.col("_l.m")).alias("_p"))).alias("_l"), "_n")
+    out = own.join(bins, [key, "_bin"])
     far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("t")).alias("far"), F.col(f"{c}._p").alias("p")))
-    return out.withColumn("_best", F.array_min(F.array_compact(F.array(far("_b"), far("_a"))))).where("_best is not null").select(F.col("_r").alias(row), F.col("_best.p").alias(point))
+    return out.withColumn("_best", F.array_min(F.array_compact(F.array(*[far(c) for c in ("_b", "_a", "_l", "_n")])))).where("_best is not null").select(F.col("_r").alias(row), F.col("_best.p").alias(point))
 
 
 def best_overlap(old: DataFrame, new: DataFrame, key: str, row: str) -> DataFrame:
