@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse (operator 7).
 
 A text is cut where a rolling hash of the last bytes hits a mask, so equal passages of different documents
-yield equal chunks, and each worker encodes a chunk once for all documents that hold it. A cut may fall inside
+yield equal chunks, and each worker encodes a chunk once for all documents that hold it, as long as it stays in use. A cut may fall inside
 a token, so every join is repaired: the stretch from the last safe place before the cut to the first one after
 it is encoded again as one string and replaces the tokens that the two chunks gave for it. A safe place is where
 the vocabulary's pattern always starts a token, whatever stands around it, so both sides agree exactly from there
@@ -75,6 +75,7 @@ class Codec:
         self.size, self.start = size, np.concatenate([[0], np.cumsum(size)[:-1]])
         self.blob = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(len(size))), np.uint8)
         self.cache: dict[bytes, np.ndarray] = {}
+        self.older: dict[bytes, np.ndarray] = {}
         self.held = 0
 
     def plain(self, text: bytes) -> np.ndarray:
@@ -83,10 +84,10 @@ class Codec:
     def chunk(self, text: bytes) -> np.ndarray:
         ids = self.cache.get(text)
         if ids is None:
-            if self.held > CACHE_BYTES:
-                self.cache.clear()
-                self.held = 0
-            ids = self.cache[text] = self.plain(text)
+            if self.held > CACHE_BYTES // 2:  # what is not asked for while the newer half fills up goes
+                self.cache, self.older, self.held = {}, self.cache, 0
+            ids = self.older.get(text)
+            ids = self.cache[text] = self.plain(text) if ids is None else ids
             self.held += len(text) + ids.nbytes + 200
         return ids
 
