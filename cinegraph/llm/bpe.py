@@ -1,7 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse (operator 7).
 
 A text is cut where a rolling hash of the last bytes hits a mask, so equal passages of different documents
-yield equal chunks, and each worker encodes a chunk once for all documents that hold it, as long as it stays in use. A cut may fall inside
+yield equal chunks. encode_once encodes a chunk that several documents hold once for all of them; encode, which does
+not shuffle, once in each worker, as long as the chunk stays in use. A cut may fall inside
 a token, so every join is repaired: the stretch from the last safe place before the cut to the first one after
 it is encoded again as one string and replaces the tokens that the two chunks gave for it. A safe place is where
 the vocabulary's pattern always starts a token, whatever stands around it, so both sides agree exactly from there
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.llm.common import from_text, gram_hash, passes, prefix_hash, tune
+from cinegraph.llm.common import drop_scratch, flagged, from_text, gram_hash, passes, prefix_hash, scratch, slices, tune
 
 ROLL = 16
 CHUNK_MASK = 1023
@@ -91,17 +92,18 @@ class Codec:
             self.held += len(text) + ids.nbytes + 200
         return ids
 
-    def encode(self, text: bytes, cuts: list[tuple[int, int, int]]) -> np.ndarray:
-        """cuts: (safe place before, cut, safe place after), in order, without overlaps."""
+    def encode(self, text: bytes, cuts: list[tuple[int, int, int]], given: dict[int, np.ndarray] | None = None) -> np.ndarray:
+        """cuts: (safe place before, cut, safe place after), in order, without overlaps; given: ids of chunks by their place."""
+        of = lambda i, a, b: given[i] if given and i in given else self.chunk(text[a:b])
         if not cuts:
-            return self.chunk(text)
+            return of(0, 0, len(text))
         out, begin, skip = [], 0, 0
-        for left, cut, right in cuts:
-            ids = self.chunk(text[begin:cut])
+        for i, (left, cut, right) in enumerate(cuts):
+            ids = of(i, begin, cut)
             tail, head, joined = text[left:cut], text[cut:right], text[left:right]
             out += [ids[skip : len(ids) - len(self.plain(tail))], self.plain(joined)]
             begin, skip = cut, len(self.plain(head)) if head else 0
-        out.append(self.chunk(text[begin:])[skip:])
+        out.append(of(len(cuts), begin, len(text))[skip:])
         return np.concatenate(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -196,6 +198,92 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str
     return kept.withColumn(at, own).select(*kept.columns, *(F.col(f"{at}.{n}").alias(x) for n, x in zip(names, (ids, *more), strict=True)))
 
 
+def _chunk_hashes(data: np.ndarray, off: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Row, place, and a hash of 128 bits in two numbers of every chunk of a pass."""
+    import xxhash
+
+    raw = memoryview(data)
+    row, place, h1, h2 = [], [], [], []
+    for i, cuts in enumerate(find_cuts(data, off)):
+        base, size = int(off[i]), int(off[i + 1] - off[i])
+        edges = [0, *(c for _, c, _ in cuts), size]
+        for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            h = xxhash.xxh3_128_intdigest(raw[base + a : base + b])
+            row.append(i)
+            place.append(j)
+            h1.append((h & (1 << 64) - 1) - (1 << 63))
+            h2.append((h >> 64) - (1 << 63))
+    return row, place, h1, h2
+
+
+def encode_once(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None, decoded: str | None = None) -> DataFrame:
+    """As encode, but a chunk that several texts hold is encoded once for all of them, by the task that has its first text.
+
+    Only hashes of chunks are counted. The shared chunks' ids are a table, which is joined to the texts that hold them;
+    texts without a shared chunk are not shuffled. Texts are told apart by their content, so equal rows share a key.
+    """
+    tune(df.sparkSession)
+    path = vocabulary or default_vocabulary()
+    more = [decoded] if decoded else []
+    names = [c for c in df.columns if c not in (ids, *more)]
+    own = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.struct(*names).alias("r"), F.xxhash64(own).alias("k"), F.hash(own).alias("m"))
+    texts = rows.select("k", "m", F.coalesce(F.col(f"r.{text}"), F.lit("")).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in passes(batches, "text"):
+            row, place, h1, h2 = _chunk_hashes(data, off)
+            back = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(back), b.column(1).take(back), pa.array(place, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["k", "m", "i", "h1", "h2"])
+
+    chunks = scratch(texts.where("text <> ''").mapInArrow(cut, "k long, m int, i int, h1 long, h2 long"), "bpe-chunks")
+    shared = chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k", "m", "i")).alias("first")).where("n > 1")
+    shared = scratch(shared.select("h1", "h2", "first"), "bpe-shared")
+    uses = scratch(chunks.join(shared.select("h1", "h2"), ["h1", "h2"]).distinct(), "bpe-uses")
+    drop_scratch(chunks)
+    wanted = shared.select("first.k", "first.m", F.struct("first.i", "h1", "h2").alias("w")).groupBy("k", "m").agg(F.collect_list("w").alias("w"))
+    source = flagged(texts, shared.select("first.k"), "k").where("flag").drop("flag").join(wanted, ["k", "m"]).dropDuplicates(["k", "m"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b, data, off in passes(batches, "text"):
+            raw = data.tobytes()
+            h1, h2, found = [], [], []
+            for i, (cuts, want) in enumerate(zip(find_cuts(data, off), b.column(b.schema.get_field_index("w")).to_pylist(), strict=True)):
+                edges = [0, *(x for _, x, _ in cuts), int(off[i + 1] - off[i])]
+                for w in want:
+                    h1.append(w["h1"])
+                    h2.append(w["h2"])
+                    found.append(c.plain(raw[off[i] + edges[w["i"]] : off[i] + edges[w["i"] + 1]]).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(found, pa.binary())], names=["h1", "h2", "ids"])
+
+    table = scratch(source.select("text", "w").mapInArrow(fill, "h1 long, h2 long, ids binary"), "bpe-table")
+    given = uses.join(table, ["h1", "h2"]).groupBy("k", "m").agg(F.collect_list(F.struct("i", "ids")).alias("given"))
+    given = scratch(given, "bpe-given")
+    kinds = "struct<i:binary,d:string>" if decoded else "struct<i:binary>"
+
+    @F.arrow_udf(kinds)
+    def assemble(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        c = codec(path)
+        for col, known in batches:
+            out, back = [], []
+            for at, data, off in slices(col):
+                raw = data.tobytes()
+                have = known.slice(at, len(off) - 1).to_pylist()
+                for i, cuts in enumerate(find_cuts(data, off)):
+                    x = c.encode(raw[off[i] : off[i + 1]], cuts, {g["i"]: np.frombuffer(g["ids"], "<u4") for g in have[i] or []}).astype("<u4")
+                    out.append(x.tobytes())
+                    back.append(c.decode(x).decode("utf-8", "replace") if decoded else None)
+            yield pa.StructArray.from_arrays([pa.array(out, pa.binary()), *([pa.array(back, pa.string())] if decoded else [])], ["i", *(["d"] if decoded else [])])
+
+    marked = flagged(rows, given, "k")
+    some = marked.where("flag").join(given, ["k", "m"], "left").select("r", "given")
+    plain = marked.where("not flag").select("r", F.lit(None).cast("array<struct<i:int,ids:binary>>").alias("given"))
+    run = assemble.asNondeterministic()
+    both = [x.select("r", run(F.col(f"r.{text}"), F.col("given")).alias("e")) for x in (some, plain)]
+    return both[0].unionByName(both[1]).select("r.*", F.col("e.i").alias(ids), *([F.col("e.d").alias(decoded)] if decoded else []))
+
+
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """Adds the text of the ids; bytes that are no UTF-8 become U+FFFD."""
     path = vocabulary or default_vocabulary()
@@ -214,7 +302,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: s
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of a round trip over whole texts."""
-    return encode(docs.select("doc_id", "text"), vocabulary=vocabulary, decoded="decoded").select(
+    return encode_once(docs.select("doc_id", "text"), vocabulary=vocabulary, decoded="decoded").select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

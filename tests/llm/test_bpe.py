@@ -74,3 +74,21 @@ def test_every_script_has_safe_places(script):
     assert [i for p in parts for i in c.plain(p).tolist()] == want  # a token starts at every safe place
     cuts = bpe.find_cuts(data, np.array([0, len(raw)]), mask=63)
     assert len(cuts[0]) > 20 and c.encode(raw, cuts[0]).tolist() == want
+
+
+def test_shared_chunks_are_encoded_once(spark, monkeypatch):
+    t = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, copy = text(3000), text(2000)
+    texts = [text(300) + " " + passage + " " + text(300) for _ in range(8)] + [copy] * 4 + [text(1500), None, "", passage, "日本語。" * 3000, "x"]
+    df = spark.createDataFrame([(i, x, "z", 3) for i, x in enumerate(texts)] + [(0, texts[0], "z", 3)], "doc_id long, text string, ids string, k int").repartition(4)
+    got = bpe.encode_once(df.drop("ids").withColumn("flag", df.k), decoded="back").collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        want = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == want and r.back == (texts[r.doc_id] or "") and (r.k, r.flag) == (3, 3)
+    data = np.frombuffer(passage.encode(), np.uint8)
+    assert len(bpe.find_cuts(data, np.array([0, len(data)]))[0]) > 5
+    assert bpe.encode_once(df.drop("ids").limit(0)).count() == 0
