@@ -55,16 +55,29 @@ def join_relation_groups(spark: SparkSession, d: str) -> DataFrame:
     return kept.unionByName(lost.select("media_id", none.cast("string").alias("src"), none.cast("string").alias("dst"), c("dropped").alias("n"), none.cast("long").alias("strength")))
 
 
-@query()
+_NF = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9'' ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_FITTING = f"list_position(list_transform(f.cl, lambda k: {_JAC.format(_SH.format('k.p'), _SH.format(_NF.format('r.x')))} >= 0.8), true)"
+_ONE = "{'p': " + _NF.format("x") + ", 'ds': [x], 'w': w::BIGINT, 'n': 1::BIGINT, 'so': [seg::BIGINT]}"
+
+
+@query(f"""[raw_relation] WITH RECURSIVE {_GROUPS}, {_MAPPED}, r AS (SELECT media_id, s, t, description AS x, strength AS w, segment_index AS seg, row_number() OVER (PARTITION BY media_id, s, t ORDER BY segment_index, src, dst, description) AS i FROM mp WHERE s IS NOT NULL AND t IS NOT NULL),
+f AS (SELECT media_id, s, t, 1::BIGINT AS i, [{_ONE}] AS cl FROM r WHERE i = 1 UNION ALL SELECT media_id, s, t, i, CASE WHEN coalesce(at_, 0) = 0 THEN list_append(cl, {_ONE}) ELSE list_transform(cl, lambda k, j: CASE WHEN j = at_ THEN {{'p': k.p, 'ds': list_append(k.ds, x), 'w': greatest(k.w, w::BIGINT), 'n': k.n + 1, 'so': list_sort(list_distinct(list_append(k.so, seg::BIGINT)))}} ELSE k END) END FROM (SELECT r.*, f.cl, {_FITTING} AS at_ FROM f JOIN r ON r.media_id = f.media_id AND r.s = f.s AND r.t = f.t AND r.i = f.i + 1)),
+l AS (SELECT media_id, s, t, arg_max(cl, i) AS cl FROM f GROUP BY media_id, s, t) SELECT media_id, s AS src, t AS dst, array_to_string(k.ds, ' || ') AS descriptions, k.w AS strength, k.n AS n, array_to_string(k.so, ',') AS sources FROM (SELECT media_id, s, t, unnest(cl) AS k FROM l)""")
 def relation_premerge(spark: SparkSession, d: str) -> DataFrame:
     """Relations of an item between groups, equal ends clustered by the likeness of their descriptions."""
     groups, _ = _groups(spark, d)
     kept, _ = R.map_relations(raw_relation(spark, d), groups)
     rows = kept.select("media_id", c("s").alias("src"), c("t").alias("dst"), F.struct("segment_index", "src", "dst", "description").alias("pos"), "description", "strength", "segment_index")
-    return R.cluster_relations(rows, ["media_id", "src", "dst"])
+    out = R.cluster_relations(rows, ["media_id", "src", "dst"])
+    return out.withColumn("descriptions", F.array_join("descriptions", " || ")).withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
 
 
-@query()
+_FITS = f"list_position(list_transform(cl, lambda k: {_JAC.format(_SH.format('k.p'), _SH.format('x'))} >= 0.8), true)"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT p_brand AS src, p_type AS dst, p_name AS x, 1 + p_size % 10 AS w, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS i FROM part),
+f AS (SELECT src, dst, 1::BIGINT AS i, [{{'p': x, 'w': w::BIGINT, 'n': 1::BIGINT}}] AS cl FROM r WHERE i = 1 UNION ALL SELECT src, dst, i, CASE WHEN coalesce(at_, 0) = 0 THEN list_append(cl, {{'p': x, 'w': w::BIGINT, 'n': 1::BIGINT}}) ELSE list_transform(cl, lambda k, j: CASE WHEN j = at_ THEN {{'p': k.p, 'w': greatest(k.w, w::BIGINT), 'n': k.n + 1}} ELSE k END) END FROM (SELECT r.*, f.cl, {_FITS.replace('cl,', 'f.cl,', 1)} AS at_ FROM f JOIN r ON r.src = f.src AND r.dst = f.dst AND r.i = f.i + 1)),
+l AS (SELECT src, dst, arg_max(cl, i) AS cl FROM f GROUP BY src, dst) SELECT src, dst, k.w AS strength, k.n AS n FROM (SELECT src, dst, unnest(cl) AS k FROM l)""")
 def relation_cluster_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Greedy clusters within a pair of ends by the likeness of descriptions."""
     rows = t(spark, d, "part").select(c("p_brand").alias("src"), c("p_type").alias("dst"), c("p_partkey").alias("pos"), c("p_name").alias("description"), (1 + c("p_size") % 10).alias("strength"), c("p_size").alias("segment_index"))
@@ -151,7 +164,9 @@ def entity_payload(spark: SparkSession, d: str) -> DataFrame:
     return x.select("group_id", "name", F.coalesce("old", F.array_join("ds", "\n")).alias("description"), F.array_join(queued, "\n").alias("queued"))
 
 
-@query()
+@query(f"""[vec] WITH RECURSIVE b AS (SELECT p_brand, p_name AS x, v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part JOIN vec ON vec_id = {_NV.format('p_name')}), s AS (SELECT DISTINCT p_brand, v AS stored FROM part JOIN vec ON vec_id = {_NV.format('p_brand')}),
+f AS (SELECT p_brand, stored, 0::BIGINT AS i, '' AS d, 0 AS added FROM s UNION ALL SELECT p_brand, stored, i, CASE WHEN skip THEN d WHEN d = '' THEN x ELSE d || chr(10) || x END, added + (NOT skip)::INT FROM (SELECT f.p_brand, f.stored, b.i, f.d, f.added, b.x, contains(f.d, b.x) OR list_cosine_similarity(b.v, f.stored) >= 0.88 AS skip FROM f JOIN b ON b.p_brand = f.p_brand AND b.i = f.i + 1)),
+l AS (SELECT p_brand, arg_max(ROW(d, added), i) AS z FROM f GROUP BY p_brand) SELECT p_brand, CASE WHEN length(z[1]) > 800 THEN left(z[1], 400) ELSE z[1] END AS description, z[2] AS added FROM l""")
 def description_gate(spark: SparkSession, d: str) -> DataFrame:
     """Descriptions appended to each brand's, but for those it holds already in words or by vector."""
     rows = _vector(spark, d, t(spark, d, "part").select("p_brand", "p_partkey", c("p_name").alias("name")))

@@ -151,9 +151,18 @@ def fixed_grid_plan(spark: SparkSession, d: str) -> DataFrame:
     return G.fixed_grid(media(spark, d))
 
 
-@query()
+_NEAR = "list_min(list_transform(list_filter(sil, lambda q: q > {0} AND q {1}), lambda q: {{'k': abs(q - {2}), 's': q}})).s"
+
+
+@query(f"""[media] WITH RECURSIVE md AS (SELECT media_id, duration_ms AS d, list_transform(range(1, 13), lambda i: (media_id * 7919 + i * i * 104729) % (duration_ms + 1)) AS sil FROM media),
+w AS (SELECT media_id, d, sil, 0 AS n, 0::BIGINT AS place, false AS hard FROM md UNION ALL SELECT media_id, d, sil, n + 1, coalesce(near, least(place + 60000, far)), near IS NULL FROM (SELECT *, {_NEAR.format('place + 30000', '<= far', 'place - 60000')} AS near FROM (SELECT *, least(place + 90000, d) AS far FROM w WHERE place + 30000 < d))),
+z AS (SELECT *, max(n) OVER (PARTITION BY media_id) AS last FROM w), ed AS (SELECT media_id, d, sil, n, place, hard FROM z WHERE NOT (n = last AND n > 0 AND d - place < 30000) UNION ALL SELECT media_id, d, sil, n + 1, d, false FROM z WHERE n = last),
+pc AS (SELECT media_id, d, sil, place AS a, hard AS x, lead(place) OVER o AS b, lead(hard) OVER o AS y FROM ed WINDOW o AS (PARTITION BY media_id ORDER BY n)), sp AS (SELECT *, a + (b - a) // 2 AS mid, {_NEAR.format('a + 30000', '< b - 30000', '(a + (b - a) // 2)')} AS near FROM pc WHERE b IS NOT NULL),
+ct AS (SELECT media_id, d, a, x, b, y FROM sp WHERE b - a <= 90000 UNION ALL SELECT media_id, d, a, x, coalesce(near, greatest(a + 30000, least(mid, b - 30000))), near IS NULL FROM sp WHERE b - a > 90000 UNION ALL SELECT media_id, d, coalesce(near, greatest(a + 30000, least(mid, b - 30000))), near IS NULL, b, y FROM sp WHERE b - a > 90000)
+SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY a) - 1)::INT AS segment_index, a AS start_ms, b AS end_ms, x AS left_cut, y AS right_cut, CASE WHEN x THEN greatest(0, a - 8000) ELSE a END AS audio_start_ms, CASE WHEN y THEN least(d, b + 8000) ELSE b END AS audio_end_ms FROM ct""")
 def plan_segments(spark: SparkSession, d: str) -> DataFrame:
-    m = media(spark, d).select("media_id", "duration_ms", F.expr("transform(sequence(1, 12), i -> pmod(xxhash64(media_id, i), duration_ms + 1))").alias("silences"))
+    """Segments of each item cut at silences, which stand at places made of its id."""
+    m = media(spark, d).select("media_id", "duration_ms", F.expr("transform(sequence(1L, 12L), i -> (media_id * 7919 + i * i * 104729) % (duration_ms + 1))").alias("silences"))
     return G.plan_segments(m)
 
 
