@@ -10,8 +10,8 @@ The lexicon labellers hold a short fixed list, and words and word beginnings tha
 and others don't. Documents that share their least shingle hash, copies for the most part, count once there and
 in the scorer's sample, or the rare words of a copied text would pass for signs.
 
-Bounds: LABELLED labelled rows for the lexicons, whose words bound the lexicons in turn, and SCORED documents to train
-the scorer (by one task), both chosen by a hash of the id; votes, pattern counts and verdicts cover all documents.
+Bounds: LABELLED labelled rows for the lexicons, whose words bound the lexicons in turn, and SCORED documents or
+SCORED_BYTES of them to train the scorer (by one task), both chosen by a hash of the id; votes, pattern counts and verdicts cover all documents.
 
 Edge cases: a null or empty text has no words, gets no vote but good ones, and is kept; without labels there are
 no learned lexicons; without documents nothing is trained; repeated rows stay.
@@ -34,6 +34,8 @@ from cinegraph.llm.neardup import shingle_sets
 from cinegraph.llm.quality import SYMBOL, measure
 
 LABELLED, SCORED = 20_000, 20_000
+#: Bytes of text of the documents that train the scorer.
+SCORED_BYTES = 200 << 20
 BITS = 18
 BEGINNING = 5
 STEM = 4
@@ -211,9 +213,11 @@ def train(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     return w
 
 
-def _share(df: DataFrame, column: str, n: int) -> DataFrame:
-    """About n of the rows, by a hash of the id."""
-    total = df.count()
+def _share(df: DataFrame, column: str, n: int, text: str | None = None) -> DataFrame:
+    """About n of the rows, fewer where they hold more than SCORED_BYTES of text, by a hash of the id."""
+    total, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)).first()
+    if size:
+        n = max(1, min(n, int(SCORED_BYTES * total / size)))
     if total <= n:
         return df
     return df.where(F.pmod(F.xxhash64(column, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * n / total))
@@ -311,7 +315,7 @@ def _fit(docs: DataFrame, lexicons, models: list[dict[int, float]]) -> list[byte
             post = [np.array([m[c] for c in codes(v).tolist()], float) for m, v in zip(models, votes(x, lexicons.value), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), lists(index.astype(np.int32), np.bincount(row, minlength=b.num_rows), pa.int32()), *(pa.array(p) for p in post)], names=["doc_id", "index", "junk", "toxic"])
 
-    sample = _unlike(_share(docs.select("text", "doc_id"), "doc_id", SCORED)).select("doc_id", "text").mapInArrow(rows, "doc_id long, index array<int>, junk double, toxic double")
+    sample = _unlike(_share(docs.select("text", "doc_id"), "doc_id", SCORED, "text")).select("doc_id", "text").mapInArrow(rows, "doc_id long, index array<int>, junk double, toxic double")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "junk", "toxic"])
