@@ -154,6 +154,7 @@ def cascade(mentions: DataFrame, group: str, judge_one: Callable[[str, list[str]
     def run(part: pd.DataFrame) -> pd.DataFrame:
         target: dict[str, str] = {}
         names: list[str] = []
+        placed: list[str] = []  # names with a vector
         vectors: list[np.ndarray] = []
         out = []
         for r in part.sort_values("pos").itertuples(index=False):
@@ -169,13 +170,15 @@ def cascade(mentions: DataFrame, group: str, judge_one: Callable[[str, list[str]
                 v = np.asarray(r.vector, float)
                 score = m @ v / np.maximum(np.linalg.norm(m, axis=1) * np.linalg.norm(v), 1e-300)
                 order = [i for i in np.argsort(-score, kind="stable")[:5] if score[i] > 0.5]
-                pick = decide(norm, [names[i] for i in order]) if order else -1
+                pick = decide(norm, [placed[i] for i in order]) if order else -1
                 if 0 <= pick < len(order):
-                    target[norm], via = names[order[pick]], "judged"
+                    target[norm], via = placed[order[pick]], "judged"
             if not via:
                 target[norm], via = norm, "create"
                 names.append(norm)
-                vectors.append(np.asarray(r.vector, float) if r.vector is not None else np.zeros(1))
+                if r.vector is not None:
+                    placed.append(norm)
+                    vectors.append(np.asarray(r.vector, float))
             out.append((getattr(r, group), r.pos, norm, target[norm], via))
         return pd.DataFrame(out, columns=[group, "pos", "name", "target", "via"])
 

@@ -62,7 +62,10 @@ def rerank(candidates: DataFrame, text: str, k: int, model: Reranker | None = No
     names = [c for c in candidates.columns if c != "rank"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("rank", ignore_index=True)
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True).sort_values("rank", ignore_index=True)
         try:
             scores = [float(x) for x in model(rows[text].fillna("").tolist())]
             if len(scores) == len(rows):
@@ -97,7 +100,7 @@ def map_reduce(rows: DataFrame, mapper: Mapper, least: int = MIN_POINTS, most: i
                         points = item.get("points") or []
                     except (TypeError, ValueError, AttributeError):
                         continue
-                    for n, p in enumerate(points if 0 <= place < len(own) else []):
+                    for n, p in enumerate(points if 0 <= place < len(own) and isinstance(points, list) else []):
                         try:
                             score, text = int(p.get("score", 0)), str(p.get("text", "")).strip()
                         except (TypeError, ValueError, AttributeError):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinegraph.functions import text as X
-from cinegraph.operators import communities, folds, intervals, resolution, retrieval, segments, similarity, store, tasks
+from cinegraph.operators import communities, evidence, folds, intervals, resolution, retrieval, search, segments, similarity, store, tasks
 from cinegraph.operators.components import components
 from cinegraph.streaming import sessions
 
@@ -162,10 +162,10 @@ def test_near_and_contained_pairs_equal_all_pairs(spark):
 
 
 def test_cascade(spark):
-    rows = [("g", 0, "Red Gear", [1.0, 0.0]), ("g", 1, "red  gear", [1.0, 0.0]), ("g", 2, "red gears", [0.0, 1.0]), ("g", 3, "crimson cog", [0.9, 0.1]), ("g", 4, "ab", None), ("g", 5, "ab", None), ("h", 0, "red gear", [1.0, 0.0])]
+    rows = [("g", 0, "Red Gear", [1.0, 0.0]), ("g", 1, "red  gear", [1.0, 0.0]), ("g", 2, "red gears", [0.0, 1.0]), ("g", 3, "crimson cog", [0.9, 0.1]), ("g", 4, "ab", None), ("g", 5, "ab", None), ("g", 6, "some other name", [-1.0, 0.0]), ("h", 0, "red gear", [1.0, 0.0])]
     df = spark.createDataFrame(rows, "group_id string, pos long, name string, vector array<double>")
     got = {(r.group_id, r.pos): (r.target, r.via) for r in resolution.cascade(df, "group_id", lambda n, names: 0).collect()}
-    assert got == {("g", 0): ("red gear", "create"), ("g", 1): ("red gear", "exact"), ("g", 2): ("red gear", "similar"), ("g", 3): ("red gear", "judged"), ("g", 4): ("ab", "create"), ("g", 5): ("ab", "exact"), ("h", 0): ("red gear", "create")}
+    assert got == {("g", 0): ("red gear", "create"), ("g", 1): ("red gear", "exact"), ("g", 2): ("red gear", "similar"), ("g", 3): ("red gear", "judged"), ("g", 4): ("ab", "create"), ("g", 5): ("ab", "exact"), ("g", 6): ("some other name", "create"), ("h", 0): ("red gear", "create")}
 
 
 def test_description_gate(spark):
@@ -272,3 +272,42 @@ def test_pictures():
         assert images.dhash(bad) is None
     odd = images.shrink(np.arange(35.0).reshape(5, 7), 2, 3)
     assert odd.shape == (2, 3) and abs(odd.mean() - 17) < 1e-9
+
+
+def test_rerank_and_points(spark):
+    rows = spark.createDataFrame([("a", "red bolt", 0), ("b", "red gear", 1), ("c", None, 2)], "k string, x string, rank int")
+    order = lambda df: [r.k for r in df.orderBy("rank").collect()]
+    assert order(search.rerank(rows, "x", 2)) == ["a", "b"]
+    assert order(search.rerank(rows, "x", 2, search.overlap(["red", "gear"]))) == ["b", "a"]
+    assert order(search.rerank(rows, "x", 3, lambda texts: [1.0])) == ["a", "b", "c"]  # too few scores
+    assert search.rerank(rows.limit(0), "x", 3, search.overlap(["red"])).count() == 0
+    com = spark.createDataFrame([(f"c{i}", ["x"], i) for i in range(7)], "community string, findings array<string>, rank int")
+    calls = lambda rows: "[]" if len(rows) == 5 else '[{"community": 1, "points": [{"text": "t", "score": 80}, {"text": "u", "score": 40}]}, 3, {"community": 0, "points": 4}]'
+    assert [tuple(r) for r in search.map_reduce(com, calls).select("community", "text", "score").collect()] == [("c6", "t", 80)]
+    assert search.map_reduce(com, lambda rows: "no json").count() == 0
+
+
+def test_assigned_communities(spark):
+    names = [("g", n) for n in "abcdef"]
+    e = spark.createDataFrame(names, "group_id string, name string")
+    given = spark.createDataFrame([("g", "a", 1), ("g", "b", 1)], "group_id string, name string, community int")
+    edges = spark.createDataFrame([("g", "a", "c"), ("g", "b", "c"), ("g", "c", "d"), ("g", "a", "d")], "group_id string, src string, dst string")
+    vectors = spark.createDataFrame([("g", "e", [1.0, 0.0]), ("g", "f", [-1.0, 0.0])], "group_id string, name string, vector array<double>")
+    centres = spark.createDataFrame([("g", 1, [1.0, 0.1])], "group_id string, community int, centre array<double>")
+    got = {r.name: (r.community, r.via) for r in communities.assign(e, given, edges, vectors, centres).collect()}
+    assert got == {"a": (1, "given"), "b": (1, "given"), "c": (1, "vote1"), "d": (1, "vote2"), "e": (1, "judged"), "f": (-1, "single")}
+
+
+def test_claims_and_sections(spark):
+    seg = spark.createDataFrame([(1, 0, 60_000, "We say: Hello, World!", ["SCREEN one"]), (1, 60_000, 120_000, "other", [])], "media_id int, start_ms long, end_ms long, transcript string, ocr_texts array<string>")
+    ev = spark.createDataFrame(
+        [("a", 1, 59_999, "asr", "claim A", "hello world"), ("b", 1, 60_000, "ASR", "claim A", "hello"), ("c", 1, 5, "OCR", "claim B", "screen ONE"), ("d", 1, 5, "ASR+OCR", "x", "World! screen"), ("e", 1, 5, "NOTE", "x", "hello"), ("f", 1, 5, "ASR", "x", " ?! ")],
+        "evidence_id string, media_id int, ts long, source string, claim string, content string",
+    )
+    judged = evidence.supported(ev, seg)
+    assert {r.evidence_id for r in judged.where("supported").collect()} == {"a", "c", "d"}
+    claims = spark.createDataFrame([(1, "Claim a."), (1, "claim c"), (1, "--")], "media_id int, claim string")
+    assert {r.claim: r.supported for r in evidence.supports_claims(claims, judged).collect()} == {"Claim a.": True, "claim c": False, "--": False}
+    assert tuple(evidence.critique(claims, judged).first()) == (1, 3, 2, "5,60000", False)
+    row = spark.createDataFrame([("REVIEW", ["omissions"])], "mode string, have array<string>").select(evidence.missing_sections(F.col("mode"), F.col("have")).alias("m")).first()
+    assert row.m == ["fallacies", "exaggerations", "doubtful"]
