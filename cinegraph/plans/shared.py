@@ -24,10 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back."""
+#: Rows of a file of a small scratch table.
+ROWS_IN_FILE = 100_000
+
+
+def scratch(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back.
+
+    rows: a bound of its rows, where one is known. A small table that comes out of a shuffle is then written by as
+    few tasks as its rows ask for, not by one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        files = -(-rows // ROWS_IN_FILE) or 1
+        if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
