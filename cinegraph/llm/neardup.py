@@ -93,9 +93,9 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
-def _long_lists(postings: DataFrame, key: str) -> DataFrame:
-    """postings with the length of their list, for lists of two or more."""
-    counts = scratch(postings.groupBy(key).agg(F.count("*").alias("len")).where("len > 1"), "nd-counts")
+def _long_lists(postings: DataFrame, key: str, rows: int) -> DataFrame:
+    """postings (at most `rows`) with the length of their list, for lists of two or more."""
+    counts = scratch(postings.groupBy(key).agg(F.count("*").alias("len")).where("len > 1"), "nd-counts", rows)
     return postings.join(counts, key)
 
 
@@ -107,15 +107,17 @@ def _pairs(postings: DataFrame, key: str) -> DataFrame:
     return left.join(right, key).where(fits).select("a", "b")
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
+def _candidates(sets: DataFrame, n_sets: int) -> DataFrame:
     """a, b: pairs that may be near duplicates, and stars over long lists of key pairs."""
     postings = sets.select("rep", "n", F.explode("keys").alias("key"))
-    lists = scratch(_long_lists(postings, "key"), "nd-lists")
+    lists = scratch(_long_lists(postings, "key", KEYS * n_sets), "nd-lists", KEYS * n_sets)
     short = _pairs(lists.where(F.col("len") <= SHORT), "key").groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
 
     hot = lists.where(F.col("len") > SHORT).groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("key")).alias("k"))
+    hot = scratch(hot, "nd-hot", n_sets)
     two = F.expr(f"flatten(transform(k, (x, i) -> transform(filter(slice(k, i + 2, size(k)), y -> pmod(y, {KEY_CLASSES}) = pmod(x, {KEY_CLASSES})), y -> xxhash64(x, y))))")
-    second = scratch(_long_lists(hot.select("rep", "n", F.explode(two).alias("key")), "key"), "nd-lists")
+    n_hot = KEYS * (KEYS - 1) // 2 * hot.count()
+    second = scratch(_long_lists(hot.select("rep", "n", F.explode(two).alias("key")), "key", n_hot), "nd-lists", n_hot)
     pairs = short.unionByName(_pairs(second.where(F.col("len") <= SHORT), "key")).distinct()
 
     sketch = sets.select("rep", "sketch")
@@ -128,7 +130,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
 
     long = second.where(F.col("len") > SHORT)
     star = long.groupBy("key").agg(F.min("rep").alias("b"))
-    star = long.select("key", F.col("rep").alias("a")).join(scratch(star, "nd-stars"), "key").select("a", "b")
+    star = long.select("key", F.col("rep").alias("a")).join(scratch(star, "nd-stars", n_hot), "key").select("a", "b")
     return pairs.unionByName(star).where("a <> b")
 
 
@@ -191,13 +193,13 @@ def verify(ids: list[int], sets: list[np.ndarray], first: list[bool], within: bo
     return links.star()
 
 
-def _odd(feats: DataFrame) -> DataFrame | None:
+def _odd(feats: DataFrame, rows: int) -> DataFrame | None:
     """The ids that do not tell rows apart (null, if there is one, among them), or None."""
-    odd = scratch(feats.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "nd-odd")
+    odd = scratch(feats.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "nd-odd", rows)
     return None if odd.isEmpty() else odd
 
 
-def _links(docs: DataFrame, clusters: DataFrame, shingle: int, odd: DataFrame | None) -> DataFrame:
+def _links(docs: DataFrame, clusters: DataFrame, shingle: int, odd: DataFrame | None, n_sets: int) -> DataFrame:
     """a, b: verified links that connect what is linked in each cluster."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,7 @@ def _links(docs: DataFrame, clusters: DataFrame, shingle: int, odd: DataFrame |
     if odd is not None:
         marked = scratch(flagged(own, odd, "doc_id"), "nd-sets")
         own = marked.where("not flag").drop("flag").unionByName(marked.where("flag").groupBy(*key).agg(F.first("set").alias("set")))
-    total = scratch(clusters.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("int").alias("nb")), "nd-blocks")
+    total = scratch(clusters.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("int").alias("nb")), "nd-blocks", n_sets)
     placed = clusters.join(total, "cluster").select("rep", *[F.col(c).alias(f"c_{c}") for c in key], "cluster", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("block"))
     same = (own.f1 == placed.c_f1) & (own.f2 == placed.c_f2) & own.doc_id.eqNullSafe(placed.c_doc_id)
     rows = own.join(placed, same)
@@ -254,17 +256,19 @@ def _judged(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame | None]
     """row, doc_id, n_shingles, f1, f2, component_id and one (the component's single row that stays) of every row; odd ids."""
     tune(docs.sparkSession)
     feats = scratch(_features(docs, shingle), "nd-features")
-    odd = _odd(feats)
+    n_rows = feats.count()
+    odd = _odd(feats, n_rows)
     some = feats.where("n_shingles > 0")
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = some.groupBy("f1", "f2").agg(F.min(best).alias("best"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     sets = scratch(classes.select(F.col("best.row").alias("rep"), F.col("best.doc_id").alias("doc_id"), "*"), "nd-classes")
-    groups = components(_candidates(sets))
-    clusters = scratch(groups.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sets.select("rep", "doc_id", "f1", "f2", "n"), "rep"), "nd-clusters")
-    found = components(_links(docs, clusters, shingle, odd)).withColumnRenamed("node", "rep")
-    label = scratch(sets.select("f1", "f2", "rep", "best").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "nd-components")
+    n_sets = sets.count()
+    groups = components(_candidates(sets, n_sets))
+    clusters = scratch(groups.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sets.select("rep", "doc_id", "f1", "f2", "n"), "rep"), "nd-clusters", n_sets)
+    found = components(_links(docs, clusters, shingle, odd, n_sets)).withColumnRenamed("node", "rep")
+    label = scratch(sets.select("f1", "f2", "rep", "best").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "nd-components", n_sets)
     least = label.groupBy("component").agg(F.min("best").alias("of"))
-    label = scratch(label.join(least, "component").select("f1", "f2", F.col("of.doc_id").alias("component_id"), F.col("of.row").alias("stays")), "nd-labels")
+    label = scratch(label.join(least, "component").select("f1", "f2", F.col("of.doc_id").alias("component_id"), F.col("of.row").alias("stays")), "nd-labels", n_sets)
     drop_scratch(sets)
     out = some.select("row", "doc_id", "n_shingles", "f1", "f2").join(label, ["f1", "f2"])
     out = out.select("row", "doc_id", "n_shingles", "f1", "f2", "component_id", (F.col("row") == F.col("stays")).alias("one"))

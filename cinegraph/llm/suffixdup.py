@@ -266,20 +266,21 @@ def spans(docs: DataFrame, length: int = L, gram: int = GRAM) -> DataFrame:
     rows = docs.select("k", "h", "text").where(F.octet_length("text") >= length)
     found = scratch(rows.mapInArrow(find, "k long, h long, start int, size int, ah long, ph long, multi boolean"), "sa-anchors")
     groups = found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ph").alias("p"), F.max("ph").alias("q"), F.max("multi").alias("multi"))
-    groups = scratch(groups.where("n > 1 or multi").select("ah", F.expr("n = 1 or p <> q").alias("mixed")), "sa-groups")
+    groups = scratch(groups.where("n > 1 or multi").select("ah", F.expr("n = 1 or p <> q").alias("mixed")), "sa-groups", found.count())
     hits = scratch(found.drop("multi").join(groups, "ah"), "sa-hits")
     drop_scratch(found, groups)
+    n = hits.count()
     whole = hits.where("not mixed").select("k", "h", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("size")).cast("long").alias("e"))
 
     mixed = hits.where("mixed")
     kinds = mixed.groupBy("ah", "ph").agg(F.count("*").alias("m"), F.min(F.struct("k", "h", "start", "size")).alias("x"))
-    kinds = scratch(kinds.select("ah", "ph", "m", "x.*"), "sa-kinds")
+    kinds = scratch(kinds.select("ah", "ph", "m", "x.*"), "sa-kinds", n)
     wanted = kinds.groupBy("k", "h").agg(F.collect_list(F.struct("ah", "ph", "start", "size")).alias("own"))
     texts = flagged(docs.select("k", "h", "text"), kinds, "h").where("flag").select("k", "h", F.encode("text", "UTF-8").alias("text"))
     cut = texts.join(wanted, ["k", "h"]).dropDuplicates(["k", "h"]).select("text", F.explode("own").alias("w"))
     pieces = scratch(cut.select("w.ah", "w.ph", F.expr("substring(text, w.start + 1, w.size)").alias("piece")), "sa-pieces")
     many = kinds.groupBy("ah").agg(F.count("*").alias("n"), F.sum("size").alias("b")).where((F.col("n") > MOST_PIECES) | ((F.col("n") > 1) & (F.col("b") > MOST_BYTES)))
-    many = scratch(many.select("ah"), "sa-many")
+    many = scratch(many.select("ah"), "sa-many", n // MOST_PIECES)
     parts = _expand(pieces.join(many, "ah", "left_anti"), length)
     if not many.isEmpty():
         parts = parts.unionByName(_windows(pieces.join(many, "ah", "left_semi"), length))
@@ -289,7 +290,7 @@ def spans(docs: DataFrame, length: int = L, gram: int = GRAM) -> DataFrame:
     ranges = scratch(ranges.join(twice.select("ah", "ph"), ["ah", "ph"], "left_anti").unionByName(twice), "sa-ranges")
     partly = mixed.select("k", "h", "start", "ah", "ph").join(ranges, ["ah", "ph"]).select("k", "h", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
     out = whole.unionByName(partly).groupBy("k", "h").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-    out = scratch(out, "sa-spans")
+    out = scratch(out, "sa-spans", n)
     drop_scratch(hits, kinds, pieces, parts, ranges)
     return out
 
