@@ -31,8 +31,6 @@ MAX_RETRY, MAX_QUEUE = 2, 10
 NO_EXECUTOR_MS, HEARTBEAT_MS, BACKOFF_MS = 300_000, 1_800_000, 15_000
 ANALYZE_SLOTS, COMMIT_SLOTS = 3, 2
 
-STATE = "struct<state:string,analyze_attempt:int,analyze_retry:int,commit_attempt:int,commit_retry:int,rejected:int>"
-
 
 def step(now: tuple[str | None, int, int, int, int, int], action: str) -> tuple[str | None, int, int, int, int, int]:
     """The fold in Python: state, both attempts (fencing, every dispatch) and retries (budget, failures only), rejected."""

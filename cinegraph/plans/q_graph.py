@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from cinegraph.operators import communities as C
 from cinegraph.operators import resolution as R
-from cinegraph.operators import retrieval as T
 from cinegraph.operators import store as S
-from cinegraph.operators.components import components
-from cinegraph.operators.traversal import k_hop, one_hop
 from cinegraph.plans.catalog import entity, entity_id, mention, mentioned, query, relation, t
 
 c = F.col

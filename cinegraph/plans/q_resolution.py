@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegraph.functions import text as X
-from cinegraph.functions.vector import cosine_raw, cosine_unit
 from cinegraph.operators import resolution as R
-from cinegraph.operators import retrieval as T
 from cinegraph.plans.catalog import entity, query, raw_relation, t, variant, vec
 
 c = F.col
