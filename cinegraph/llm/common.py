@@ -176,10 +176,6 @@ def window_hash(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def with_schema(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the count of each row."""
     off = np.zeros(len(counts) + 1, np.int32)
