@@ -261,7 +261,7 @@ def _judged(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame | None]
     some = feats.where("n_shingles > 0")
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = some.groupBy("f1", "f2").agg(F.min(best).alias("best"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    sets = scratch(classes.select(F.col("best.row").alias("rep"), F.col("best.doc_id").alias("doc_id"), "*"), "nd-classes")
+    sets = scratch(classes.select(F.col("best.row").alias("rep"), F.col("best.doc_id").alias("doc_id"), "*"), "nd-classes", n_rows)
     n_sets = sets.count()
     groups = components(_candidates(sets, n_sets))
     clusters = scratch(groups.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sets.select("rep", "doc_id", "f1", "f2", "n"), "rep"), "nd-clusters", n_sets)
