@@ -12,6 +12,7 @@ from cinegraph.operators.folds import budget_pack as pack
 from cinegraph.operators.intervals import points_in_intervals
 from cinegraph.operators.traversal import k_hop
 from cinegraph.plans.catalog import entity, evidence, media, mention, moment, query, relation, segment, vec
+from cinegraph.plans.shared import scratch
 
 c = F.col
 WORDS, NAMES = ["the", "and", "thing"], ["red", "gear"]
@@ -118,15 +119,15 @@ SELECT 'entity' AS kind, rank, x AS text FROM ent UNION ALL SELECT 'edge', rank
 SELECT 'citation', 0, 'media_' || media_id || '_segment_' || segment_index FROM (SELECT DISTINCT media_id, segment_index FROM mention WHERE group_id = 'user_1' AND name IN (SELECT name FROM ent))""")
 def local_search(spark: SparkSession, d: str) -> DataFrame:
     """Entities by three lists and the graph around their best, relations by two lists, as contexts with citations."""
-    e = entity(spark, d).where("group_id = 'user_1'").withColumn("x", F.concat_ws(" ", "name", "description"))
+    e = scratch(entity(spark, d).where("group_id = 'user_1'").withColumn("x", F.concat_ws(" ", "name", "description")), "search-entities")
     q = _q(spark, d)
     lists = [
         H.vector_list(_with(spark, d, e, _name_at(0)), "name", "vector", q, H.NAME_AT, 10),
         H.vector_list(_with(spark, d, e, _name_at(17)), "name", "vector", q, H.DESCRIPTION_AT, 10),
         H.text_list(e, "name", "x", NAMES, 10),
     ]
-    r = relation(spark, d).where("group_id = 'user_1'")
-    near = k_hop(r, H.fuse(lists, "name", 3).select("name"), 2).withColumn("score", 1 / F.greatest("distance", F.lit(1)))
+    r = scratch(relation(spark, d).where("group_id = 'user_1'"), "search-relations")  # read by every list below
+    near = k_hop(r, scratch(H.fuse(lists, "name", 3).select("name"), "search-seeds", 3), 2).withColumn("score", 1 / F.greatest("distance", F.lit(1)))
     lists.append(H.ranked(H.top(near, 10, "score", "name"), [F.desc("score"), "name"]))
     cand = e.join(H.fuse(lists, "name", 10), "name").select("name", F.concat("name", F.lit(" ("), "type", F.lit("): "), "description").alias("x"), "rank")
     best = H.rerank(cand, "x", 5, H.overlap(NAMES)).select("name", "x", c("rank").cast("long").alias("rank"))
