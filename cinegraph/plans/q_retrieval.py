@@ -224,7 +224,8 @@ def dhash(spark: SparkSession, d: str) -> DataFrame:
     """Difference hashes of pictures (PGM files made of vectors, twice as large as the hash; some can't be read)."""
     from cinegraph.operators.images import hashes
 
-    px = F.expr("transform(sequence(0, 71), i -> least(255, greatest(0, floor((embedding[i % 64] + 1) * 100))))")
+    # in single precision, as the vectors are: whole numbers would make it double, which rounds some points down
+    px = F.expr("transform(sequence(0, 71), i -> least(255, greatest(0, floor((embedding[i % 64] + float(1)) * float(100)))))")
     hex2 = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
     e = t(spark, d, "embeddings").select("vec_id", px.alias("px"))
     row = lambda r: F.array_join(F.transform(F.slice("px", r * 9 + 1, 9), lambda x: F.concat(hex2(x), hex2(x))), "")

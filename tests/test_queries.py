@@ -45,3 +45,12 @@ def test_matches_sql(spark, con, name):
 def test_runs_and_is_stable(spark, name):
     df = QUERIES[name](spark, D)
     assert rows(df.toPandas()) == rows(QUERIES[name](spark, D).toPandas())
+
+
+def test_dhash_counts_in_single_precision(spark, tmp_path):
+    # (0.55999994 + 1) * 100 is 156 in single precision, and just below it in double
+    e = pd.DataFrame({"vec_id": [0, 1], "embedding": [np.array([0.55999994, 0.555] * 32, "float32"), np.zeros(64, "float32")]})
+    e.to_parquet(tmp_path / "embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as from '{tmp_path}/embeddings.parquet'")
+    assert rows(QUERIES["dhash"](spark, str(tmp_path)).toPandas()) == rows(c.execute(SQL["dhash"]).fetchdf())
