@@ -108,3 +108,23 @@ def test_no_link_of_the_documents_is_lost(spark):
         a, b = find(i), find(j)
         root[max(a, b)] = min(a, b)
     assert label == {i: find(i) for i in sets}
+
+
+def test_a_common_passage_makes_no_large_cluster(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, base = text(60), text(80)
+    docs = [(i, f"{text(20)} {passage} {text(10)}") for i in range(200)]
+    docs += [(200 + i, f"{docs[i][1]} more") for i in range(20)] + [(300 + i, f"{base} {i} {passage}") for i in range(10)]
+    shipped = []
+    links = neardup._links
+
+    def seen(docs, clusters, *args):
+        shipped.extend(r.n for r in clusters.groupBy("cluster").agg({"n": "sum"}).toDF("cluster", "n").collect())
+        return links(docs, clusters, *args)
+
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 8192)
+    monkeypatch.setattr(neardup, "_links", seen)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert max(shipped) * 8 < 3 * 8192  # was one cluster of all 230
