@@ -6,9 +6,10 @@ a score of 0.9, a summariser keeps the first characters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,37 +87,62 @@ def map_relations(relations: DataFrame, groups: DataFrame, key: str = "media_id"
     return r.where(~lost), r.where(lost).groupBy(key).agg(F.count("*").alias("dropped"))
 
 
+def _shingles(x: str) -> frozenset[str]:
+    return frozenset(x[i : i + 3] for i in range(len(x) - 2)) if len(x) != 1 else frozenset((x,))
+
+
+def _leaders(texts: list[str], at: float) -> list[int]:
+    """The cluster of each text in order: the first whose first member is at least as like it, else a new one."""
+    place: dict[str, int] = {}  # a text again falls where it fell first: the clusters before have not changed
+    sizes: list[int] = []
+    lists: dict[str, list[int]] = {}
+    empty = -1
+    for x in texts:
+        if x in place:
+            continue
+        s = _shingles(x)
+        common: dict[int, int] = {}
+        for g in s:
+            for c in lists.get(g, ()):
+                common[c] = common.get(c, 0) + 1
+        if s:
+            k = min((c for c, i in common.items() if i / (len(s) + sizes[c] - i) >= at), default=-1)
+        else:
+            k = empty  # two empty sets are equal
+        if k < 0:
+            k = len(sizes)
+            sizes.append(len(s))
+            for g in s:
+                lists.setdefault(g, []).append(k)
+            empty = k if not s else empty
+        place[x] = k
+    return [place[x] for x in texts]
+
+
 def cluster_relations(rows: DataFrame, keys: list[str], at: float = 0.8) -> DataFrame:
     """Greedy clusters of the descriptions of each pair of ends: one joins the first cluster whose first member is as like it.
 
-    rows: keys, pos, description, strength, segment_index. A fold in order, inside the JVM; a pair of ends of an item has few rows.
+    rows: keys, pos, description, strength, segment_index. A pair of ends is folded in order, each different description
+    once, through lists of the shingles of first members; single rows need no fold.
     """
-    one = F.array_sort(F.collect_list(F.struct("pos", "description", "strength", "segment_index")))
-    kind = "array<struct<pivot:array<string>,descriptions:array<string>,strength:bigint,n:bigint,sources:array<bigint>>>"
-    sh = lambda x: shingles3(normalize_fuzzy(x))
-
-    def add(acc: F.Column, x: F.Column) -> F.Column:
-        mine = sh(x["description"])
-        fits = F.transform(acc, lambda c: jaccard(c["pivot"], mine) >= at)
-        k = F.array_position(fits, True)
-        new = F.array(F.struct(mine.alias("pivot"), F.array(x["description"]).alias("descriptions"), x["strength"].cast("long").alias("strength"), F.lit(1).cast("long").alias("n"), F.array(x["segment_index"].cast("long")).alias("sources")))
-        grown = F.transform(
-            acc,
-            lambda c, i: F.when(
-                i == k - 1,
-                F.struct(
-                    c["pivot"].alias("pivot"),
-                    F.concat(c["descriptions"], F.array(x["description"])).alias("descriptions"),
-                    F.greatest(c["strength"], x["strength"].cast("long")).alias("strength"),
-                    (c["n"] + 1).alias("n"),
-                    F.array_sort(F.array_union(c["sources"], F.array(x["segment_index"].cast("long")))).alias("sources"),
-                ),
-            ).otherwise(c),
-        )
-        return F.when(k > 0, grown).otherwise(F.concat(acc, new)).cast(kind)
-
-    out = rows.groupBy(*keys).agg(one.alias("_l")).select(*keys, F.explode(F.aggregate("_l", F.array().cast(kind), add)).alias("c"))
-    return out.select(*keys, "c.descriptions", "c.strength", "c.n", "c.sources")
+    fields = ["pos", "description", "strength", "segment_index"]
+    l = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_l"))  # noqa: E741
+
+    @F.arrow_udf("array<int>")
+    def fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([None if x is None else _leaders(x, at) for x in b.to_pylist()], pa.list_(pa.int32()))
+
+    texts = F.when(F.size("_l") > 1, F.transform("_l", lambda x: normalize_fuzzy(x["description"])))
+    x = l.withColumn("_c", F.coalesce(fold(texts), F.array(F.lit(0))))
+    x = x.select(*keys, F.explode(F.arrays_zip("_l", "_c")).alias("x")).select(*keys, "x._c", *(F.col(f"x._l.{f}").alias(f) for f in fields))
+    out = x.groupBy(*keys, "_c").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "description"))).alias("d"),
+        F.max(F.col("strength").cast("long")).alias("strength"),
+        F.count("*").alias("n"),
+        F.array_sort(F.collect_set(F.col("segment_index").cast("long"))).alias("sources"),
+    )
+    return out.select(*keys, F.col("d.description").alias("descriptions"), "strength", "n", "sources")
 
 
 def match_forms(groups: DataFrame, graph: DataFrame, key: str, at: float = MERGE_AT) -> DataFrame:

@@ -311,3 +311,18 @@ def test_claims_and_sections(spark):
     assert tuple(evidence.critique(claims, judged).first()) == (1, 3, 2, "5,60000", False)
     row = spark.createDataFrame([("REVIEW", ["omissions"])], "mode string, have array<string>").select(evidence.missing_sections(F.col("mode"), F.col("have")).alias("m")).first()
     assert row.m == ["fallacies", "exaggerations", "doubtful"]
+
+
+def test_clusters_fold_many_equal_descriptions(spark):
+    # 4,000 rows of 40 descriptions: one fold of 40, not one of 4,000
+    rows = [("a", i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 40 % 26]}{i % 40} gear of {i % 40 * 7919} plates", i % 9, i % 5) for i in range(4000)]
+    got = resolution.cluster_relations(spark.createDataFrame(rows, "src string, pos int, description string, strength int, segment_index int"), ["src"]).collect()
+    assert sum(r.n for r in got) == 4000 and all(r.descriptions[0] in r.descriptions for r in got)
+    calls = []
+    shingles, resolution._shingles = resolution._shingles, lambda x: calls.append(x) or shingles(x)
+    try:
+        placed = resolution._leaders([r[2] for r in rows], 0.8)
+    finally:
+        resolution._shingles = shingles
+    assert len(calls) == 40 and len(set(placed)) == len(got)
+    assert resolution._leaders(["", "ab", "cd", "x", "", "xyz"], 0.8) == [0, 0, 0, 1, 0, 2]
