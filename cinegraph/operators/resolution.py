@@ -236,27 +236,41 @@ def judge(candidates: DataFrame, model: Judge = default_judge, key: str = "batch
     An answer out of range, one that repeats an id, a missing one and a failed call all create.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values("pos").to_dict("records")
-        out = []
-        for at in range(0, len(rows), JUDGE_BATCH):
-            own = rows[at : at + JUDGE_BATCH]
-            picked: dict[int, str] = {}
-            seen: set[int] = set()
-            try:
-                for item in model(own):
-                    i, k = item.get("id", -1), item.get("candidate", -1)
-                    if not (isinstance(i, int) and 0 <= i < len(own)) or i in seen:
-                        continue
-                    seen.add(i)
-                    if isinstance(k, int) and 0 <= k < len(own[i]["candidates"]):
-                        picked[i] = own[i]["candidates"][k]
-            except Exception:  # a model's failure is an answer of its own here: create
-                picked = {}
-            out += [(r["name"], "merge" if i in picked else "create", picked.get(i)) for i, r in enumerate(own)]
-        return pd.DataFrame(out, columns=["name", "action", "target"])
-
-    return candidates.select(key, "pos", "name", "candidates", "scores").groupBy(key).applyInPandas(run, "name string, action string, target string")
+    def answer(own: list[dict]) -> list[tuple]:
+        picked: dict[int, str] = {}
+        seen: set[int] = set()
+        try:
+            for item in model(own):
+                i, k = item.get("id", -1), item.get("candidate", -1)
+                if not (isinstance(i, int) and 0 <= i < len(own)) or i in seen:
+                    continue
+                seen.add(i)
+                if isinstance(k, int) and 0 <= k < len(own[i]["candidates"]):
+                    picked[i] = own[i]["candidates"][k]
+        except Exception:  # a model's failure is an answer of its own here: create
+            picked = {}
+        return [(r["name"], "merge" if i in picked else "create", picked.get(i)) for i, r in enumerate(own)]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["name", "action", "target"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[dict] = []
+        for b in batches:
+            out = []
+            for first, r in zip(b.column(b.num_columns - 1).to_pylist(), b.drop_columns("_first").to_pylist(), strict=True):
+                if first and own:
+                    out += answer(own)
+                    own = []
+                own.append(r)
+            yield table(out)
+        if own:
+            yield table(answer(own))
+
+    # a window leaves the rows of a key together and in order, and shuffles only what is not dealt by the key already
+    at = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
+    rows = candidates.select(key, "pos", "name", "candidates", "scores").withColumn("_first", at % JUDGE_BATCH == 1)
+    return rows.mapInArrow(run, "name string, action string, target string")
 
 
 def close_chains(pointers: DataFrame, rounds: int = 20) -> DataFrame:

@@ -326,3 +326,16 @@ def test_clusters_fold_many_equal_descriptions(spark):
         resolution._shingles = shingles
     assert len(calls) == 40 and len(set(placed)) == len(got)
     assert resolution._leaders(["", "ab", "cd", "x", "", "xyz"], 0.8) == [0, 0, 0, 1, 0, 2]
+
+
+def test_judge_starts_no_python_group_for_a_batch_key(spark):
+    rows = [(k, i, f"{k}/{i}", ["c"], [0.95]) for k in range(300) for i in range(k % 45)] + [(None, 0, "none", ["c"], [0.95])]
+    sizes = spark.createDataFrame(rows, "batch int, pos int, name string, candidates array<string>, scores array<double>")
+
+    def model(batch):
+        assert len({r["batch"] for r in batch}) == 1 and [r["pos"] for r in batch] == list(range(batch[0]["pos"], batch[0]["pos"] + len(batch))) and batch[0]["pos"] % 20 == 0
+        return [{"id": i, "candidate": 0} for i in range(len(batch))]
+
+    out = resolution.judge(sizes, model)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    assert sorted((r.name, r.action) for r in out.collect()) == sorted((r[2], "merge") for r in rows)
