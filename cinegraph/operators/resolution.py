@@ -6,11 +6,13 @@ a score of 0.9, a summariser keeps the first characters.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinegraph.functions.sequence import sequence_ratio
@@ -26,6 +28,8 @@ MERGE_AT = 0.9
 
 
 BORDERLINE_AT = 0.5
+#: Names of an item whose pairs are all compared in place.
+FEW = 200
 
 
 def passes_gate(name: F.Column) -> F.Column:
@@ -43,15 +47,9 @@ def _alike(names: DataFrame, key: str) -> DataFrame:
     return near.unionByName(held).groupBy(key, "a", "b").agg(F.max("inside").alias("inside"), F.max("j").alias("j"))
 
 
-def merge_mentions(mentions: DataFrame, key: str = "media_id") -> tuple[DataFrame, DataFrame]:
-    """Groups of the names of each item, and its borderline pairs.
-
-    mentions: key, name, type, description, segment_index. Equal normalised names are one; groups join where gated
-    names contain each other or reach MERGE_AT, closed transitively. The first result has the normalised name and its
-    group (the least name in it); the second the pairs of different groups between BORDERLINE_AT and MERGE_AT.
-    """
-    exact = mentions.withColumn("norm", normalize_exact(F.col("name"))).groupBy(key, "norm").agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("rep"))
-    names = scratch(exact.select(key, F.col("norm").alias("name"), normalize_fuzzy(F.col("rep")).alias("fuzzy"), F.monotonically_increasing_id().alias("k")), "er-names")
+def _by_lists(names: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """merge_mentions for items of many names (key, name, fuzzy), by inverted lists."""
+    names = scratch(names.withColumn("k", F.monotonically_increasing_id()), "er-names")
     pairs = scratch(_alike(names, key).where(F.col("inside") | (F.col("j") >= BORDERLINE_AT)), "er-pairs")
     node = lambda n: names.select(key, F.col("name").alias(n), F.col("k").alias(f"k{n}"))
     ids = pairs.join(node("a"), [key, "a"]).join(node("b"), [key, "b"])
@@ -64,6 +62,101 @@ def merge_mentions(mentions: DataFrame, key: str = "media_id") -> tuple[DataFram
     return groups, edge.where("ga <> gb").select(key, "a", "b", "j")
 
 
+@functools.lru_cache(1 << 16)
+def _form(fuzzy: str) -> tuple[str, frozenset[str]] | None:
+    """A gated name without spaces, and its shingles; None for a name that is not compared (as passes_gate says)."""
+    flat = fuzzy.replace(" ", "")
+    n = len(flat)
+    bits = 0.0
+    for x in dict.fromkeys(flat):
+        share = flat.count(x) / n
+        bits -= share * (math.log(share) / math.log(2))
+    return None if (len(fuzzy) < 6 and " " not in fuzzy) or bits < 1.5 else (flat, _shingles(fuzzy))
+
+
+def _shingles(x: str) -> frozenset[str]:
+    return frozenset(x[i : i + 3] for i in range(len(x) - 2)) if len(x) != 1 else frozenset((x,))
+
+
+@functools.lru_cache(1 << 18)
+def _likeness(a: str, b: str) -> float:
+    """2 if one of two gated names holds the other, else the Jaccard similarity of their shingles."""
+    (x, s), (y, t) = _form(a), _form(b)
+    if len(x) >= 3 and len(y) >= 3 and (x in y or y in x):
+        return 2.0
+    return len(s & t) / len(s | t) if s and t else 0.0
+
+
+def _one_item(names: list[str], fuzzy: list[str]) -> tuple[list[str], list[tuple[str, str, float]]]:
+    """The group of each of an item's sorted names, and its borderline pairs."""
+    at = [i for i, f in enumerate(fuzzy) if _form(f)]
+    root = list(range(len(names)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = []
+    for k, i in enumerate(at):
+        for l in at[k + 1 :]:  # noqa: E741
+            j = _likeness(fuzzy[i], fuzzy[l])
+            if j >= MERGE_AT:
+                x, y = find(i), find(l)
+                root[max(x, y)] = min(x, y)
+            elif j >= BORDERLINE_AT:
+                near.append((i, l, j))
+    group = [find(i) for i in range(len(names))]
+    return [names[g] for g in group], [(names[i], names[l], j) for i, l, j in near if group[i] != group[l]]
+
+
+def merge_mentions(mentions: DataFrame, key: str = "media_id") -> tuple[DataFrame, DataFrame]:
+    """Groups of the names of each item, and its borderline pairs.
+
+    mentions: key, name, type, description, segment_index. Equal normalised names are one; groups join where gated
+    names contain each other or reach MERGE_AT, closed transitively. The first result has the normalised name and its
+    group (the least name in it); the second the pairs of different groups between BORDERLINE_AT and MERGE_AT.
+
+    Mentions are dealt by item once. All pairs of an item of up to FEW names are compared in place; items of more
+    names go through inverted lists.
+    """
+    by_item(mentions.sparkSession)
+    exact = mentions.select(key, "name").repartition(key).withColumn("norm", normalize_exact(F.col("name"))).groupBy(key, "norm").agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("rep"))
+    items = exact.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("norm", normalize_fuzzy(F.col("rep")).alias("fuzzy")))).alias("l")).select(key, "l.norm", "l.fuzzy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own: list[int] = []
+            name: list[str] = []
+            group: list[str | None] = []
+            other: list[str | None] = []
+            j: list[float | None] = []
+            for i, (names, fuzzy) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                few = len(names) <= FEW
+                groups, near = _one_item(names, fuzzy) if few else ([None] * len(names), [])
+                name += names + [x[0] for x in near]
+                group += groups + [None] * len(near)
+                other += ([None] * len(names) if few else fuzzy) + [x[1] for x in near]
+                j += [None] * len(names) + [x[2] for x in near]
+                own += [i] * (len(names) + len(near))
+            text = [pa.array(x, pa.string()) for x in (name, group, other)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int32())), *text, pa.array(j, pa.float64())], names=[key, "name", "group", "other", "j"])
+
+    found = scratch(items.mapInArrow(run, f"`{key}` {dict(mentions.dtypes)[key]}, name string, `group` string, other string, j double"), "er-items")
+    groups = found.where("`group` is not null").select(key, "name", "group")
+    border = found.where("j is not null").select(key, F.col("name").alias("a"), F.col("other").alias("b"), "j")
+    many = found.where("`group` is null and j is null").select(key, "name", F.col("other").alias("fuzzy"))
+    if many.isEmpty():
+        return groups, border
+    more, rest = _by_lists(many, key)
+    return groups.unionByName(more), border.unionByName(rest)
+
+
+def by_item(spark: SparkSession) -> None:
+    """Lets rows that are dealt by item be joined and grouped by item and name as they lie, without another shuffle."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def group_rollup(mentions: DataFrame, groups: DataFrame, key: str = "media_id") -> DataFrame:
     """Each group's longest name, commonest type, surface forms, segments and number of mentions; the least on ties."""
     m = mentions.withColumn("_norm", normalize_exact(F.col("name"))).join(groups.select(key, F.col("name").alias("_norm"), "group"), [key, "_norm"])
@@ -87,10 +180,6 @@ def map_relations(relations: DataFrame, groups: DataFrame, key: str = "media_id"
     return r.where(~lost), r.where(lost).groupBy(key).agg(F.count("*").alias("dropped"))
 
 
-def _shingles(x: str) -> frozenset[str]:
-    return frozenset(x[i : i + 3] for i in range(len(x) - 2)) if len(x) != 1 else frozenset((x,))
-
-
 def _leaders(texts: list[str], at: float) -> list[int]:
     """The cluster of each text in order: the first whose first member is at least as like it, else a new one."""
     place: dict[str, int] = {}  # a text again falls where it fell first: the clusters before have not changed

@@ -339,3 +339,20 @@ def test_judge_starts_no_python_group_for_a_batch_key(spark):
     out = resolution.judge(sizes, model)
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
     assert sorted((r.name, r.action) for r in out.collect()) == sorted((r[2], "merge") for r in rows)
+
+
+def test_items_of_few_and_of_many_names_merge_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    names = [f" {word()} {word()} " if rng.random() < 0.6 else word().upper() for _ in range(60)]
+    names += [n + rng.choice(["s", "", "x y"]) for n in names] + ["aabbccdd", "aabbccd", "", "ab", "中文字幕组合", "中文字幕组"]
+    rows = [(i % 6, n, "t", "d", i) for i, n in enumerate(names)] + [(7, n, "t", "d", i) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "media_id int, name string, type string, description string, segment_index int")
+    found = []
+    for few in (200, 0, 25):
+        monkeypatch.setattr(resolution, "FEW", few)
+        groups, border = resolution.merge_mentions(df)
+        found.append((sorted(map(tuple, groups.collect())), sorted((m, a, b, round(j, 9)) for m, a, b, j in border.collect())))
+        if few:
+            assert groups.select("media_id").distinct().count() == 7
+    assert found[0] == found[1] == found[2] and found[0][1]
