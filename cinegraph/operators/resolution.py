@@ -159,16 +159,18 @@ def by_item(spark: SparkSession) -> None:
 
 def group_rollup(mentions: DataFrame, groups: DataFrame, key: str = "media_id") -> DataFrame:
     """Each group's longest name, commonest type, surface forms, segments and number of mentions; the least on ties."""
-    m = mentions.withColumn("_norm", normalize_exact(F.col("name"))).join(groups.select(key, F.col("name").alias("_norm"), "group"), [key, "_norm"])
-    types = m.groupBy(key, "group", "type").agg(F.count("*").alias("n")).groupBy(key, "group").agg(F.min_by("type", F.struct(-F.col("n"), "type")).alias("type"))
-    out = m.groupBy(key, "group").agg(
-        F.min_by("name", F.struct(-F.length("name"), "name")).alias("name"),
-        F.array_sort(F.collect_set("name")).alias("surface_forms"),
-        F.array_sort(F.collect_set("segment_index")).alias("sources"),
-        F.array_sort(F.collect_set("description")).alias("descriptions"),
-        F.count("*").alias("mentions"),
+    by_item(mentions.sparkSession)
+    m = mentions.select(key, "name", "type", "segment_index", "description").repartition(key).withColumn("_norm", normalize_exact(F.col("name")))
+    m = m.join(groups.select(key, F.col("name").alias("_norm"), "group").repartition(key), [key, "_norm"])
+    longest = lambda name: F.min_by(name, F.struct(-F.length(name), name)).alias("name")
+    sets = {"name": "surface_forms", "segment_index": "sources", "description": "descriptions"}
+    types = m.groupBy(key, "group", "type").agg(longest("name"), *(F.collect_set(x).alias(y) for x, y in sets.items()), F.count("*").alias("n"))
+    return types.groupBy(key, "group").agg(
+        longest("name"),
+        *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(y)))).alias(y) for y in sets.values()),
+        F.sum("n").alias("mentions"),
+        F.min_by("type", F.struct(-F.col("n"), "type")).alias("type"),
     )
-    return out.join(types, [key, "group"])
 
 
 def map_relations(relations: DataFrame, groups: DataFrame, key: str = "media_id") -> tuple[DataFrame, DataFrame]:
