@@ -175,7 +175,8 @@ def group_rollup(mentions: DataFrame, groups: DataFrame, key: str = "media_id")
 
 def map_relations(relations: DataFrame, groups: DataFrame, key: str = "media_id") -> tuple[DataFrame, DataFrame]:
     """Relations with their ends mapped to groups by any surface form, and the number dropped for each item."""
-    forms = lambda n, g: groups.select(key, F.col("name").alias(n), F.col("group").alias(g))
+    by_item(relations.sparkSession)
+    forms = lambda n, g: groups.select(key, F.col("name").alias(n), F.col("group").alias(g)).repartition(key)
     r = relations.withColumn("_s", normalize_exact(F.col("src"))).withColumn("_d", normalize_exact(F.col("dst")))
     r = r.join(forms("_s", "s"), [key, "_s"], "left").join(forms("_d", "t"), [key, "_d"], "left").drop("_s", "_d")
     lost = F.col("s").isNull() | F.col("t").isNull()
