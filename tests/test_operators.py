@@ -356,3 +356,17 @@ def test_items_of_few_and_of_many_names_merge_alike(spark, monkeypatch):
         if few:
             assert groups.select("media_id").distinct().count() == 7
     assert found[0] == found[1] == found[2] and found[0][1]
+
+
+def test_items_are_dealt_once(spark):
+    rel = spark.createDataFrame([(1, "A b", "c d", 1), (2, "x", "nobody", 2)], "media_id int, src string, dst string, n int").repartition("media_id")
+    groups = spark.createDataFrame([(1, "a b", "a b"), (1, "c d", "a b"), (2, "x", "x")], "media_id int, name string, `group` string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept, lost = resolution.map_relations(rel, groups)
+        out = kept.groupBy("media_id", "s", "t").count()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in out.collect()] == [(1, "a b", "a b", 1)] and [tuple(r) for r in lost.collect()] == [(2, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3  # the relations once, the groups for either end
