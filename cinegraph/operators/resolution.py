@@ -416,11 +416,11 @@ def description_gate(rows: DataFrame, key: str, order: str, text: str, vector: s
 
 
 def variants(names: DataFrame, column: str, at: float = 0.93) -> DataFrame:
-    """a < b, ratio of all pairs with a sequence ratio of `at` (0.8 at least) and two or more differing characters.
+    """a < b, ratio of all pairs with a sequence ratio of `at` and two or more differing characters.
 
     Names of one length differ in the places that are unequal, others by their lengths.
     """
-    p = sequence_pairs(names, column)
+    p = sequence_pairs(names, column, at - 1e-6)  # the ratio is rounded
     unequal = F.size(F.expr("filter(zip_with(split(a, ''), split(b, ''), (x, y) -> x <> y), x -> x)"))
     apart = F.when(F.length("a") == F.length("b"), unequal).otherwise(F.abs(F.length("a") - F.length("b")))
     return p.where(apart >= 2).select("a", "b", F.round(sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio")).where(F.col("ratio") >= at)

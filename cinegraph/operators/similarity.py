@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinegraph.functions.text import shingles3
+from cinegraph.plans.shared import scratch
 
 
 def _by_rarity(rows: DataFrame, by: list[str], s: str) -> DataFrame:
@@ -63,20 +64,25 @@ def fuzzy_pairs(names: DataFrame, column: str, threshold: float) -> DataFrame:
     return shingle_pairs(names, column, threshold).select("a", "b").union(contained_pairs(flat, ["_all"]).select("a", "b")).distinct()
 
 
-def sequence_pairs(names: DataFrame, column: str) -> DataFrame:
-    """a < b of all pairs of distinct names whose sequence ratio can be 0.8 or more, and some others.
+def sequence_pairs(names: DataFrame, column: str, at: float = 0.8) -> DataFrame:
+    """a < b of all pairs of distinct names whose sequence ratio can be `at` or more, and some others.
 
-    A ratio of 0.8 needs 0.4 of both lengths in common characters, counted with repetition, so at least two thirds of
-    either name; the rarest third of each name's numbered characters, and one more, then share one.
+    A ratio of `at` needs at / 2 of both lengths in common characters, counted with repetition, so at least at / (2 - at)
+    of either name; the rarest rest of each name's numbered characters, and one more, then share one.
     """
+    least = at / (2 - at)
     name = F.col(column)
     chars = F.array_sort(F.split("name", F.lit("")))
     s = names.where(name.isNotNull() & (name != "")).select(name.alias("name")).distinct()
     s = s.withColumn("s", F.transform(chars, lambda x, i: F.concat(x, F.lit(" "), (i - F.array_position(chars, x)).cast("string"))))
-    e = s.select("name", "s", F.explode("s").alias("g"))
+    s = scratch(s.withColumn("k", F.size("s")).withColumn("id", F.monotonically_increasing_id()), "sp-names")
+    e = s.select("id", "k", F.explode("s").alias("g"))
     e = e.join(e.groupBy("g").agg(F.count("*").alias("n")), "g")
-    e = e.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("n", "g"))).where(F.col("r") <= F.floor(F.size("s") / 3) + 1)
+    e = e.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("n", "g"))).where(F.col("r") <= F.floor(F.col("k") * (1 - least) + 1e-9) + 1)
     a, b = e.alias("a"), e.alias("b")
-    k, m = F.size("a.s"), F.size("b.s")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.name") < F.col("b.name")) & (3 * k >= 2 * m) & (3 * m >= 2 * k))
-    return pairs.where(5 * F.size(F.array_intersect("a.s", "b.s")) >= 2 * (k + m)).select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
+    fits = (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.k", "b.k") >= least * F.greatest("a.k", "b.k") - 1e-9)
+    pairs = a.join(b, fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    side = lambda n: s.select(F.col("id").alias(n), F.col("name").alias(f"n{n}"), F.col("s").alias(f"s{n}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    both = both.where(2 * F.size(F.array_intersect("sx", "sy")) >= at * (F.size("sx") + F.size("sy")) - 1e-9)
+    return both.select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b"))
