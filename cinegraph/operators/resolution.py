@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -237,6 +238,134 @@ def cluster_relations(rows: DataFrame, keys: list[str], at: float = 0.8) -> Data
     return out.select(*keys, F.col("d.description").alias("descriptions"), "strength", "n", "sources")
 
 
+def _fuzzy(x: str | None) -> str:
+    """As normalize_fuzzy."""
+    return re.sub(" +", " ", re.sub(r"[^a-z0-9'\u4e00-\u9fff ]", " ", (x or "").lower())).strip(" ")
+
+
+@functools.lru_cache(1 << 18)
+def _linked(a: str, b: str) -> bool:
+    """Whether two normalised names of an item are one: both gated, and one holds the other or they reach MERGE_AT."""
+    a, b = _fuzzy(a), _fuzzy(b)
+    return bool(_form(a) and _form(b)) and _likeness(a, b) >= MERGE_AT
+
+
+def _links_by_lists(names: list[str]) -> Iterator[tuple[int, int]]:
+    """Links that close to the same groups as all pairs that are _linked, through lists of the rarest windows and shingles."""
+    flats: dict[str, int] = {}
+    sets: dict[str, tuple[int, frozenset[str]]] = {}
+    for i, f in enumerate(map(_fuzzy, names)):
+        if form := _form(f):
+            yield flats.setdefault(form[0], i), i
+            sets.setdefault(f, (i, form[1]))
+    windows: dict[str, list[str]] = {}
+    for x in flats:
+        for g in _shingles(x):
+            windows.setdefault(g, []).append(x)
+    for y, i in flats.items():
+        for x in min((windows[g] for g in _shingles(y)), key=len, default=()):
+            if len(x) > len(y) and y in x:
+                yield flats[x], i
+    count: dict[str, int] = {}
+    for _, s in sets.values():
+        for g in s:
+            count[g] = count.get(g, 0) + 1
+    lists: dict[str, list[tuple[int, frozenset[str]]]] = {}
+    for i, s in sets.values():
+        # two sets that reach MERGE_AT share one of so many of their rarest shingles
+        rare = sorted(s, key=lambda g: (count[g], g))[: len(s) - math.ceil(MERGE_AT * len(s) - 1e-9) + 1]
+        for g in rare:
+            own = lists.setdefault(g, [])
+            for k, t in own:
+                if len(s & t) / len(s | t) >= MERGE_AT:
+                    yield k, i
+            own.append((i, s))
+
+
+def _groups(names: set[str]) -> dict[str, str]:
+    """The group of each of an item's normalised names, as merge_mentions says: the least name in it."""
+    order = sorted(names)
+    root = list(range(len(order)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    few = len(order) <= FEW
+    links = [(i, k) for k, b in enumerate(order) for i in range(k) if _linked(order[i], b)] if few else _links_by_lists(order)
+    if few and not links:
+        return dict(zip(order, order, strict=True))
+    for i, k in links:
+        x, y = find(i), find(k)
+        root[max(x, y)] = min(x, y)
+    return {x: order[find(i)] for i, x in enumerate(order)}
+
+
+def premerge(rows: DataFrame, key: str = "media_id", at: float = 0.8) -> DataFrame:
+    """key, src, dst, descriptions, strength, n, sources: what cluster_relations makes of map_relations over merge_mentions, in one deal by item.
+
+    rows: key, name (of a mention, or null), src, dst, description, strength, segment_index (of a relation, or dst null).
+    A relation is dropped if an end is null or no mention's name. Nothing is written in between. A window leaves an item's
+    rows together, and shuffles only what is not dealt by item already; an item is the work of one task. Up to FEW
+    names of an item are compared in all pairs, more through lists.
+    """
+    norm = lambda x: F.when(F.col(x).isNotNull(), normalize_exact(F.col(x)))
+    r = rows.select(key, norm("name").alias("_m"), norm("src").alias("_s"), norm("dst").alias("_t"), "src", "dst", "description", F.col("strength").cast("long"), F.col("segment_index").cast("long"))
+    r = r.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col(key).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in range(10)]  # rows of an item whose rest is still to come
+        for b in batches:
+            for x, y in zip(held, b.columns, strict=True):
+                # by numpy many times faster; whole numbers with nulls would come as floats
+                fast = pa.types.is_string(y.type) or (pa.types.is_integer(y.type) and not y.null_count)
+                x += y.to_numpy(zero_copy_only=False).tolist() if fast else y.to_pylist()
+            own, names, s, t, src, dst, text, strength, segment, size = held
+            first: list[str] = []
+            second: list[str] = []
+            found: list[list[int]] = []
+            begin = 0
+            while begin < len(own) and begin + size[begin] <= len(own):
+                end = begin + size[begin]
+                named = set(names[begin:end])
+                named.discard(None)
+                kept = [i for i in range(begin, end) if t[i] in named and s[i] in named]
+                begin = end
+                if not kept:
+                    continue
+                group = _groups(named)
+                ends: dict[tuple[str, str], list[int]] = {}
+                for i in kept:
+                    ends.setdefault((group[s[i]], group[t[i]]), []).append(i)
+                for (x, y), l in ends.items():  # noqa: E741
+                    clusters = {0: l}
+                    if len(l) > 1:
+                        l.sort(key=lambda i: [(v[i] is not None, v[i]) for v in (segment, src, dst, text)])
+                        clusters = {}
+                        for i, c in zip(l, _leaders([_fuzzy(text[i]) for i in l], at), strict=True):
+                            clusters.setdefault(c, []).append(i)
+                    for c in clusters.values():
+                        first.append(x)
+                        second.append(y)
+                        found.append(c)
+            out = {
+                key: pa.array([own[l[0]] for l in found], b.schema.field(0).type),
+                "src": pa.array(first, pa.string()),
+                "dst": pa.array(second, pa.string()),
+                "descriptions": pa.array([[text[i] for i in l] for l in found], pa.list_(pa.string())),
+                "strength": pa.array([strength[l[0]] if len(l) == 1 else max((strength[i] for i in l if strength[i] is not None), default=None) for l in found], pa.int64()),
+                "n": pa.array([len(l) for l in found], pa.int64()),
+                "sources": pa.array([sorted({segment[i] for i in l if segment[i] is not None}) for l in found], pa.list_(pa.int64())),
+            }
+            if begin:
+                held = [x[begin:] for x in held]
+            yield pa.RecordBatch.from_pydict(out)
+
+    return r.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, src string, dst string, descriptions array<string>, strength long, n long, sources array<long>")
+
+
 def match_forms(groups: DataFrame, graph: DataFrame, key: str, at: float = MERGE_AT) -> DataFrame:
     """key, target, via: L1 where a surface form equals a graph name or alias, else L2 the graph entity most like any form.
 

@@ -149,23 +149,33 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     return segment(spark, d).select(c("segment_id").alias("evidence_id"), "media_id", (c("start_ms") + (c("segment_index") * 17 + c("media_id")) % 80 * 1000).alias("ts"), source.alias("source"), F.left(x, F.lit(40)).alias("claim"), content.alias("content"))
 
 
-def variant(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions whose names are written in several ways."""
+def _written(mentions: DataFrame) -> DataFrame:
     c = F.col
     k = (c("media_id") + c("segment_index")) % 4
     name = F.when(k == 1, F.upper("name")).when(k == 2, F.concat("name", F.lit("s"))).when(k == 3, F.concat(F.lit("  "), "name")).otherwise(c("name"))
-    return mention(spark, d).select("group_id", "media_id", "segment_index", name.alias("name"), c("name").alias("plain"), "type", "description")
+    return mentions.select("group_id", "media_id", "segment_index", name.alias("name"), c("name").alias("plain"), "type", "description")
 
 
-def raw_relation(spark: SparkSession, d: str) -> DataFrame:
-    """Relations between neighbouring mentions of a media item; some ends name nobody."""
+def variant(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions whose names are written in several ways."""
+    return _written(mention(spark, d))
+
+
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """All mentions (src), dealt by item, each with its relation to the next one; dst is null where there is none. Some ends name nobody."""
     c = F.col
-    w = Window.partitionBy("media_id").orderBy("segment_index", "plain", "description", "name")
-    rows = variant(spark, d).withColumn("next", F.lead("name").over(w)).withColumn("after", F.lead("description").over(w)).where("next is not null")
-    dst = F.when(c("media_id") % 11 == 0, F.lit("nobody")).otherwise(c("next"))
+    w = Window.partitionBy("media_id").orderBy(*(c(x).asc_nulls_last() for x in ("segment_index", "plain", "description", "name")))  # nulls as in the SQL
+    # names are written after the deal, which then holds each of them once
+    rows = _written(mention(spark, d).repartition("media_id")).withColumn("next", F.lead("name").over(w)).withColumn("after", F.lead("description").over(w))
+    dst = F.when(c("next").isNotNull(), F.when(c("media_id") % 11 == 0, F.lit("nobody")).otherwise(c("next")))
     return rows.select("group_id", "media_id", "segment_index", c("name").alias("src"), dst.alias("dst"), F.concat("description", F.lit(" near "), "after").alias("description"), (1 + (c("media_id") + c("segment_index")) % 10).alias("strength"))
 
 
+def raw_relation(spark: SparkSession, d: str) -> DataFrame:
+    """Relations between neighbouring mentions of a media item; some ends name nobody."""
+    return neighbours(spark, d).where("dst is not null")
+
+
 def vec(spark: SparkSession, d: str) -> DataFrame:
     """The first 500 vectors by id; domain rows are given one by arithmetic on their keys."""
     return t(spark, d, "embeddings").where("vec_id < 500").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

@@ -370,3 +370,44 @@ def test_items_are_dealt_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 3  # the relations once, the groups for either end
+
+
+def test_relations_are_merged_in_one_deal_by_item(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    names = [f" {word()} {word()} " if rng.random() < 0.6 else word().upper() for _ in range(60)]
+    names += [n + rng.choice(["s", "", "x y"]) for n in names] + ["aabbccdd", "aabbccd", "", "ab", "中文字幕组合", "中文字幕组", "x" * 3 + "abcdefghijklmnopqrstuvwxyz", "xxxx-abcdefghijklmnopqrstuvwxyz"]
+    mentions = [(i % 6, n) for i, n in enumerate(names)] + [(7, n) for n in names]
+    texts = ["near one brand", "near one brands", "Near  one-brand", "", "far from all", None]
+    relations = [(rng.choice([0, 1, 2, 3, 4, 5, 7, 7, 8]), rng.choice(names[:30]), rng.choice([*names[:30], "nobody"]), rng.choice(texts), rng.choice([None, 1, 5, 9]), rng.choice([None, 0, 1, 2, 10])) for _ in range(1500)]
+    m = spark.createDataFrame([(k, n, "t", "d", 0) for k, n in mentions], "media_id long, name string, type string, description string, segment_index int")
+    r = spark.createDataFrame(relations, "media_id long, src string, dst string, description string, strength int, segment_index int")
+    kept, _ = resolution.map_relations(r, resolution.merge_mentions(m)[0])
+    pos = F.struct("segment_index", "src", "dst", "description").alias("pos")
+    want = resolution.cluster_relations(kept.select("media_id", F.col("s").alias("src"), F.col("t").alias("dst"), pos, "description", "strength", "segment_index"), ["media_id", "src", "dst"])
+    cells = lambda df: sorted(repr(tuple(x)) for x in df.select("media_id", "src", "dst", "descriptions", "strength", "n", "sources").collect())
+    want = cells(want)
+    both = m.select("media_id", "name").unionByName(r, allowMissingColumns=True)
+    both = both.unionByName(spark.createDataFrame([(7, None, None, "ab", "x", 1, 1), (7, None, "ab", None, "x", 1, 1), (None, "ab", "ab", "ab", "x", 1, 1)], both.schema))
+    assert len(want) > 200
+    for few, batch in ((200, 10_000), (0, 7), (25, 3)):  # items of many names go through lists; batches end within items
+        monkeypatch.setattr(resolution, "FEW", few)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert cells(resolution.premerge(both)) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    odd = ["İstanbul  KK", "ΣΑΣ x", "it's\ta-b", "　中 文 ", " ' ", "", "é9\x1cz", None]
+    assert [resolution._fuzzy(x) for x in odd] == [x[0] for x in spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").orderBy("i").select(X.normalize_fuzzy(F.col("x"))).collect()]
+
+
+def test_relation_premerge_writes_nothing_and_deals_mentions_once(spark, monkeypatch):
+    from cinegraph import queries as library
+
+    monkeypatch.setattr(resolution, "scratch", lambda *a: pytest.fail("a table is written between"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = library.queries()["relation_premerge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3  # lines and parts to be joined, mentions by item

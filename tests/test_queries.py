@@ -54,3 +54,13 @@ def test_dhash_counts_in_single_precision(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view embeddings as from '{tmp_path}/embeddings.parquet'")
     assert rows(QUERIES["dhash"](spark, str(tmp_path)).toPandas()) == rows(c.execute(SQL["dhash"]).fetchdf())
+
+
+def test_relation_premerge_has_no_ends_without_a_name(spark, tmp_path):
+    names = [None, "red gear", "red  gear", "reds gear", "KELVIN one", "blue gear x"]
+    pd.DataFrame({"p_partkey": range(30), "p_name": [names[i % 6] for i in range(30)], "p_brand": [f"Brand#{i % 7}" for i in range(30)], "p_type": "T"}).to_parquet(tmp_path / "part.parquet")
+    pd.DataFrame({"l_orderkey": [i % 13 for i in range(300)], "l_partkey": [i * i % 30 for i in range(300)], "l_linenumber": np.array([i % 7 for i in range(300)], "int32")}).to_parquet(tmp_path / "lineitem.parquet")
+    c = duckdb.connect()
+    for t in ("lineitem", "part"):
+        c.execute(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+    assert rows(QUERIES["relation_premerge"](spark, str(tmp_path)).toPandas()) == rows(c.execute(SQL["relation_premerge"]).fetchdf())
